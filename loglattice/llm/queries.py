@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, token_counts
+from . import exact_dedup, licenses, mixing, near_dedup, packing, quality, revisits, sharding, substring_dedup, token_counts
 from .common import table, tokenizer_path
 
 
+def op1_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged headers as one string, name=value in order."""
+    found = revisits.resolve_revisits(revisits.crawl_of(table(spark, sf_dir, "pages")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(pairs, ";"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -18,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), size=50)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,4 +54,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_substring_dedup, op5_exact_dedup, op6_shard_rows, op7_mix_sources, op8_quality_rules, op9_pack_documents, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_resolve_revisits,
+        op2_token_counts,
+        op3_substring_dedup,
+        op4_license_scan,
+        op5_exact_dedup,
+        op6_shard_rows,
+        op7_mix_sources,
+        op8_quality_rules,
+        op9_pack_documents,
+        op10_near_dedup,
+    )
+}
