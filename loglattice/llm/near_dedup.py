@@ -138,42 +138,54 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def rest_of_buckets(members: DataFrame, grouped: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components in one bucket whose signatures agree, in blocks.
+def rest_of_buckets(members: DataFrame, grouped: DataFrame, shown: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components that share a bucket, confirmed on full sets, in blocks.
 
     ``members``: (bucket, doc_id) of buckets with three documents or more;
-    ``grouped``: (u, v), document and component, where it has one. A bucket is
-    dealt to blocks of about ``BLOCK`` documents; each two blocks meet in a
-    task of their own, so none holds more than two blocks.
+    ``grouped``: (u, v), document and component, where it has one; ``shown``:
+    bands and signatures. A bucket is dealt to blocks of about ``BLOCK``
+    documents; each two blocks meet in a task of their own, so none holds more
+    than two blocks. Two documents are compared in the first bucket that both
+    are in. A task returns no more links than it takes to join its components.
     """
     least = percent / 100 - SLACK
     placed = members.join(grouped, members["doc_id"] == grouped["u"], "left").select("bucket", "doc_id", F.coalesce("v", "doc_id").alias("component"))
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b")
     open_buckets = open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(open_buckets, "bucket").join(signatures.select("doc_id", "signature"), "doc_id")
+    rows = placed.join(open_buckets, "bucket").join(shown.join(texts, "doc_id"), "doc_id")
     block = F.pmod(F.xxhash64(F.lit("block"), "doc_id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("bucket", "i", "j", "block", "doc_id", "component", "signature")
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("bucket", "i", "j", "block", "doc_id", "component", "bands", "signature", "t")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", ignore_index=True)
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        i, j, bucket = (int(group[c].iloc[0]) for c in ("i", "j", "bucket"))
         signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
-        ids, comps, blocks = (group[c].to_numpy() for c in ("doc_id", "component", "block"))
-        left = np.flatnonzero(blocks == i)
-        right = np.flatnonzero(blocks == j)
-        us, vs = [], []
-        for k in left:
-            other = right[comps[right] != comps[k]]
+        bands = np.stack(group["bands"].to_numpy())
+        before = bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])]
+        ids, blocks, text = group["doc_id"].to_numpy(), group["block"].to_numpy(), group["t"].to_numpy()
+        comps = group["component"].to_numpy().copy()
+        sets: dict[int, np.ndarray] = {}
+        links = []
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(text[k], size)
+            return sets[k]
+
+        for k in np.flatnonzero(blocks == i):
+            other = np.flatnonzero((blocks == j) & (comps != comps[k]))
             if i == j:
                 other = other[other > k]
-            good = other[(signs[other] == signs[k]).mean(axis=1) >= least]
-            us.append(np.full(len(good), ids[k]))
-            vs.append(ids[good])
-        return pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+            other = other[(signs[other] == signs[k]).mean(axis=1) >= least]
+            other = other[~(before[other] == before[k]).any(axis=1)]
+            for o in other:
+                if comps[o] != comps[k] and linked(full(k), full(o), percent):
+                    links.append((ids[k], ids[o]))
+                    comps[comps == comps[o]] = comps[k]
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
-    found = rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long")
 
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -200,13 +212,13 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
     banded = shown.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = work.put(banded.join(buckets, "bucket"))
+    # only texts of documents that share a bucket are moved
+    compared = work.put(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
     star = members.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
-    links = work.put(confirmed(agreeing(star, signatures, percent), texts, size, percent))
-    grouped = components(links, work)
+    grouped = components(work.put(confirmed(agreeing(star, signatures, percent), compared, size, percent)), work)
 
-    rest = work.put(rest_of_buckets(members.where("n > 2").select("bucket", "doc_id"), grouped, signatures, percent))
-    if rest.limit(1).count():
-        more = confirmed(rest.join(star, ["u", "v"], "left_anti"), texts, size, percent)
+    more = work.put(rest_of_buckets(members.where("n > 2").select("bucket", "doc_id"), grouped, shown, compared, size, percent))
+    if more.limit(1).count():
         grouped = components(grouped.unionByName(more), work)
 
     named = every.select("doc_id", "n_shingles", "class_a", "class_b").join(classes, ["class_a", "class_b"], "left")
