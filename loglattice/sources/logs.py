@@ -26,9 +26,18 @@ def files(spark: SparkSession, root: str, pattern: str | None) -> DataFrame | No
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
+    return _described(df)
+
+
+def _described(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
 
 
+def of_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same for files that are named."""
+    return _described(spark.read.text(paths, wholetext=True))
+
+
 def lines_of(found: DataFrame, tool: str) -> DataFrame:
     """Lines of whole files. Blank lines and lines that don't parse are left out, but keep their number."""
     found.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts, as in other readers
