@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TZ = "America/Chicago"
@@ -65,3 +65,59 @@ def line_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("model"), (quantity * 8000).alias("input"), (quantity * 10).alias("output"), (quantity * 100).alias("cache_read"), (quantity * 20).alias("cache_write"),
         (quantity * 5).alias("cache_write_1h"), F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("cost_usd"),
     )
+
+
+def _lines(rows: DataFrame, tool: str, file_path, line_no, line) -> DataFrame:
+    """Rows as log lines: what ``sources.logs`` makes of files."""
+    zero = F.lit(0)
+    return rows.select(
+        F.lit(tool).alias("tool"), file_path.alias("file_path"), zero.cast("long").alias("file_size"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("mtime"), F.lit(200).alias("n_lines"),
+        line_no.cast("int").alias("line_no"), F.try_parse_json(F.to_json(line)).alias("v"),
+    )
+
+
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as log lines; assistants run a command each third turn, which fails each ninth."""
+    c = table(spark, sf_dir, "conversations")
+    day = F.date_format(F.date_add(F.lit("2024-03-01").cast("date"), F.col("conv_id").cast("int") % 40 + F.col("turn").cast("int")), "yyyy-MM-dd")
+    text = F.struct(F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("name"), F.lit(None).cast("struct<command:string>").alias("input"))
+    ran = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run "), (F.col("turn") % 2).cast("string")).alias("command")).alias("input"))
+    content = F.when(F.col("turn") % 3 == 0, F.array(text, ran)).otherwise(F.array(text))
+    line = F.struct(
+        F.col("role").alias("type"), F.struct("role", content.alias("content")).alias("message"), F.concat(day, F.lit("T08:00:00Z")).alias("timestamp"), F.concat(F.lit("/w/"), (F.col("conv_id") % 5).cast("string")).alias("cwd"),
+        (F.col("turn") % 9 == 4).alias("isApiErrorMessage"),
+    )
+    return _lines(c, "claude", F.concat(F.lit("/logs/"), F.col("conv_id").cast("string"), F.lit(".jsonl")), F.col("turn"), line)
+
+
+def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as usage lines; four neighbours share a message, two of them a request."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    k = F.get_json_object("props", "$.k").cast("long")
+    usage = F.struct(k.alias("input_tokens"), (k * 2).alias("output_tokens"), (k * 3).alias("cache_read_input_tokens"), (k + 7).alias("cache_creation_input_tokens"))
+    message = F.struct(F.when(n % 5 != 0, F.concat(F.lit("m"), F.floor(n / 4).cast("string"))).alias("id"), F.concat(F.lit("model-"), (F.col("user_id") % 3).cast("string")).alias("model"), usage.alias("usage"))
+    line = F.struct(
+        F.lit("assistant").alias("type"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("sessionId"), F.concat(F.lit("/h/me/Developer/repo"), (F.col("user_id") % 4).cast("string"), F.lit("/x")).alias("cwd"),
+        F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"), F.concat(F.lit("r"), F.floor(n / 2).cast("string")).alias("requestId"), message.alias("message"),
+    )
+    return _lines(e, "claude", F.lit("/logs/usage.jsonl"), n, line)
+
+
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` of a user as one file: sign-ups begin a session, views name a model, all others count tokens."""
+    e = table(spark, sf_dir, "events")
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_type") == "signup", "session_meta").when(F.col("event_type") == "view", "turn_context").otherwise("event_msg")
+    used = F.struct((k + 10).alias("input_tokens"), k.alias("cached_input_tokens"), k.alias("output_tokens"))
+    payload = F.struct(
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("s"), F.col("event_id").cast("string"))).alias("id"),
+        F.when((F.col("event_type") == "signup") & (F.col("event_id") % 2 == 0), F.lit("/w/even")).alias("cwd"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string"))).alias("model"),
+        F.when(kind == "event_msg", F.lit("token_count")).alias("type"),
+        F.when(kind == "event_msg", F.struct(used.alias("last_token_usage"))).alias("info"),
+    )
+    line = F.struct(kind.alias("type"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"), payload.alias("payload"))
+    rows = e.withColumn("n", order)
+    return _lines(rows, "codex", F.concat(F.lit("/logs/"), F.col("user_id").cast("string"), F.lit(".jsonl")), F.col("n"), line)

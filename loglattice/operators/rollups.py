@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, shortened
 from ..functions.values import artifact, blended, significance, trivia, under
+from . import session_index
 
 TOPICS, RECENT_FILES, DETAILS = 10, 5, 10
 HEADLINES = 40
@@ -136,3 +137,11 @@ def changed(found: DataFrame, indexed: DataFrame) -> DataFrame:
 def branch_label(cwd: Column, branches: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for pair in branches.items() for x in pair]) if branches else None
     return F.coalesce(F.try_element_at(known, cwd), basename(cwd)) if known is not None else basename(cwd)
+
+
+def scan(lines: DataFrame, query: str = "") -> DataFrame:
+    """Sessions straight from log lines, for when there is no index: those in which a genuine user text has the query, whatever its case; newest first."""
+    found = session_index.sessions(lines)
+    if query:
+        found = found.where(F.contains(F.lower("text.user_content"), F.lit(query.lower())))
+    return found.orderBy(F.desc("date"), "file_path")

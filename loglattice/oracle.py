@@ -140,6 +140,18 @@ SQL: dict[str, str] = {
       SELECT doc_id, round(-sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (tokens / docs)))), 6) AS score FROM tf JOIN df USING (q) JOIN size USING (doc_id) CROSS JOIN corpus GROUP BY 1""",
     "files_union": """SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: (list_position(w, x), x))), lambda p: p[2]), ' ') AS files
       FROM (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') || string_split(split_part(text, chr(10), 2), ' ') AS w FROM documents)""",
+    "lines_to_sessions": f"""WITH c AS (SELECT *, strftime(DATE '2024-03-01' + (conv_id % 40 + turn)::INT, '%Y-%m-%d') AS day, {STRIPPED} AS t FROM conversations)
+      SELECT conv_id::VARCHAR AS session_id, '/w/' || any_value(conv_id % 5) AS cwd, arg_min(day, turn) AS created_at, arg_max(day, turn) AS date, coalesce({_clean("arg_min(t, turn) FILTER (WHERE role = 'user' AND trim(t) <> '')")}, '') AS first_prompt,
+      (count(*) FILTER (WHERE role IN ('user', 'assistant')))::INT AS message_count, substr(trim(coalesce(arg_max(t, turn) FILTER (WHERE role = 'user' AND trim(t) <> ''), '')), 1, 500) AS closing_user, (count(*) FILTER (WHERE turn % 9 = 4))::INT AS error_count,
+      coalesce((SELECT string_agg(x, '|' ORDER BY o) FROM (SELECT 'run ' || (turn % 2) AS x, min(turn) AS o FROM conversations d WHERE d.conv_id = c.conv_id AND role = 'assistant' AND turn % 3 = 0 GROUP BY 1)), '') AS commands FROM c GROUP BY conv_id""",
+    "lines_to_messages": f"SELECT conv_id::VARCHAR AS session_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS index, role, CASE WHEN role = 'user' THEN {STRIPPED} ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(CASE WHEN role = 'user' THEN {STRIPPED} ELSE text END) <> ''",
+    "lines_to_usage": """SELECT 's' || user_id AS session_id, 'model-' || (user_id % 3) AS model, 'repo' || (user_id % 4) AS project, k AS input, k * 2 AS output, k * 3 AS cache_read, k + 7 AS cache_write, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
+      FROM (SELECT *, (props->>'$.k')::BIGINT AS k FROM events) QUALIFY event_id % 5 = 0 OR row_number() OVER (PARTITION BY event_id % 5 = 0, event_id // 4, event_id // 2 ORDER BY event_id) = 1""",
+    "lines_asof_model": """SELECT session_id, model, CASE WHEN substr(session_id, 2)::BIGINT % 2 = 0 THEN 'even' ELSE 'unknown' END AS project, count(*) AS events, sum(10)::BIGINT AS input, sum(k)::BIGINT AS cache_read FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k,
+      's' || last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS session_id, 'g' || last_value(CASE WHEN event_type = 'view' THEN event_id % 3 END IGNORE NULLS) OVER w AS model FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type NOT IN ('signup', 'view') AND session_id IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2, 3""",
+    "lines_scan": """SELECT conv_id::VARCHAR AS session_id, arg_max(strftime(DATE '2024-03-01' + (conv_id % 40 + turn)::INT, '%Y-%m-%d'), turn) AS date, (count(*) FILTER (WHERE role IN ('user', 'assistant')))::INT AS message_count
+      FROM conversations GROUP BY 1 HAVING contains(lower(string_agg(CASE WHEN role = 'user' THEN text END, chr(10))), 'the')""",
     "anti_removed": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "change_gate": "SELECT doc_id FROM documents WHERE doc_id % 7 = 0",
 }

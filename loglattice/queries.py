@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as a
 from .functions import text, values
-from .operators import pricing, rollups, search, usage_cube
+from .operators import pricing, rollups, search, session_index, usage_cube, usage_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -361,3 +361,37 @@ def change_gate(spark, sf_dir):
     found = a.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), F.col("lang").alias("mtime"), F.col("n_chars").alias("size"))
     indexed = found.withColumn("size", F.when(F.col("file_path") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
     return rollups.changed(found, indexed).select(F.col("file_path").alias("doc_id"))
+
+
+@query
+def lines_to_sessions(spark, sf_dir):
+    """Conversations written as log lines and read back through the session index."""
+    found = session_index.sessions(a.conversation_lines(spark, sf_dir))
+    return found.select("session_id", "cwd", "created_at", "date", "first_prompt", "message_count", "closing_user", "error_count", F.array_join("commands", "|").alias("commands"))
+
+
+@query
+def lines_to_messages(spark, sf_dir):
+    found = session_index.messages(a.conversation_lines(spark, sf_dir))
+    return found.select(F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1).alias("session_id"), "index", "role", "text")
+
+
+@query
+def lines_to_usage(spark, sf_dir):
+    """Events written as usage lines and read back: one for each message and request."""
+    found = usage_events.claude_events(a.usage_lines(spark, sf_dir))
+    return found.select("session_id", "model", "project", "input", "output", "cache_read", "cache_write", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@query
+def lines_asof_model(spark, sf_dir):
+    """Events as token counts that take the latest session and model before them in their file."""
+    found = usage_events.codex_events(a.token_lines(spark, sf_dir))
+    return found.groupBy("session_id", "model", "project").agg(F.count(F.lit(1)).alias("events"), F.sum("input").cast("long").alias("input"), F.sum("cache_read").cast("long").alias("cache_read"))
+
+
+@query
+def lines_scan(spark, sf_dir):
+    """Sessions without an index in which a user says a word, newest first."""
+    found = rollups.scan(a.conversation_lines(spark, sf_dir), "the")
+    return found.select("session_id", "date", "message_count")
