@@ -46,14 +46,19 @@ def lines_of(found: DataFrame, tool: str) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v is not null").drop("line")
 
 
-def raw_lines(spark: SparkSession, roots: dict[str, str], recursive: bool = False) -> DataFrame:
+def raw_lines(spark: SparkSession, roots: dict[str, str], recursive: bool = False, slugs: dict[str, str] | None = None) -> DataFrame:
     """Lines of all tools in ``roots``; only the branches that are asked for are read.
 
     ``recursive`` finds files at any depth, so those of subagents too.
+    ``slugs`` names how a tool's folders must start, so that others aren't
+    listed; a session's own folder is still what a filter goes by.
     """
     out = spark.createDataFrame([], LINES)
     for tool, root in roots.items():
-        found = files(spark, root, None if recursive else LAYOUTS[tool])
+        pattern = None if recursive else LAYOUTS[tool]
+        if pattern and slugs and tool in slugs:
+            pattern = slugs[tool] + pattern
+        found = files(spark, root, pattern)
         if found is not None:
             out = out.unionByName(lines_of(found, tool))
     return out

@@ -117,6 +117,11 @@ def test_messages_are_numbered_without_gaps(spark, roots):
     assert [r["index"] for r in page] == [1, 2]
 
 
+def test_folders_are_pruned_by_their_start(spark, roots):
+    found = [logs.raw_lines(spark, {"claude": roots["claude"]}, slugs={"claude": s}).select("file_path").distinct().count() for s in ("sl", "other")]
+    assert found == [3, 0]
+
+
 def test_missing_root_and_empty_session(spark, tmp_path):
     assert logs.raw_lines(spark, {"claude": str(tmp_path / "none")}).count() == 0
     assert session_index.sessions(logs.raw_lines(spark, {"pi": str(tmp_path / "none")})).count() == 0
