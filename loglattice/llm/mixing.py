@@ -82,6 +82,27 @@ def pivot(share: np.ndarray, size: np.ndarray, random: Random) -> np.ndarray:
     return np.array(share)
 
 
+def settle(share: np.ndarray, size: np.ndarray, random: Random) -> np.ndarray:
+    """Rounds the last batch of a source, sizes descending, so that what can't be rounded exactly is short.
+
+    Documents of one order of magnitude are rounded together; a fraction that
+    is left is drawn, and the words gained or lost by the draw are spread over
+    the shares of the shorter documents, which are rounded next. Shares stay
+    within 0 and 1, so the shortest documents' odds may move a little.
+    """
+    share, orders = share.astype(float).copy(), np.array([int(s).bit_length() for s in size])
+    for order in sorted(set(orders.tolist()), reverse=True):
+        own = np.flatnonzero(orders == order)
+        share[own] = pivot(share[own], size[own], random)
+        for i in own[(share[own] > 0) & (share[own] < 1)]:
+            drawn = float(random.random() < share[i])
+            error, share[i] = (share[i] - drawn) * size[i], drawn
+            rest = np.flatnonzero((orders < order) & (share > 0) & (share < 1))
+            if len(rest):
+                share[rest] = np.clip(share[rest] + error / size[rest].sum(), 0.0, 1.0)
+    return share
+
+
 ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, share double, batch long"
 
 
@@ -93,9 +114,7 @@ def _round(level: int, last: bool):
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last", ignore_index=True)
         name = f"{SEED} {level} {rows['source'].iloc[0]!r} {rows['slot'].iloc[0]}"
         random = Random(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big"))
-        share = pivot(rows["share"].to_numpy(), rows["size"].to_numpy(), random)
-        if last:
-            share = np.where((share > 0) & (share < 1), (np.array([random.random() for _ in share]) < share).astype(float), share)
+        share = (settle if last else pivot)(rows["share"].to_numpy(), rows["size"].to_numpy(), random)
         return rows.assign(share=share, batch=rows["slot"]).drop(columns=["slot"])
 
     return run

@@ -248,6 +248,14 @@ def test_pivot_keeps_sums_and_expectations():
     assert np.abs(total / 4000 - share).max() < 0.04
 
 
+def test_settling_leaves_little():
+    size = np.array(sorted((3 * i * i + 1 for i in range(40)), reverse=True))
+    share = np.full(40, 0.37)
+    for k in range(300):
+        got = mixing.settle(share, size, random.Random(k))
+        assert set(got) <= {0.0, 1.0} and abs((got * size).sum() - (share * size).sum()) < 400
+
+
 def test_quality(docs, rows, odd, empty):
     found = quality.quality_rules(docs).collect()
     assert {r.doc_id: tuple(r)[1:7] for r in found} == {k: brute.quality(t) for k, t in pairs(rows)}
