@@ -65,11 +65,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-ANCHORS = "doc_id long, tag int, pos int, upto int, h long, half_left int, half_right int, wide_a long, wide_b long"
+ANCHORS = "doc_id long, tag int, pos int, upto int, h long, half_left int, half_right int, wide long"
 
 
 def anchors(texts: DataFrame, size: int) -> DataFrame:
-    """One row for every anchor: where it stands, its hash, those of its two extensions, and two of its surroundings.
+    """One row for every anchor: where it stands, its hash, those of its two extensions, and that of its surroundings.
+
+    Surroundings are only compared among anchors with the same hash, so 128
+    bits tell them apart.
 
     An extension that a text's border cuts off has the hash of what is there;
     it can't match a whole one, and any full window has one of the two whole.
@@ -78,7 +81,7 @@ def anchors(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(9)]
+            out: list[list[np.ndarray]] = [[] for _ in range(8)]
             for k, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = _words.of(text.split())
                 n = len(ids)
@@ -88,28 +91,23 @@ def anchors(texts: DataFrame, size: int) -> DataFrame:
                 pos = np.unique(anchor)
                 halves = window_hashes(ids, half, FIRST)
                 begin, end = np.maximum(pos - (size - short), 0), np.minimum(pos + size, n)
-                # prefix sums of id * factor ** place give the hash of any span
-                spans = [_span_hashes(ids, begin, end, f) for f in (FIRST, SECOND)]
                 left = np.where(pos >= half - short, halves[np.maximum(pos - (half - short), 0)], hashes[pos])
                 right = np.where(pos <= n - half, halves[np.minimum(pos, n - half)], hashes[pos])
-                row = (np.full(len(pos), k), np.full(len(pos), tag, np.int32), pos.astype(np.int32), end.astype(np.int32), hashes[pos], (left >> np.uint64(32)).astype(np.uint32).view(np.int32), (right >> np.uint64(32)).astype(np.uint32).view(np.int32), *spans)
+                row = (np.full(len(pos), k), np.full(len(pos), tag, np.int32), pos.astype(np.int32), end.astype(np.int32), hashes[pos], (left >> np.uint64(32)).astype(np.uint32).view(np.int32), (right >> np.uint64(32)).astype(np.uint32).view(np.int32), _span_hashes(ids, begin, end, SECOND))
                 for column, values in zip(out, row, strict=True):
                     column.append(values)
             if out[0]:
                 joined = [np.concatenate(c) for c in out]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, joined[:4]), _signed(joined[4]), *map(pa.array, joined[5:7]), *map(_signed, joined[7:])], [c.split()[0] for c in ANCHORS.split(", ")])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, joined[:4]), _signed(joined[4]), *map(pa.array, joined[5:7]), _signed(joined[7])], [c.split()[0] for c in ANCHORS.split(", ")])
 
     return texts.mapInArrow(run, ANCHORS)
 
 
-_inverse = {int(f): pow(int(f), -1, 1 << 64) for f in (FIRST, SECOND)}
-
-
 def _span_hashes(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, factor: np.uint64) -> np.ndarray:
-    """Hashes of ids[begin:end] for arrays of bounds; the length counts too."""
-    n = len(ids)
+    """Hashes of ids[begin:end] for arrays of bounds, from prefix sums of id * factor ** place; the length counts too."""
+    n, inverse = len(ids), np.uint64(pow(int(factor), -1, 1 << 64))
     powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, factor)])
-    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(_inverse[int(factor)]))])
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, inverse)])
     sums = np.r_[np.uint64(0), np.cumsum(ids * powers)]
     return mix64(mix64((sums[end] - sums[begin]) * back[begin]) + (end - begin).astype(np.uint64))
 
@@ -178,21 +176,24 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", key:
     texts = texts.select("doc_id", F.hash("t").alias("tag"), "t")
     every = work.put(anchors(texts, size))
 
-    level1 = every.join(in_other_documents(every, "h"), "h", "left_semi")
-    level1 = work.put(level1)
+    # level 1; both sides of the join are exchanged as they are, so that a very common anchor can be split
+    common = work.put(in_other_documents(every, "h"))
+    level1 = work.put(every.join(common, "h", "left_semi"))
     work.drop(every)
-    halves = level1.select("h", "doc_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("half_left").alias("half")), F.struct(F.lit(1).alias("side"), F.col("half_right").alias("half")))).alias("x")).select("h", "doc_id", "x.side", "x.half")
-    again = in_other_documents(halves, "h", "side", "half")
-    left, right = (again.where(F.col("side") == i).select("h", F.col("half").alias(c)) for i, c in enumerate(("half_left", "half_right")))
-    # an anchor survives if either extension does
-    level2 = level1.join(left.withColumn("l", F.lit(1)), ["h", "half_left"], "left").join(right.withColumn("r", F.lit(1)), ["h", "half_right"], "left").where("l is not null or r is not null")
-    wide = level2.groupBy("h", "wide_a", "wide_b").agg(F.min("doc_id").alias("first"))
-    differing = wide.groupBy("h").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count(F.lit(1)).alias("n")).select("h", (F.col("n") > 1).alias("differing"))
-    told = work.put(level2.join(wide, ["h", "wide_a", "wide_b"]).join(differing, "h").select("doc_id", "tag", "pos", "upto", "first", "differing"))
+    # level 4: each surrounding of an anchor, with the first document that has it
+    wide = work.put(level1.groupBy("h", "wide").agg(F.min("doc_id").alias("first"), F.min("half_left").alias("half_left"), F.min("half_right").alias("half_right")))
+    several = in_other_documents(wide.withColumnRenamed("first", "doc_id"), "h")
+    # level 2: of anchors in different surroundings, those survive of which either extension stands in several
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("half_left").alias("half")), F.struct(F.lit(1).alias("side"), F.col("half_right").alias("half")))
+    halves = wide.join(several, "h", "left_semi").select("h", "wide", F.col("first").alias("doc_id"), F.explode(sides).alias("x")).select("h", "wide", "doc_id", "x.side", "x.half")
+    again = halves.join(in_other_documents(halves, "h", "side", "half"), ["h", "side", "half"], "left_semi").select("h", "wide").distinct()
+    surrounded = wide.select("h", "wide", "first").join(again.withColumn("extend", F.lit(True)), ["h", "wide"], "left")
+    told = work.put(level1.join(surrounded, ["h", "wide"]).where("doc_id > first or extend").select("doc_id", "tag", "pos", "upto", "first"))
     work.drop(level1)
+    work.drop(wide)
 
     settled = told.where("doc_id > first").select("doc_id", "tag", F.greatest(F.lit(0), F.col("pos") - (size - size // 4)).alias("begin"), F.col("upto").alias("end"))
-    marked = told.where("doc_id = first and differing").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("places"))
+    marked = told.where("doc_id = first").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("places"))
     windows = full_windows(texts.join(marked, ["doc_id", "tag"]), size)
     earliest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("a", "b", "lo")
     repeated = windows.join(earliest, ["a", "b"]).where("doc_id > lo").select("doc_id", "tag", F.col("start").alias("begin"), (F.col("start") + size).alias("end"))
