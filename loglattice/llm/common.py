@@ -35,6 +35,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_own_folders: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """A temporary folder for a session that names none; one for each application."""
+    key = spark.sparkContext.applicationId
+    if key not in _own_folders:
+        _own_folders[key] = "file://" + tempfile.mkdtemp(prefix="loglattice-")
+    return _own_folders[key]
+
+
 class Workspace:
     """Working tables in the folder that all executors share.
 
@@ -46,10 +57,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        top = spark.conf.get("spark.checkpoint.dir", None)
-        if not top:
-            top = "file://" + tempfile.mkdtemp(prefix="loglattice-")
-            spark.conf.set("spark.checkpoint.dir", top)
+        top = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
         self.folder = f"{top.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
