@@ -144,7 +144,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", owners
 
     texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
     again = found.where("suspect").select("doc_id").distinct()
-    texts = texts.join(again, texts["id"].eqNullSafe(again["doc_id"]), "left_semi")
+    texts = texts.join(again.hint("merge"), texts["id"].eqNullSafe(again["doc_id"]), "left_semi")
     best = F.max(F.struct(F.length("t").cast("long").alias("n"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("negative")))
     groups = texts.groupBy(F.translate("t", SPACE.decode(), "").alias("plain")).agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
     groups = groups.select(F.sha2("plain", 256).alias("text_sha256"), (-F.col("best.negative")).alias("keep"), F.col("best.n").alias("most"), "size")

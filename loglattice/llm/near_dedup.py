@@ -213,7 +213,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = work.put(banded.join(buckets, "bucket"))
     # only texts of documents that share a bucket are moved
-    compared = work.put(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    compared = work.put(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"))
     star = members.where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     grouped = components(work.put(confirmed(agreeing(star, signatures, percent), compared, size, percent)), work)
 

@@ -1,6 +1,8 @@
 """Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each applying one operator's decisions.
 
 Decisions are joined to the documents by key. A null key joins a null key.
+These joins always merge what was shuffled: a list that is small enough to
+broadcast on one input is not on a larger one.
 Rows that share a key share its decision; see each stage for rows that repeat.
 """
 
@@ -33,7 +35,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     # a key with a kept and a dropped row, or with several kept ones, is settled row by row
     mixed = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("mixed"))
-    plain = docs.join(gone, _key(docs).eqNullSafe(gone["gone"]), "left_anti")
+    plain = docs.join(gone.hint("merge"), _key(docs).eqNullSafe(gone["gone"]), "left_anti")
     if not mixed.limit(1).count():
         return plain
     several = docs.join(mixed, _key(docs).eqNullSafe(mixed["mixed"]), "left_semi")
@@ -55,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     work = Workspace(spark)
     found = work.put(near_dedup.near_dedup(docs))
     gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, _key(docs).eqNullSafe(gone["gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), _key(docs).eqNullSafe(gone["gone"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = found.where("copies > 0").select(F.col("doc_id").alias("__mixed"), F.col("copies").alias("__copies"))
     if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         return _mixed_rows(docs, found)
-    counted = docs.join(taken, _key(docs).eqNullSafe(taken["__mixed"])).drop("__mixed")
+    counted = docs.join(taken.hint("merge"), _key(docs).eqNullSafe(taken["__mixed"])).drop("__mixed")
     return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copies", "__copy")
 
 
