@@ -25,7 +25,7 @@ from .common import WORD, Workspace, text_or_empty
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents that are rounded together, and residuals that meet at each step of the tree.
-BATCH_ROWS = 8192
+BATCH_ROWS = 1024
 FAN_IN = 256
 SEED = 7
 
