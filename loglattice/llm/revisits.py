@@ -87,9 +87,14 @@ def resolve_revisits(records: DataFrame, hot_points: int = HOT_POINTS, blocks: i
     revisits = base.where("kind = 'revisit'").drop("kind", "status")
     points = base.where((full | (F.col("kind") == "revisit")) & F.col("key").isNotNull() & F.col("ts").isNotNull()).groupBy("key", "ts").agg(F.max(F.when(full, F.col("record_id"))).alias("response"))
     found = _carried(points, hot_points, blocks).where(F.col("found").isNotNull())
-    matched = revisits.join(found, ["key", "ts"], "left")
+    # rows without a URL, a time or a match have no key to join by; they would all meet in one task
+    located = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    matched = revisits.where(located).join(found, ["key", "ts"], "left")
+    nowhere = revisits.where(~located).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
     stored = base.where(full).select(F.col("record_id").alias("found"), F.col("headers").alias("stored_headers"), F.col("payload_digest").alias("stored_digest"), _validator("etag").alias("stored_etag"), _header("last-modified").alias("stored_modified")).dropDuplicates(["found"])
-    matched = matched.join(stored, "found", "left").withColumn("etag", _validator("etag")).withColumn("modified", _header("last-modified"))
+    anchored = matched.where("found is not null").join(stored, "found")
+    matched = anchored.unionByName(matched.where("found is null"), allowMissingColumns=True).unionByName(nowhere, allowMissingColumns=True)
+    matched = matched.withColumn("etag", _validator("etag")).withColumn("modified", _header("last-modified"))
 
     compared = F.coalesce(F.col("etag") == F.col("stored_etag"), F.col("modified") == F.col("stored_modified"), F.col("payload_digest") == F.col("stored_digest"))
     outcome = F.when(F.col("found").isNull(), "unanchored").when(compared, "resolved").when(~compared, "mismatch").otherwise("unverified")
