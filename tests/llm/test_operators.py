@@ -331,3 +331,17 @@ def test_revisits_of_a_hot_url_in_blocks(spark):
     for hot in (50, 10**6):
         got = revisits.resolve_revisits(spark.createDataFrame(rows, RECORD), hot_points=hot, blocks=8).collect()
         assert {x.record_id: x.response_id for x in got} == want
+
+
+WRAPPED = [
+    "MIT License\n\nCopyright (c) 2020 Somebody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+    "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# print 1",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. Redistributions of source code must retain the notice.",
+]
+
+
+def test_wrapped_licenses(spark):
+    texts = [*WRAPPED, "\n\n".join(WRAPPED), "it was late\nin the town\n" + WRAPPED[2].replace(" ", "\n"), "Released\n\nunder the MIT\n\nLicense.", "Released under the\r\nMIT License.\nReleased under the MIT License."]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.families for r in found] == ["mit", "gpl", "bsd", "bsd,gpl,mit", "bsd", "", "mit"]
+    assert [r.n_confirmed for r in found] == [1, 1, 1, 3, 1, 0, 1] and all(r.n_predicted >= r.n_confirmed for r in found)
