@@ -4,7 +4,8 @@ A paragraph is a line, or what of a wrapped one stands in adjacent lines. Its
 word n-grams that the trained model knows add up to one score a family; the
 softmax of the scores gives a family or, below the calibrated threshold, none.
 A prediction is confirmed when enough of the n-grams of one of the family's
-notices stand in the paragraph. Lines are judged alone and, for notices that
+notices stand in the paragraph, with the family's name if the notice holds it
+and without the name of a licence of like wording. Lines are judged alone and, for notices that
 are wrapped, together with the lines that follow without a blank one between.
 """
 
@@ -16,11 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .license_model import NOTICES, SCALE, Model, features, trained, words
+from .license_model import CONFIRM, NOTICES, OTHERS, SCALE, Model, features, names as names_in, trained, words
 
 SPLIT = r"[^a-z0-9]+"
-#: Share of a notice's n-grams that confirms a prediction.
-CONFIRM = 0.6
 #: Lines without a word end a paragraph.
 BREAK = r"\n[^A-Za-z0-9]*\n"
 #: Words of adjacent lines that are judged together: a notice and what else stands in the line it starts in.
@@ -62,7 +61,8 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: s
     known = _strings(model.weights)
     bias = F.split(F.lit(",".join(map(str, model.bias))), ",").cast("array<bigint>")
     names = _strings(model.families)
-    notices = _constant({n: [sorted(features(t)) for t in texts] for n, texts in NOTICES.items()}, "map<string,array<array<string>>>")
+    notices = _constant({n: [{"features": sorted(features(t)), "names": names_in(n, t)} for t in texts] for n, texts in NOTICES.items()}, "map<string,array<struct<features:array<string>,names:array<string>>>>")
+    others = _constant({n: OTHERS.get(n, ()) for n in NOTICES}, "map<string,array<string>>")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("t"))
     lines = F.split("t", "\n")
     rows = rows.withColumn("n_paragraphs", F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long"))
@@ -83,7 +83,7 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: s
     # what a text as a whole doesn't hold enough of, none of its windows does
     held = F.array_intersect(_features(F.flatten(F.transform("parts", lambda x: x["words"]))), _strings(sorted({f for texts in NOTICES.values() for t in texts for f in features(t)})))
     # bound as an element, since the optimizer would move a column's expression into the inner function
-    enough = F.exists(F.array(held), lambda h: F.exists(F.flatten(F.map_values(notices)), lambda n: F.size(F.array_intersect(n, h)) >= F.lit(CONFIRM) * F.size(n)))
+    enough = F.exists(F.array(held), lambda h: F.exists(F.flatten(F.map_values(notices)), lambda n: F.size(F.array_intersect(n["features"], h)) >= F.lit(CONFIRM) * F.size(n["features"])))
     rows = rows.withColumn("windows", F.when((F.size("parts") > 1) & enough, F.transform("parts", together)))
     alone = F.transform("parts", lambda x, i: F.struct(x["block"].alias("block"), i.alias("at"), x["words"].alias("words")))
     rows = rows.select("doc_id", "n_paragraphs", told(alone).alias("lines"), F.coalesce(told(F.col("windows")), F.array().cast("array<struct<block:int,at:int,found:array<string>>>")).alias("wide"))
@@ -104,7 +104,11 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: s
         )
 
     def confirmed(line: Column) -> Column:
-        return F.exists(F.element_at(notices, line["family"]), lambda n: F.size(F.array_intersect(n, line["found"])) >= F.lit(CONFIRM) * F.size(n))
+        def by(n: Column) -> Column:
+            enough = F.size(F.array_intersect(n["features"], line["found"])) >= F.lit(CONFIRM) * F.size(n["features"])
+            return enough & ((F.size(n["names"]) == 0) | F.arrays_overlap(n["names"], line["found"]))
+
+        return F.exists(F.element_at(notices, line["family"]), by) & ~F.arrays_overlap(F.element_at(others, line["family"]), line["found"])
 
     for c in ("lines", "wide"):
         rows = rows.withColumn(c, F.transform(c, lambda x: F.struct(x["block"].alias("block"), x["at"].alias("at"), x["found"].alias("found"), scores(x["found"]).alias("scores"))))

@@ -345,3 +345,18 @@ def test_wrapped_licenses(spark):
     found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.families for r in found] == ["mit", "gpl", "bsd", "bsd,gpl,mit", "bsd", "", "mit"]
     assert [r.n_confirmed for r in found] == [1, 1, 1, 3, 1, 0, 1] and all(r.n_predicted >= r.n_confirmed for r in found)
+
+
+def test_licenses_outside_the_families(spark):
+    assert not any(license_model.features(h) in [license_model.features(t) for ts in (*license_model.NOTICES.values(), license_model.PLAIN) for t in ts] for h in license_model.HELD_OUT)
+    texts = [
+        *license_model.HELD_OUT,
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation",
+        "Some rights reserved.",
+        "Licensed under the Frobnitz License, Version 2.0.",
+    ]
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {texts[r.doc_id]: r.families for r in found if r.families} == {}
+    known = [(f, t) for f, ts in license_model.NOTICES.items() for t in ts]
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(known)], "doc_id long, text string")).collect()
+    assert all(r.families == known[r.doc_id][0] for r in found)
