@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, cut, flat, shared_blank
-from .common import steps, text_or_empty
+from .common import Workspace, steps, text_or_empty
 from .token_counts import PRETOKEN, byte_alphabet
 
 CAPACITY = 1024
@@ -246,8 +246,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, smalles
 
     A null or empty text still has its end id, so it gives one piece. Repeated
     rows and null keys are packed like any other row; other columns are left
-    aside. An empty table gives no row. ``rows``: the number of rows, counted
-    when not given; it only sets the number of batches.
+    aside. An empty table gives no row. The pieces are written first: the sum
+    of the rests' ids sets the number of batches. ``rows``: the number of rows,
+    if known; it is not needed.
     """
-    rows = docs.count() if rows is None else rows
-    return pack(pieces(docs, path, capacity=capacity, smallest=smallest), max(1, -(-rows * capacity // 2 // BATCH_IDS)), capacity)
+    cut = Workspace(docs.sparkSession).put(pieces(docs, path, capacity=capacity, smallest=smallest))
+    rest = cut.where(F.col("length") < capacity).agg(F.sum("length")).first()[0] or 0
+    return pack(cut, max(1, -(-rest // BATCH_IDS)), capacity)

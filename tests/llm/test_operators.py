@@ -360,3 +360,11 @@ def test_licenses_outside_the_families(spark):
     known = [(f, t) for f, ts in license_model.NOTICES.items() for t in ts]
     found = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(known)], "doc_id long, text string")).collect()
     assert all(r.families == known[r.doc_id][0] for r in found)
+
+
+def test_pack_of_short_texts(spark):
+    texts = [(i, f"w{i % 90}" if i % 5 else None) for i in range(9000)]
+    found = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer_path()).collect()
+    assert len(found) == 9000
+    ids = sum(r.length for r in found)
+    assert ids / 1024 / len({r.sequence_id for r in found}) > 0.95
