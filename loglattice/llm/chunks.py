@@ -7,8 +7,8 @@ begin an unusual white space they are not; fewer cuts are always right). What
 a chunk gives then depends on the chunk alone, so it is computed once for each
 distinct chunk and looked up for the others, in numpy for a whole batch.
 
-Chunks are told apart by two independent 64-bit polynomial hashes and their
-length, 128 bits in all.
+A hash only proposes which chunk a new one may equal: the bytes of both are
+compared every time. Chunks that a hash confuses are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from .common import mix64
 #: Bytes that may follow the blank of a cut: none that is or begins white space.
 SOLID = np.ones(256, bool)
 SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
-#: Odd multipliers of the two hashes.
-FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+#: Odd multiplier of the hash.
+FACTOR = 0x9E3779B97F4A7C15
+#: Bytes of distinct chunks that are remembered.
+POOL_BYTES = 64 << 20
 BLANK = 0x20
 
 
@@ -52,92 +54,124 @@ class ChunkTable:
     """Numbers of distinct chunks in an open-addressed table of numpy arrays.
 
     ``learn(chunks)`` is told the chunks (bytes) that get the next numbers.
-    When the table is half full it starts afresh: ``forget()`` is told so.
+    When the table is half full, or its chunks' bytes are too many, it starts
+    afresh: ``forget()`` is told so.
     """
 
     def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], bits: int = 21):
         self.learn, self.forget, self.bits = learn, forget, bits
-        self.powers = np.ones((2, 1), np.uint64)
+        self.powers = np.ones(1, np.uint64)
         self._clear()
 
     def _clear(self) -> None:
         self.count = 0
+        self._empty()
+        self.pool, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.strays: dict[bytes, int] = {}  # chunks that the hash confuses with others
+
+    def _empty(self) -> None:
         self.number = np.full(1 << self.bits, -1, np.int32)
-        self.first = np.zeros(1 << self.bits, np.uint64)
-        self.second = np.zeros(1 << self.bits, np.uint64)
+        self.hash = np.zeros(1 << self.bits, np.uint64)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left = np.diff(starts, append=len(data))
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
         longest = int(left.max())
-        if longest > self.powers.shape[1]:
-            n = 1 << longest.bit_length()
-            self.powers = np.array([np.cumprod(np.full(n, m, np.uint64)) for m in (FIRST, SECOND)])
+        if longest > len(self.powers):
+            self.powers = np.cumprod(np.full(1 << longest.bit_length(), FACTOR, np.uint64))
         place = np.arange(len(data)) - np.repeat(starts, left)
-        value = data.astype(np.uint64) + np.uint64(1)
-        first, second = (np.add.reduceat(value * p[place], starts) for p in self.powers)
-        return mix64(first + mix64(left.astype(np.uint64))), mix64(second ^ left.astype(np.uint64))
+        total = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * self.powers[place], starts)
+        return mix64(total + mix64(left.astype(np.uint64)))
 
-    def _seek(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """The number of each chunk, -1 for one that isn't in the table."""
+    def _seek(self, found: np.ndarray) -> np.ndarray:
+        """The number of the chunk with each hash, -1 where none has it."""
         mask = np.int64((1 << self.bits) - 1)
-        slot = (first & np.uint64(mask)).astype(np.int64)
-        out = np.full(len(first), -1, np.int64)
-        todo = np.arange(len(first))
+        slot = (found & np.uint64(mask)).astype(np.int64)
+        out = np.full(len(found), -1, np.int64)
+        todo = np.arange(len(found))
         while len(todo):
             at = slot[todo]
             got = self.number[at]
-            same = (self.first[at] == first[todo]) & (self.second[at] == second[todo]) & (got >= 0)
+            same = (self.hash[at] == found[todo]) & (got >= 0)
             out[todo[same]] = got[same]
             todo = todo[~same & (got >= 0)]
             slot[todo] = (slot[todo] + 1) & mask
         return out
 
-    def _insert(self, first: np.ndarray, second: np.ndarray) -> None:
-        """Distinct chunks that aren't in the table; they get the next numbers in order."""
+    def _insert(self, found: np.ndarray, number: np.ndarray) -> None:
+        """Distinct hashes that aren't in the table, with their chunks' numbers."""
         mask = np.int64((1 << self.bits) - 1)
-        number = np.arange(self.count, self.count + len(first), dtype=np.int32)
-        slot = (first & np.uint64(mask)).astype(np.int64)
-        todo = np.arange(len(first))
+        number = number.astype(np.int32)
+        slot = (found & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(found))
         while len(todo):
             at = slot[todo]
             free = self.number[at] < 0
             self.number[at[free]] = number[todo[free]]  # of several for one slot the last wins
             won = self.number[at] == number[todo]
-            self.first[at[won]], self.second[at[won]] = first[todo[won]], second[todo[won]]
+            self.hash[at[won]] = found[todo[won]]
             todo = todo[~won]
             slot[todo] = (slot[todo] + 1) & mask
-        self.count += len(first)
+
+    def _add(self, chunks: list[bytes]) -> np.ndarray:
+        """Keeps the bytes of new chunks and has them learned; their numbers."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        raw = np.frombuffer(b"".join(chunks), np.uint8)
+        if self.filled + len(raw) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.filled], np.zeros(max(len(raw), len(self.pool)), np.uint8)])
+        self.pool[self.filled : self.filled + len(raw)] = raw
+        self.begin, self.size = np.concatenate([self.begin, self.filled + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.filled += len(raw)
+        self.learn(chunks)
+        self.count += len(chunks)
+        return np.arange(self.count - len(chunks), self.count)
+
+    def _confused(self, data: np.ndarray, starts: np.ndarray, left: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Places of chunks whose bytes differ from those of the chunk with their number."""
+        other = self.size[number] != left
+        shift = np.where(other, 0, self.begin[number] - starts)
+        at = np.arange(len(data)) + np.repeat(shift, left)
+        if other.any():
+            at[np.repeat(other, left)] = 0
+        differs = self.pool[at] != data
+        return np.flatnonzero(other | np.logical_or.reduceat(differs, starts)) if other.any() or differs.any() else np.zeros(0, np.int64)
 
     def find(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The number of every chunk."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        if self.count > 1 << (self.bits - 1):
+        if self.count > 1 << (self.bits - 1) or self.filled > POOL_BYTES:
             self._clear()
             self.forget()
-        first, second = self._hashes(data, starts)
-        out = self._seek(first, second)
+        left = np.diff(starts, append=len(data))
+        hashes = self._hashes(data, starts, left)
+        out = self._seek(hashes)
         new = np.flatnonzero(out < 0)
+        raw = None
         if len(new):
-            order = new[np.lexsort((second[new], first[new]))]
-            lead = np.r_[True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)]
-            shown = order[lead]
+            shown, which = np.unique(hashes[new], return_index=True)
             while self.count + len(shown) > 3 << (self.bits - 2):  # more distinct chunks in one batch than fit
                 self._grow()
-            out[order] = self.count + np.cumsum(lead) - 1
-            ends = np.r_[starts[1:], len(data)]
             raw = data.tobytes()
-            self.learn([raw[a:b] for a, b in zip(starts[shown].tolist(), ends[shown].tolist(), strict=True)])
-            self._insert(first[shown], second[shown])
+            lead = new[which]
+            number = self._add([raw[a : a + n] for a, n in zip(starts[lead].tolist(), left[lead].tolist(), strict=True)])
+            self._insert(shown, number)
+            out[new] = number[np.searchsorted(shown, hashes[new])]
+        confused = self._confused(data, starts, left, out)
+        if len(confused):
+            raw = raw or data.tobytes()
+            chunks = [raw[a : a + n] for a, n in zip(starts[confused].tolist(), left[confused].tolist(), strict=True)]
+            unknown = list(dict.fromkeys(c for c in chunks if c not in self.strays))
+            if unknown:
+                self.strays.update(zip(unknown, self._add(unknown).tolist(), strict=True))
+            out[confused] = [self.strays[c] for c in chunks]
         return out
 
     def _grow(self) -> None:
         kept = np.flatnonzero(self.number >= 0)
-        kept = kept[np.argsort(self.number[kept])]
-        first, second = self.first[kept], self.second[kept]
+        found, number = self.hash[kept], self.number[kept]
         self.bits += 1
-        self._clear()
-        self._insert(first, second)
+        self._empty()
+        self._insert(found, number)
 
 
 def shared_blank(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

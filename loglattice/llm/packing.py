@@ -2,8 +2,8 @@
 
 A document's ids are cut into full sequences and a rest; the rest is halved
 again and again (1/2, 1/4, ... of it), so that a batch has pieces of all sizes
-and the smallest can even out what the largest leave. The pieces of a batch of documents go through
-multiway differencing: every piece starts as a partial partition of its own
+and the smallest can even out what the largest leave. The pieces of a batch of
+documents go through multiway differencing: every piece starts as a partial partition of its own
 (its length in one window, the others empty); the two partial partitions with
 the widest spread are merged, the fullest windows of one upon the emptiest of
 the other, until one partition is left, whose windows are near-equal. If its
@@ -15,24 +15,28 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkTable, cut, flat, shared_blank
 from .common import Workspace, steps, text_or_empty
-from .token_counts import PRETOKEN, byte_alphabet
+from .token_counts import check
 
 CAPACITY = 1024
 #: A document's rest is halved until at most so many ids are left.
 SMALLEST = 16
 #: Ids of rests that a batch holds on average: about 64 windows.
 BATCH_IDS = 64 * CAPACITY
+#: Rows of a partition whose repeats are looked for at a time.
+REMEMBERED = 1 << 18
 
 
 def difference(lengths: np.ndarray, windows: int) -> list[list[int]]:
@@ -85,52 +89,28 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int
 
 
 class TokenIds:
-    """Ids of texts as the tokenizers library gives them; remembers distinct chunks.
-
-    Where a vocabulary's merges are in the order of its ids (checked when it is
-    loaded), a merge by lowest id gives the same ids, so chunks that are new go
-    through the faster of two libraries; other vocabularies and the special
-    string go through tokenizers itself.
-    """
+    """Ids of texts as the tokenizers library gives them, by that library; remembers distinct chunks."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            check(json.load(f))
         added = self.tokenizer.get_added_tokens_decoder()
-        if len(added) > 1:
-            raise ValueError("vocabularies with several special strings are not supported")
-        self.special = next((t.content.encode() for t in added.values()), None)
+        special = sorted((t.content.encode() for t in added.values()), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.leads = np.zeros(max([*vocab.values(), *added]) + 1, bool)
         self.leads[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True  # how byte-level vocabularies write a blank
-        self.by_rank = self._ranked(path, vocab)
         self._forget()
         self.table = ChunkTable(self._learn, self._forget)
 
-    @staticmethod
-    def _ranked(path: str, vocab: dict[str, int]):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        made = [vocab[a + b] for a, b in merges]
-        if made != list(range(256, 256 + len(made))) or len(vocab) != 256 + len(made) or spec["normalizer"] or spec["pre_tokenizer"].get("type") != "ByteLevel":
-            return None
-        try:
-            import tiktoken
-        except ImportError:
-            return None
-        byte = {letter: b for b, letter in byte_alphabet().items()}
-        ranks = {bytes(byte[x] for x in t): i for t, i in vocab.items()}
-        return tiktoken.Encoding("ranked", pat_str=PRETOKEN.pattern, mergeable_ranks=ranks, special_tokens={})
-
     def _forget(self) -> None:
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.by_rank:
-            return [np.array(self.by_rank.encode_ordinary(t), np.uint32) for t in texts]
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[bytes], block: int = 8192) -> None:
@@ -156,9 +136,9 @@ class TokenIds:
         ids = _gather(self.ids, self.at[number], sizes)
         ends = np.r_[0, np.cumsum(sizes)][np.searchsorted(starts, bounds)].tolist()
         out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        if self.special and self.special in (raw := data.tobytes()):
+        if self.special and self.special.search(raw := data.tobytes()):
             for i in range(len(texts)):
-                if self.special in (text := raw[bounds[i] : bounds[i + 1]]):
+                if self.special.search(text := raw[bounds[i] : bounds[i + 1]]):
                     out[i] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         return out
 
@@ -192,14 +172,21 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
 
     Ids themselves aren't kept, only each piece's checksum; a reader takes
     them from the document again by ``start`` and ``length``. ``spread`` is a
-    hash of key and text that deals documents to batches.
+    hash of key and text that deals documents to batches; rows that repeat both
+    within a partition are told apart there, so that they spread as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, end = coder(path), np.array([end_id], np.uint32)
+        seen: dict[int, int] = {}
         for part in steps(batches, "t"):
+            if len(seen) > REMEMBERED:
+                seen.clear()
             rows = []
             for k, ids, s in zip(part.column(0).to_pylist(), c.of(part.column(1)), part.column(2).to_pylist(), strict=True):
+                copy = seen[s] = seen.get(s, -1) + 1
+                if copy:
+                    s = hash((s, copy, TaskContext.get().partitionId()))  # of numbers: the same in every process
                 ids, n = np.concatenate([ids, end]).astype("<u4").tobytes(), len(ids) + 1
                 full = n // capacity * capacity
                 cuts = [*range(0, full, capacity), full]
@@ -217,10 +204,12 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
 def pack(cut: DataFrame, batches: int, capacity: int = CAPACITY) -> DataFrame:
     """Gives every piece its sequence and its offset there.
 
-    Pieces are dealt to ``batches`` batches by their documents' hash, so no
-    source, length or key gathers in one. In a batch, full pieces are
-    sequences of their own; the others are partitioned by differencing.
-    ``sequence_id`` is the batch in the high bits and a running number within.
+    Pieces are dealt to ``batches`` batches by ``spread``, so no source, length
+    or key gathers in one. In a batch, full pieces are sequences of their own;
+    the others are partitioned by differencing, and as its cost grows with
+    pieces times windows, a batch that got more than twice its share of ids is
+    partitioned in parts. ``sequence_id`` is the batch in the high bits and a
+    running number within.
     """
 
     def one(batch: pd.DataFrame) -> pd.DataFrame:
@@ -230,10 +219,15 @@ def pack(cut: DataFrame, batches: int, capacity: int = CAPACITY) -> DataFrame:
         short = np.flatnonzero(lengths < capacity)
         sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
         sequence[full] = np.arange(len(full))
-        for i, window in enumerate(pack_lengths(lengths[short], capacity)):
-            at = short[window]
-            sequence[at] = len(full) + i
-            offset[at] = np.cumsum(lengths[at]) - lengths[at]
+        number = len(full)
+        ids = np.cumsum(lengths[short])
+        parts = ids // (BATCH_IDS + 1) if len(ids) and ids[-1] > 2 * BATCH_IDS else np.zeros(len(ids), np.int64)
+        for part in np.split(short, np.flatnonzero(np.diff(parts)) + 1):
+            for window in pack_lengths(lengths[part], capacity):
+                at = part[window]
+                sequence[at] = number
+                offset[at] = np.cumsum(lengths[at]) - lengths[at]
+                number += 1
         return batch.assign(sequence_id=(batch["batch"].to_numpy() << 32) + sequence, offset=offset).drop(columns=["spread", "batch"])
 
     dealt = cut.withColumn("batch", F.pmod(F.xxhash64(F.lit("pack"), "spread"), F.lit(batches)))

@@ -6,11 +6,18 @@ all its occurrences, all sequences at once; sequences without a mergeable pair
 leave with the number of symbols that survived. A merge can only make pairs of
 higher rank than its own, so merging all occurrences of a sequence's lowest
 pair at once gives what one-at-a-time merging gives.
+
+A round passes over all symbols of its sequences. Sequences that are long
+enough for that to matter go by themselves: the places of each pair are kept
+by rank, so a round touches only the occurrences it merges and their
+neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +36,8 @@ NO_RANK = np.int64(1) << 40
 DENSE = 2048
 #: Pre-tokens that are merged together; bounds the arrays.
 BLOCK = 1 << 17
+#: Symbols from which on a sequence keeps its pairs by rank.
+LONG = 2048
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -38,12 +47,23 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """Refuses a vocabulary whose rules are not those that are written here."""
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec["added_tokens"]
+    plain = not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    bare = not any(t.get(x) for t in added for x in ("single_word", "lstrip", "rstrip"))
+    if not (model.get("type", "BPE") == "BPE" and plain and split and bare and not spec.get("normalizer")):
+        raise ValueError("only byte-level BPE without a normalizer, prefix space or dropout is supported")
+
+
 class RaggedMerger:
     """Merge tables of a vocabulary as sorted arrays, and the synchronous merge itself."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = [t["content"] for t in spec["added_tokens"]]
         letters = byte_alphabet()
@@ -73,6 +93,64 @@ class RaggedMerger:
 
     def count(self, pretokens: list[bytes]) -> np.ndarray:
         """Symbols that survive in each pre-token; none may be empty."""
+        long = np.fromiter((len(p) >= LONG for p in pretokens), bool, len(pretokens))
+        out = np.zeros(len(pretokens), np.int64)
+        for i in np.flatnonzero(long):
+            out[i] = self.count_long(pretokens[i])
+        if not long.all():
+            out[~long] = self._count([p for p, far in zip(pretokens, long, strict=True) if not far])
+        return out
+
+    def count_long(self, pretoken: bytes) -> int:
+        """As ``count`` for one long sequence: symbols are linked to their neighbours, and the places of pairs wait by rank."""
+        symbols = self.of_byte[np.frombuffer(pretoken, np.uint8)]
+        n = len(symbols)
+        after, before, live = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        own = np.full(n, NO_RANK)  # rank of the pair that starts at each place
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            """Ranks the pairs that start at ``places`` anew."""
+            ends = after[places] >= n
+            own[places[ends]] = NO_RANK
+            places = places[~ends]
+            at = self._pairs(symbols[places], symbols[after[places]])
+            rank = np.where(at >= 0, self.rank[at], NO_RANK)
+            own[places] = rank
+            order = np.argsort(rank, kind="stable")
+            rank, places = rank[order], places[order]
+            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True):
+                r = int(rank[a])
+                if r < NO_RANK:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(ranks, r)
+                    waiting[r].append(places[a:b])
+
+        look(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[live[places] & (own[places] == r)]
+            if not len(places):
+                continue
+            run = np.r_[True, places[1:] != after[places[:-1]]]  # of overlapping occurrences every second one, from the left
+            first = np.flatnonzero(run)[np.cumsum(run) - 1]
+            places = places[(np.arange(len(places)) - first) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[self._pairs(symbols[places[:1]], symbols[gone[:1]])]
+            live[gone] = False
+            own[gone] = NO_RANK
+            after[places] = after[gone]
+            follows = after[places] < n
+            before[after[places[follows]]] = places[follows]
+            touched = np.concatenate([places, before[places]])
+            look(np.unique(touched[touched >= 0]))
+        return int(live.sum())
+
+    def _count(self, pretokens: list[bytes]) -> np.ndarray:
         left = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         out = np.zeros(len(pretokens), np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(pretokens), np.uint8)]
@@ -107,9 +185,9 @@ class TokenCounter:
 
     def __init__(self, path: str, limit: int = 400_000):
         self.merger = RaggedMerger(path)
-        if len(self.merger.special) > 1:
-            raise ValueError("vocabularies with several special strings are not supported")
-        self.special = self.merger.special[0].encode() if self.merger.special else None
+        # of special strings that start at one place the longest counts
+        special = sorted((t.encode() for t in self.merger.special), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, special))) if special else None
         self.limit = limit
         self.known: dict[str, int] = {}
         self._forget()
@@ -122,10 +200,12 @@ class TokenCounter:
         if len(self.known) > self.limit:
             self.known.clear()
         new = list(set(pretokens).difference(self.known))
+        long = {}
         for at in range(0, len(new), BLOCK):
             block = new[at : at + BLOCK]
-            self.known.update(zip(block, self.merger.count([p.encode() for p in block]).tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, pretokens), np.int64, len(pretokens))
+            for p, n in zip(block, self.merger.count([p.encode() for p in block]).tolist(), strict=True):
+                (self.known if len(p) < LONG else long)[p] = n  # long ones are not worth their memory
+        return np.fromiter((self.known[p] if p in self.known else long[p] for p in pretokens), np.int64, len(pretokens))
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Joined chunks are told apart by the blank that starts each; the others go one by one."""
@@ -148,10 +228,10 @@ class TokenCounter:
         number = self.table.find(data, starts)
         total = np.r_[0, np.cumsum(self.of_chunk[number])]
         out = np.diff(total[np.searchsorted(starts, bounds)])
-        if self.special and self.special in (raw := data.tobytes()):
+        if self.special and self.special.search(raw := data.tobytes()):
             for i in range(len(texts)):  # a special string is one token and parts the text
-                if self.special in (text := raw[bounds[i] : bounds[i + 1]]):
-                    parts = text.split(self.special)
+                if self.special.search(text := raw[bounds[i] : bounds[i + 1]]):
+                    parts = self.special.split(text)
                     out[i] = self.count(pa.array(parts, pa.binary())).sum() + len(parts) - 1
         return out
 
@@ -170,8 +250,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     """(key, n_bytes, n_tokens, over_limit) of every row of ``docs``, without a shuffle.
 
     ``path`` names a byte-level BPE vocabulary (tokenizers' JSON). No begin,
-    end or added tokens; the vocabulary's special string inside a text counts
-    as the one token that the library makes of it. A null or empty text has 0
+    end or added tokens; a special string of the vocabulary inside a text counts
+    as the one token that the library makes of it. A vocabulary with other
+    rules than byte-level BPE's is refused. A null or empty text has 0
     bytes and 0 tokens. Repeated rows and null keys give a row each; other
     columns are left aside, whatever their names. An empty table gives none.
     """
