@@ -3,9 +3,10 @@
 Every partition of the fingerprint table sends its distinct 64-bit
 fingerprints to their owners (ranges of the fingerprint), sorted, their gaps
 Golomb-Rice coded. An owner decodes all lists, finds fingerprints that occur
-twice, and answers each list with a bitmap. Only texts of documents whose bit
-is set (suspects) are shuffled and compared byte by byte; all others are
-known to be alone.
+twice, and answers each list with a bitmap, from which the partition knows its
+suspects. Texts are then read again; those whose fingerprint is a suspect's
+(and, as a Bloom filter says so, a few others) are shuffled and compared byte
+by byte. All others are known to be alone and don't move.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Workspace, shuffle_partitions, text_or_empty
+from .common import SPACE, Bloom, Workspace, lookup, shuffle_partitions, steps, text_or_empty
+
+#: Fingerprints that an owner holds on average at most: 128 MB when decoded.
+OWNED = 1 << 24
 
 
 def rice_encode(values: np.ndarray, low: int, high: int) -> tuple[int, bytes, bytes]:
@@ -71,13 +76,11 @@ def fingerprints(docs: DataFrame, owners: int, text: str = "text", key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sent = TaskContext.get().partitionId(), []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            digests = [hashlib.sha256(t.translate(None, SPACE)).digest() for t in batch.column(1).to_pylist()]
-            prints = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64)
+        for batch in steps(batches, "t"):
+            plain = [t.translate(None, SPACE) for t in batch.column(1).to_pylist()]
+            prints = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
             sent.append(prints)
-            yield filled(batch.num_rows, part=np.full(batch.num_rows, part), doc_id=batch.column(0), print=prints.view(np.int64), code_points=batch.column(2), text_sha256=[d.hex() for d in digests])
+            yield filled(batch.num_rows, part=np.full(batch.num_rows, part), doc_id=batch.column(0), print=prints.view(np.int64), code_points=batch.column(2), text_sha256=[hashlib.sha256(t).hexdigest() for t in plain])
         if not sent:
             return
         values, counts = np.unique(np.concatenate(sent), return_counts=True)
@@ -87,8 +90,12 @@ def fingerprints(docs: DataFrame, owners: int, text: str = "text", key: str = "d
                 bits, unary, rest = rice_encode(values[a:b], bounds[owner], bounds[owner + 1])
                 yield filled(1, part=[part], owner=[owner], n=[b - a], bits=[bits], unary=[unary], rest=[rest], twice=[np.packbits(counts[a:b] > 1).tobytes()])
 
+    return _texts(docs, text, key).mapInArrow(run, TABLE)
+
+
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     narrow = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
-    return narrow.select("k", F.col("t").cast("binary").alias("t"), F.length("t").cast("long").alias("n")).mapInArrow(run, TABLE)
+    return narrow.select("k", F.col("t").cast("binary").alias("t"), F.length("t").cast("long").alias("n"))
 
 
 def duplicate_bitmaps(lists: DataFrame, owners: int) -> DataFrame:
@@ -121,6 +128,20 @@ def suspects(lists: DataFrame, bitmaps: DataFrame, owners: int) -> DataFrame:
     return lists.join(bitmaps, ["part", "owner"]).mapInArrow(run, "part int, print long")
 
 
+def suspected_texts(docs: DataFrame, known: Bloom, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(id, n, plain) of rows whose fingerprint may be a suspect's: key, code points, and the text without white space."""
+    test = known.test()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "t"):
+            plain = [t.translate(None, SPACE) for t in batch.column(1).to_pylist()]
+            hit = test(np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain)))
+            at = pa.array(np.flatnonzero(hit))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([plain[i] for i in at.to_pylist()], pa.binary())], ["id", "n", "plain"])
+
+    return _texts(docs, text, key).mapInArrow(run, "id long, n long, plain binary")
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", owners: int | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256): one row for every row of ``docs``.
 
@@ -136,18 +157,18 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", owners
     aggregates that combine before the shuffle.
     """
     work = Workspace(docs.sparkSession)
-    owners = owners or max(1, shuffle_partitions(docs.sparkSession))
+    owners = owners or max(1, shuffle_partitions(docs.sparkSession), -(-docs.count() // OWNED))
     sent = work.put(fingerprints(docs, owners, text, key))
     lists = sent.where(F.col("owner").isNotNull()).select(*LISTS)
     rows = sent.where(F.col("owner").isNull()).select("part", "doc_id", "print", "code_points", "text_sha256")
-    found = work.put(rows.join(suspects(lists, duplicate_bitmaps(lists, owners), owners).withColumn("suspect", F.lit(True)), ["part", "print"], "left"))
-
-    texts = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(text).alias("t"))
-    again = found.where("suspect").select("doc_id").distinct()
-    texts = texts.join(again.hint("merge"), texts["id"].eqNullSafe(again["doc_id"]), "left_semi")
-    best = F.max(F.struct(F.length("t").cast("long").alias("n"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("negative")))
-    groups = texts.groupBy(F.translate("t", SPACE.decode(), "").alias("plain")).agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
-    groups = groups.select(F.sha2("plain", 256).alias("text_sha256"), (-F.col("best.negative")).alias("keep"), F.col("best.n").alias("most"), "size")
-    checked = found.where("suspect").join(groups, "text_sha256").select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("code_points") == F.col("most"))).alias("kept"), "text_sha256")
+    known = work.put(suspects(lists, duplicate_bitmaps(lists, owners), owners))
+    found = work.put(rows.join(known.withColumn("suspect", F.lit(True)), ["part", "print"], "left"))
+
+    texts = suspected_texts(docs, Bloom(known.select("print").distinct()), text, key)
+    best = F.max(F.struct("n", F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("negative")))
+    groups = texts.groupBy("plain").agg(F.count(F.lit(1)).alias("size"), best.alias("best"))
+    groups = work.put(groups.select(F.sha2("plain", 256).alias("text_sha256"), (-F.col("best.negative")).alias("keep"), F.col("best.n").alias("most"), "size"))
     alone = found.where(F.col("suspect").isNull()).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    checked = lookup(found.where("suspect"), groups.withColumn("rows", F.col("size")), ["text_sha256"], "rows")
+    checked = checked.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("code_points") == F.col("most"))).alias("kept"), "text_sha256")
     return alone.unionByName(checked)
