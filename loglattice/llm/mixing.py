@@ -36,8 +36,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     Targets share the total by weight and stop at ``most`` times a source's
     size; the excess is shared again by weight until none is above. In closed
     form: in ascending order of size over weight, sources are capped as long
-    as the share that is left for their weight exceeds their cap. Sources
-    number far fewer than rows; only they meet in one task.
+    as the share that is left for their weight exceeds their cap. A weight
+    follows from a source's place among all and a cap from all that are
+    smaller, so sources meet in one task, one short row each, which it can
+    spill; it is meant for up to some millions of sources.
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int"))
     filled = sizes.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -49,6 +51,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return shared.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def sized(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """(doc_id, source, size) of every row; size is the number of words."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"))
+
+
+def source_sizes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+
+
 def pivot(share: np.ndarray, size: np.ndarray, random: Random) -> np.ndarray:
     """Weighted pivotal rounding in order: all shares become 0 or 1 but for at most one, and sum(size * share) stays."""
     share = share.tolist()
@@ -88,7 +99,11 @@ def settle(share: np.ndarray, size: np.ndarray, random: Random) -> np.ndarray:
     Documents of one order of magnitude are rounded together; a fraction that
     is left is drawn, and the words gained or lost by the draw are spread over
     the shares of the shorter documents, which are rounded next. Shares stay
-    within 0 and 1, so the shortest documents' odds may move a little.
+    within 0 and 1. Over all draws a share keeps its expectation but where it
+    is cut off at 0 or 1: an error is at most the drawn document's size, and
+    the shares of shorter ones move by that over their sizes' sum. Only the
+    last batch of a source, one residual for each of at most ``FAN_IN``
+    batches, or ``BATCH_ROWS`` documents of a small source, is touched.
     """
     share, orders = share.astype(float).copy(), np.array([int(s).bit_length() for s in size])
     for order in sorted(set(orders.tolist()), reverse=True):
@@ -131,11 +146,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST_
     aside; an empty table gives no row.
     """
     work = Workspace(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"))
-    rows = work.put(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    counts = sizes.agg(F.max("n"), F.sum("n")).first()
-    goal = targets(sizes.select("source", "source_size"), weights, most)
+    rows = work.put(sized(docs, text, key, source))
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    goal = targets(source_sizes(rows), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumnRenamed("source", "of").join(goal, F.col("of").eqNullSafe(F.col("source"))).drop("of")
     rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)))

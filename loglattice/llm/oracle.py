@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .license_model import COMMON, NOTICES, SCALE, features, trained
 from .licenses import CONFIRM
+from .mixing import MOST_COPIES, WEIGHTS
 from .quality import RULES, mask
 from .revisits import PERMITTED
 
@@ -76,8 +77,21 @@ EXACT = rf"""WITH d AS (SELECT doc_id, length({TEXT}) AS n, regexp_replace({TEXT
   SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)"""
 
 
-def quality(policy: int = 2) -> str:
-    bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << i} ELSE 0 END" for i, r in enumerate(RULES))
+#: The rules again, as SQL; a rule's place is its bit.
+FAILS = (
+    "n_words < 50",
+    "100 * n_repeat_words > 50 * n_words",
+    "10 * n_symbols > n_words",
+    "n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines",
+    "n_words > 0 AND (word_chars > 25 * n_words OR word_chars < 2 * n_words)",
+    "n_upper > n_lower",
+    "4 * n_exclaimed > n_words",
+    "n_words = 0",
+)
+
+
+def _ledger() -> str:
+    bits = " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END" for i, fails in enumerate(FAILS))
     return rf"""WITH d AS (SELECT doc_id, {TEXT} AS t, {_words()} AS w FROM documents),
       words AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
       win AS (SELECT doc_id, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS h FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -85,8 +99,32 @@ def quality(policy: int = 2) -> str:
       rep AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY 1),
       m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[a-z]')) AS n_lower, len(regexp_extract_all(t, '!')) AS n_exclaimed FROM d LEFT JOIN rep USING (doc_id)),
-      f AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM m), g AS (SELECT *, ({bits})::BIGINT AS failed FROM f)
-      SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {mask(1)}) <> 0 AS base_failed, (failed & {mask(policy)}) = 0 AS kept, failed, {policy} AS policy FROM g"""
+      f AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM m), g AS (SELECT *, ({bits})::BIGINT AS failed FROM f)"""
+
+
+def quality(policy: int = 2) -> str:
+    own = f"(failed & {mask(policy) | mask(1)})"
+    return rf"""{_ledger()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_lower, n_exclaimed, (failed & {mask(1)}) <> 0 AS base_failed, {own} = 0 AS kept, failed, {policy} AS policy,
+      CASE WHEN bit_count({own}) = 1 THEN {own} ELSE 0 END AS only_rule FROM g"""
+
+
+def ablations(policy: int = 2) -> str:
+    rules = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES))
+    return rf"""{_ledger()}, rule(rule, bit) AS (VALUES {rules})
+      SELECT rule, (bit & {mask(policy)}) <> 0 AS enforced, count(*) FILTER (WHERE failed & bit <> 0) AS failing, count(*) FILTER (WHERE failed & {mask(policy)} = bit) AS alone,
+      count(*) FILTER (WHERE (failed & {mask(policy)} & ~bit) = 0) AS without_it FROM g CROSS JOIN rule GROUP BY rule, bit"""
+
+
+def targets(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> str:
+    """Water filling step by step: a round caps every source whose share of the rest is above its cap, until none is."""
+    weight = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
+    return f"""WITH RECURSIVE s AS (SELECT source, sum(len({_words()}))::BIGINT AS source_size FROM documents GROUP BY 1),
+      w AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} {weight} END AS weight FROM s),
+      r AS (SELECT 0 AS step, source, source_size, weight, false AS capped FROM w
+        UNION ALL SELECT step + 1, source, source_size, weight, capped OR ((SELECT sum(source_size) FROM w) - sum(CASE WHEN capped THEN {most} * source_size ELSE 0 END) OVER ()) * weight > {most} * source_size * sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ()
+        FROM r WHERE step < (SELECT count(*) FROM w)),
+      last AS (SELECT * FROM r WHERE step = (SELECT count(*) FROM w))
+      SELECT source, source_size, round(CASE WHEN capped THEN {most} * source_size ELSE ((SELECT sum(source_size) FROM w) - sum(CASE WHEN capped THEN {most} * source_size ELSE 0 END) OVER ())::DOUBLE * weight / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END, 3) AS target FROM last"""
 
 
 def near(size: int = 3, percent: int = 85) -> str:
@@ -106,5 +144,7 @@ SQL: dict[str, str] = {
     "op4_license_scan": licenses(),
     "op5_exact_dedup": EXACT,
     "op8_quality_rules": quality(),
+    "quality_ablations": ablations(),
+    "mixing_targets": targets(),
     "op10_near_dedup": near(),
 }

@@ -3,51 +3,52 @@
 Every rule is evaluated once; a document's ledger row holds its measurements
 and one failure bit for each rule. A policy is a versioned mask of the rules it
 enforces, so verdicts of any policy, and what each rule alone decides, come
-from the stored bits without reading texts again.
+from the stored bits without reading texts again; with the measurements, so do
+other thresholds.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, fresh, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails``: SQL over the measurements that is true where a document fails."""
+    """``fails``: from measurements by name to a condition that is true where a document fails."""
 
     name: str
-    fails: str
+    fails: Callable[[Callable[[str], Column]], Column]
 
 
 #: A rule's place is its bit. New rules go to the end; places never change.
 RULES = (
-    Rule("few_words", "n_words < 50"),
-    Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines > 3 and 10 * n_dup_lines > 3 * n_lines"),
-    Rule("word_length", "n_words > 0 and (word_chars > 25 * n_words or word_chars < 2 * n_words)"),
-    Rule("shouting", "n_upper > n_lower"),
-    Rule("exclaimed", "4 * n_exclaimed > n_words"),
+    Rule("few_words", lambda m: m("n_words") < 50),
+    Rule("repeated_windows", lambda m: m("n_repeat_words") * 100 > m("n_words") * 50),
+    Rule("symbols", lambda m: m("n_symbols") * 10 > m("n_words")),
+    Rule("repeated_lines", lambda m: (m("n_lines") > 3) & (m("n_dup_lines") * 10 > m("n_lines") * 3)),
+    Rule("word_length", lambda m: (m("n_words") > 0) & ((m("word_chars") > m("n_words") * 25) | (m("word_chars") < m("n_words") * 2))),
+    Rule("shouting", lambda m: m("n_upper") > m("n_lower")),
+    Rule("exclaimed", lambda m: m("n_exclaimed") * 4 > m("n_words")),
+    Rule("no_words", lambda m: m("n_words") == 0),
 )
 
 #: Versioned policies: the names of the rules they enforce.
 POLICIES = {
     1: ("few_words", "repeated_windows"),
     2: ("few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting", "exclaimed"),
+    3: ("no_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting", "exclaimed"),
 }
-#: The rules whose failure the base columns report.
+#: The policy whose rules' failures the base columns report.
 BASE = 1
 
 
@@ -102,70 +103,86 @@ def measure(text: bytes) -> tuple[int, ...]:
     )
 
 
+def ledger_row(text: str = "text") -> Column:
+    """The measurements of a row's text as a struct, made beside the row; a null text is an empty one."""
+
+    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+
+    return measures(text_or_empty(text).cast("binary"))
+
+
+def bits(measured: Callable[[str], Column]) -> Column:
+    """Every rule evaluated once: its bit is set where the document fails."""
+    each = (F.when(r.fails(measured), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(RULES))
+    return sum(each, F.lit(0).cast("long"))
+
+
+def passes(failed: Column, policy: int) -> Column:
+    """A policy's verdict on failure bits."""
+    return failed.bitwiseAND(F.lit(mask(policy))) == 0
+
+
 def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, measurements, failed bits) of every row, in one pass without a shuffle.
 
     A null text is an empty one. Rows that repeat and null keys give a row
     each; other columns are left aside; an empty table gives no row.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                found = zip(*(measure(t) for t in batch.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in found)], ["doc_id", *MEASURES])
-
-    narrow = docs.select(F.col(key).cast("long").alias("k"), text_or_empty(text).cast("binary").alias("t"))
-    measured = narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = sum((F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(RULES)), F.lit(0).cast("long"))
-    return measured.withColumn("failed", bits)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), ledger_row(text).alias("m")).select("doc_id", "m.*")
+    return rows.withColumn("failed", bits(F.col))
 
 
 def verdict(rows: DataFrame, policy: int = 2) -> DataFrame:
     """Adds ``kept`` under a policy to ledger rows."""
-    return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)
+    return rows.withColumn("kept", passes(F.col("failed"), policy))
 
 
 def ablations(rows: DataFrame, policy: int = 2) -> DataFrame:
-    """(rule, enforced, failing, alone): documents that fail each rule, and those that the policy would keep without it.
+    """(rule, enforced, failing, alone, without_it): documents that fail each rule, those that it alone rejects, and those kept without it.
 
-    One aggregation over the distinct bit patterns, of which there are at most
-    2 ** len(RULES), however many documents.
+    One aggregation by distinct bit pattern, of which there are at most
+    2 ** len(RULES), however many documents; patterns are then compared by
+    their bits.
     """
     enforced = mask(policy)
     patterns = rows.groupBy("failed").agg(F.count(F.lit(1)).alias("n"))
     names = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, r in enumerate(RULES)])
     each = patterns.select("failed", "n", F.explode(names).alias("r")).select("failed", "n", "r.*")
-    hit = F.col("failed").bitwiseAND(F.col("bit")) != 0
-    alone = F.col("failed").bitwiseAND(F.lit(enforced)) == F.col("bit")
-    counted = each.groupBy("rule", "bit").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).cast("long").alias("failing"), F.sum(F.when(alone, F.col("n")).otherwise(0)).cast("long").alias("alone"))
-    return counted.select("rule", (F.col("bit").bitwiseAND(F.lit(enforced)) != 0).alias("enforced"), "failing", "alone")
+    hit, own = F.col("failed").bitwiseAND(F.col("bit")) != 0, F.col("failed").bitwiseAND(F.lit(enforced))
+    without = own.bitwiseAND(F.bitwise_not("bit")) == 0
 
+    def among(condition: Column, name: str) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)).cast("long").alias(name)
 
-def quality_rules(docs: DataFrame, policy: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The ledger with base columns, ``failed`` bits and ``kept`` under ``policy``; see ``ledger`` for odd rows."""
-    rows = verdict(ledger(docs, text, key), policy)
-    base = F.col("failed").bitwiseAND(F.lit(mask(BASE))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", F.lit(policy).alias("policy"))
+    counted = each.groupBy("rule", "bit").agg(among(hit, "failing"), among(own == F.col("bit"), "alone"), among(without, "without_it"))
+    return counted.select("rule", (F.col("bit").bitwiseAND(F.lit(enforced)) != 0).alias("enforced"), "failing", "alone", "without_it")
 
 
-def kept_rows(docs: DataFrame, policy: int = 2, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, with all their columns.
+def quality_rules(docs: DataFrame, policy: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The ledger with ``base_failed``, ``kept``, ``policy`` and ``only_rule``; see ``ledger`` for odd rows.
 
-    Measurements are evaluated beside the row by a vectorised function over
-    its text alone, so neither a join nor a shuffle is needed.
+    What fails a base rule is never kept, whatever the policy. ``only_rule``
+    is the ablation of a single document: the bit of the one rule that
+    rejects it, 0 where none or several do.
     """
-    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
-    def measures(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+    enforced = mask(policy) | mask(BASE)
+    own = F.col("failed").bitwiseAND(F.lit(enforced))
+    only = F.when(own.bitwiseAND(own - 1) == 0, own).otherwise(F.lit(0).cast("long"))
+    base = ~passes(F.col("failed"), BASE)
+    first = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    rest = tuple(m for m in MEASURES if m not in first)
+    return ledger(docs, text, key).select("doc_id", *first, base.alias("base_failed"), (own == 0).alias("kept"), *rest, "failed", F.lit(policy).alias("policy"), only.alias("only_rule"))
 
-    marked = docs.withColumn("__ledger", measures(text_or_empty(text).cast("binary")))
-    failed = sum((F.when(F.expr(_within(r.fails)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(RULES)), F.lit(0).cast("long"))
-    return marked.where(failed.bitwiseAND(F.lit(mask(policy))) == 0).drop("__ledger")
 
+def kept_rows(docs: DataFrame, policy: int = 2, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose ledger row passes the policy, with all their columns.
 
-def _within(fails: str) -> str:
-    """A rule over measurements that stand in the struct ``__ledger``."""
-    for m in sorted(MEASURES, key=len, reverse=True):
-        fails = re.sub(rf"(?<![\w.]){m}\b", f"__ledger.{m}", fails)
-    return fails
+    The ledger row stands beside the document, so neither a join nor a
+    shuffle is needed; its columns' names may be anything.
+    """
+    row = fresh(docs, "ledger")
+    marked = docs.withColumn(row, ledger_row(text))
+    return marked.where(passes(bits(lambda m: F.col(row)[m]), policy)).select(*docs.columns)

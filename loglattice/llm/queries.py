@@ -54,6 +54,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy decides, from the ledger's bits."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of the mix alone, which SQL can say."""
+    goal = mixing.targets(mixing.source_sizes(mixing.sized(table(spark, sf_dir, "documents"))))
+    return goal.withColumn("target", F.round("target", 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,5 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_pack_documents,
         op10_near_dedup,
+        quality_ablations,
+        mixing_targets,
     )
 }
