@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: The headers that a not-modified answer may update (RFC 9110, 15.4.5, and what RFC 9111, 3.2 adds).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that name a visit's origin, not a page.
@@ -22,6 +24,8 @@ TRACKING = r"^(utm_[a-z_]*|gclid|fbclid|msclkid|dclid|mc_eid|igshid)(=|$)"
 #: Points of one URL beyond which it is cut into blocks, and blocks that it is cut into.
 HOT_POINTS = 20_000
 HOT_BLOCKS = 256
+#: URLs that are cut into blocks at most; with so many rows that more had ``HOT_POINTS``, the limit rises.
+HOT_URLS = 1 << 12
 
 
 def canonical_url(url: Column) -> Column:
@@ -46,10 +50,14 @@ def _validator(name: str) -> Column:
     return F.regexp_replace(F.trim(_header(name)), r"^W/", "")
 
 
-def _carried(points: DataFrame, hot_points: int, blocks: int) -> DataFrame:
-    """(key, ts, found): the latest full response before each point."""
+def _carried(points: DataFrame, hot_points: int, blocks: int, work: Workspace) -> DataFrame:
+    """(key, ts, found): the latest full response before each point. ``points`` is a written table."""
+    counts = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    # no more than this many keys can have more points, so what is broadcast is bounded
+    limit = max(hot_points, points.count() // HOT_URLS)
+    hot = F.broadcast(counts.where(F.col("n") > limit).select("key"))
     cuts = F.percentile_approx("ts", F.array(*[F.lit(i / blocks) for i in range(1, blocks)]), F.lit(1000))
-    hot = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"), cuts.alias("cuts")).where(F.col("n") > hot_points).select("key", "cuts")
+    hot = F.broadcast(work.put(points.join(hot, "key").groupBy("key").agg(cuts.alias("cuts"))))
     placed = points.join(hot, "key", "left").withColumn("block", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("ts"))), F.lit(0)))
     placed = placed.withColumn("block", F.when(F.col("cuts").isNull(), 0).otherwise(F.col("block"))).drop("cuts")
     order = Window.partitionBy("key", "block").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +67,7 @@ def _carried(points: DataFrame, hot_points: int, blocks: int) -> DataFrame:
     ends = ends.join(hot.select("key"), "key", "left_semi")
     starts = ends.select("key", F.col("block").alias("from"), "end").join(placed.join(hot.select("key"), "key", "left_semi").select("key", "block").distinct(), "key").where("from < block")
     starts = starts.groupBy("key", "block").agg(F.max_by("end", "from").alias("start"))
-    return own.join(starts, ["key", "block"], "left").select("key", "ts", F.coalesce("found", "start").alias("found"))
+    return own.join(starts, ["key", "block"], "left").where("asked").select("key", "ts", F.coalesce("found", "start").alias("found"))
 
 
 def resolve_revisits(records: DataFrame, hot_points: int = HOT_POINTS, blocks: int = HOT_BLOCKS) -> DataFrame:
@@ -77,22 +85,30 @@ def resolve_revisits(records: DataFrame, hot_points: int = HOT_POINTS, blocks: i
     * ``unverified``: the revisit has none that the response has too; merged all the same;
     * ``unanchored``: no full response is earlier, or URL or time is null.
 
-    Of responses at one time the largest record_id counts. A response at the
-    revisit's own time is not earlier. Repeated records give repeated rows.
-    Null headers are none. Other columns are left aside; an empty table gives
+    Of responses at one time the largest record_id counts; of those that share
+    a record_id too, one with the largest digest and headers. A response at
+    the revisit's own time is not earlier. A full response without a
+    record_id can't be named and is none. Repeated revisits give repeated
+    rows. Null headers are none. Other columns are left aside; an empty table gives
     no row.
     """
     base = records.select("record_id", canonical_url(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), "kind", "status", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "payload_digest")
     full = (F.col("kind") == "response") & F.col("status").between(200, 299) & (F.col("status") != 206)
     revisits = base.where("kind = 'revisit'").drop("kind", "status")
-    points = base.where((full | (F.col("kind") == "revisit")) & F.col("key").isNotNull() & F.col("ts").isNotNull()).groupBy("key", "ts").agg(F.max(F.when(full, F.col("record_id"))).alias("response"))
-    found = _carried(points, hot_points, blocks).where(F.col("found").isNotNull())
+    work = Workspace(records.sparkSession)
+    points = base.where((full | (F.col("kind") == "revisit")) & F.col("key").isNotNull() & F.col("ts").isNotNull()).groupBy("key", "ts").agg(F.max(F.when(full, F.col("record_id"))).alias("response"), F.bool_or(F.col("kind") == "revisit").alias("asked"))
+    points = work.put(points)
+    found = _carried(points, hot_points, blocks, work).where(F.col("found").isNotNull())
     # rows without a URL, a time or a match have no key to join by; they would all meet in one task
     located = F.col("key").isNotNull() & F.col("ts").isNotNull()
     matched = revisits.where(located).join(found, ["key", "ts"], "left")
     nowhere = revisits.where(~located).withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
-    stored = base.where(full).select(F.col("record_id").alias("found"), F.col("headers").alias("stored_headers"), F.col("payload_digest").alias("stored_digest"), _validator("etag").alias("stored_etag"), _header("last-modified").alias("stored_modified")).dropDuplicates(["found"])
-    anchored = matched.where("found is not null").join(stored, "found")
+    # a record_id may clash with another URL's, so responses are known by both; of equal ones the largest is taken
+    entries = F.array_sort(F.map_entries("headers"))
+    stored = base.where(full & F.col("record_id").isNotNull() & located).groupBy("key", F.col("record_id").alias("found")).agg(F.max(F.struct("payload_digest", entries.alias("entries"))).alias("s"))
+    stored = stored.select("key", "found", F.map_from_entries("s.entries").alias("headers"), F.col("s.payload_digest").alias("stored_digest"))
+    stored = stored.select("key", "found", F.col("headers").alias("stored_headers"), "stored_digest", _validator("etag").alias("stored_etag"), _header("last-modified").alias("stored_modified"))
+    anchored = matched.where("found is not null").join(stored, ["key", "found"])
     matched = anchored.unionByName(matched.where("found is null"), allowMissingColumns=True).unionByName(nowhere, allowMissingColumns=True)
     matched = matched.withColumn("etag", _validator("etag")).withColumn("modified", _header("last-modified"))
 
