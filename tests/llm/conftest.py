@@ -7,7 +7,7 @@ import pytest
 PROSE = "the quick brown fox jumps over lazy dogs while many small birds sing about winter rain and summer light on old stone walls near quiet rivers".split()  # noqa: SIM905
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names stand for something inside the operators, too.
-CLASHES = ["gone", "mixed", "k", "t", "size", "copies", "shard", "bucket", "kept", "failed", "print", "part"]
+CLASHES = ["gone", "mixed", "k", "t", "size", "copies", "shard", "bucket", "kept", "failed", "print", "part", "__copies", "__n", "__sha", "__ledger", "of", "sha", "n", "own", "one", "row", "rank", "place", "ledger", "least", "more", "usual", "h", "s", "w"]
 
 
 def prose(r: random.Random, n: int) -> str:

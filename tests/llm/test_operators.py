@@ -49,12 +49,46 @@ def test_chunk_table_starts_afresh_and_grows():
         assert counter.count(pa.array(texts)).tolist() == [len(x) for x in library(texts)]
 
 
+def thue_morse(n, a, b):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "th", "xq", "01"])
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_that_polynomial_hashes_confuse(n, letters):
+    texts = [*thue_morse(n, *letters), *["a " + t for t in thue_morse(n, *letters)]] * 2
+    want = library(texts)
+    assert token_counts.TokenCounter(tokenizer_path()).count(pa.array(texts)).tolist() == [len(x) for x in want]
+    assert [x.tolist() for x in packing.TokenIds(tokenizer_path()).of(pa.array(texts))] == want
+
+
+def test_long_pretokens():
+    r = random.Random(5)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "日本語", "!?.") for n in (2047, 2048, 30_000)]
+    texts += ["x" * 50_001, "ab" * 5000 + "a", "aaab" * 4000, " " * 5000]
+    assert token_counts.counter(tokenizer_path()).count(pa.array(texts)).tolist() == [len(x) for x in library(texts)]
+
+
+def test_vocabularies_with_other_rules_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        at = tmp_path / "other.json"
+        at.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            token_counts.TokenCounter(str(at))
+
+
 def test_token_counts(docs, rows, odd, empty):
     want = dict(zip((k for k, _ in pairs(rows)), library([t or "" for _, t in pairs(rows)]), strict=True))
     for r in token_counts.token_counts(docs, tokenizer_path()).collect():
         text = rows[r.doc_id][1] or ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), len(want[r.doc_id]), len(want[r.doc_id]) > 512)
-    assert token_counts.token_counts(odd, tokenizer_path()).count() == 7 and token_counts.token_counts(empty, tokenizer_path()).count() == 0
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(odd, tokenizer_path()).collect()) == Counter((r.doc_id, len(library([r.text or ""])[0])) for r in odd.collect())
+    assert token_counts.token_counts(empty, tokenizer_path()).count() == 0
 
 
 def check_pack(found, texts):
@@ -163,6 +197,48 @@ def test_near_odd(odd, empty):
     assert near_dedup.near_dedup(empty).count() == 0
 
 
+def test_large_components_in_blocks(spark, monkeypatch):
+    """Most of a bucket is one component that fills blocks of its own; the others link to single members of it."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([*base, f"tail{k}"])) for k in range(40)]
+    for k in range(40, 70):
+        words = list(base)
+        for _ in range(r.randrange(3, 9)):
+            words[r.randrange(len(words))] = f"z{r.randrange(9)}"
+        rows.append((k, " ".join(words)))
+    want = brute.near(rows, 3, 85)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_bloom_filter(spark):
+    from loglattice.llm.common import Bloom
+
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    hit = Bloom(keys).column(F.xxhash64("id"))
+    got = {r.id for r in spark.range(3000).where(hit).collect()}
+    assert set(range(0, 3000, 3)) <= got and len(got) < 1100
+    assert spark.range(30).where(Bloom(keys, most=1 << 10).column(F.xxhash64("id"))).count() <= 30  # few bits: many pass
+    assert spark.range(30).where(Bloom(keys, most=1 << 8).column(F.xxhash64("id"))).count() == 30
+    assert spark.range(30).where(Bloom(keys.limit(0)).column(F.xxhash64("id"))).count() == 0
+
+
+def test_lookups_and_ranks_of_hot_keys(spark, monkeypatch):
+    from loglattice.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = Workspace(spark).put(spark.range(1000).repartition(3).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id", F.monotonically_increasing_id().alias("place")))
+    figures = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("k <> 7")
+    got = common.lookup(rows, figures, ["k"]).collect()
+    assert len(got) == len({r.id for r in got}) == rows.where("k <> 7").count() and all(r.least == (r.k or 0) for r in got)
+    ranks = defaultdict(list)
+    for r in common.numbered(rows, ["k"], F.shiftright("place", 33), ["place"], "rank").collect():
+        ranks[r.k].append(r["rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in ranks.values())
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(500, x) for x in range(501, 560)]
@@ -197,6 +273,44 @@ def test_sharding(spark, docs, rows, odd, empty):
     assert Counter(r.shard for r in sharding.shard_rows(odd, 3).collect()).keys() == {0, 1, 2} and sharding.shard_rows(empty, 3).count() == 0
 
 
+def walk(owner, rows, capacity):
+    """Where rows (cell, order) go: each shard first takes its own cells' rows in clockwise order, then what is left walks on to the next with room."""
+    room, placed, left = list(capacity), {}, []
+    for cell, key in sorted(rows):
+        if room[owner[cell]]:
+            room[owner[cell]] -= 1
+            placed[key] = owner[cell]
+        else:
+            left.append((cell, key))
+    for cell, key in left:
+        at = cell
+        while not room[owner[at]]:
+            at = (at + 1) % len(owner)
+        room[owner[at]] -= 1
+        placed[key] = owner[at]
+    return placed
+
+
+@pytest.mark.parametrize("ranked", [1 << 18, 20])
+def test_placement_against_a_plain_walk(spark, monkeypatch, ranked):
+    monkeypatch.setattr(sharding, "RANKED", ranked)
+    n, shards = 3000, 6
+    keys = spark.range(n).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text")).repartition(3)
+    bits = sharding.cell_bits(shards)
+    hashes = keys.select("doc_id", F.xxhash64(F.lit("ring"), "doc_id").alias("h")).collect()
+    rows = [(((r.h % (1 << 64)) >> (64 - bits)), (r.h, r.doc_id, i)) for i, r in enumerate(hashes)]
+    want = walk(sharding.ring(shards, bits=bits), rows, sharding.capacities(n, shards))
+    got = sharding.shard_rows(keys, shards).collect()
+    assert Counter((r.doc_id, r.shard) for r in got) == Counter((key[1], shard) for key, shard in want.items())
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(shards))
+
+
+def test_ring_keeps_all_points():
+    for shards in (3, 40, 600):
+        owner = sharding.ring(shards, bits=sharding.cell_bits(shards))
+        assert set(owner) == set(range(shards)) and len(owner) >= 16 * 64 * shards
+
+
 def test_overflow_fills_all():
     owner = sharding.ring(5, 8, 8)
     r = random.Random(1)
@@ -234,7 +348,9 @@ def test_mixing(spark, docs, rows, odd, empty):
     longest = max(r.size for r in found)
     for n in names:
         assert target[n] == pytest.approx(goal[n]) and abs(taken[n] - target[n]) <= longest
-    assert mixing.mix(odd).count() == 7 and mixing.mix(empty).count() == 0
+    got = mixing.mix(odd).collect()
+    assert Counter((r.doc_id, r.size, r.source) for r in got) == Counter((r.doc_id, len(brute.words(r.text)), r.source) for r in odd.collect()) and all(0 <= r.copies <= 3 for r in got)
+    assert mixing.mix(empty).count() == 0
 
 
 def test_pivot_keeps_sums_and_expectations():
@@ -262,12 +378,16 @@ def test_quality(docs, rows, odd, empty):
     assert not any(r.kept and r.base_failed for r in found) and any(r.kept for r in found)
     ledger = quality.ledger(docs)
     report = {r.rule: r for r in quality.ablations(ledger).collect()}
+    own = [r.failed & quality.mask(2) for r in found]
+    assert all(r.only_rule == (f if bin(f).count("1") == 1 else 0) for r, f in zip(found, own, strict=True))
+    assert all(report[rule.name].without_it == sum(f & ~(1 << i) == 0 for f in own) for i, rule in enumerate(quality.RULES))
     for i, rule in enumerate(quality.RULES):
         assert report[rule.name].failing == sum(r.failed >> i & 1 for r in found)
         assert report[rule.name].alone == sum((r.failed & quality.mask(2)) == 1 << i for r in found)
     kept = {r.doc_id for r in quality.kept_rows(docs).collect()}
     assert kept == {r.doc_id for r in found if r.kept}
-    assert quality.quality_rules(odd).count() == 7 and quality.quality_rules(empty).count() == 0
+    assert sorted((r.n_words, r.base_failed) for r in quality.quality_rules(odd).collect()) == sorted((brute.quality(r.text)[0], brute.quality(r.text)[5]) for r in odd.collect())
+    assert quality.quality_rules(empty).count() == 0
     assert quality.kept_rows(odd).columns == odd.columns
 
 
@@ -320,6 +440,25 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_revisits_of_clashing_records(spark):
+    """Ids that two URLs share, equal responses, responses without an id, and columns with names from within."""
+    rows = [
+        record(1, "http://a.org/", 10, headers={"etag": "x", "server": "a"}, digest="A"),
+        record(1, "http://b.org/", 10, headers={"etag": "y", "server": "b"}, digest="B"),
+        record(2, "http://a.org/", 20, headers={"etag": "x1", "server": "s"}, digest="C"),
+        record(2, "http://a.org/", 20, headers={"etag": "x2", "server": "s"}, digest="C"),
+        record(None, "http://a.org/", 25, headers={"etag": "x3"}, digest="D"),
+        record(5, "http://a.org/", 15, "revisit", 304, {"etag": "x"}),
+        record(6, "http://b.org/", 15, "revisit", 304, {"etag": "x"}),
+        record(7, "http://a.org/", 30, "revisit", 304, {"etag": "x2"}),
+    ]
+    df = spark.createDataFrame(rows, RECORD)
+    df = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("key", "found", "cuts", "block", "asked", "n", "response", "stored_digest"))])
+    by = {r.record_id: r for r in revisits.resolve_revisits(df).collect()}
+    assert {k: (r.response_id, r.outcome, r.payload_digest) for k, r in by.items()} == {5: (1, "resolved", "A"), 6: (1, "mismatch", None), 7: (2, "resolved", "C")}
+    assert by[5].headers["server"] == "a" and by[7].headers["server"] == "s"
+
+
 def test_revisits_of_a_hot_url_in_blocks(spark):
     r = random.Random(8)
     rows = [record(i, r.choice(["http://hot.org/", "http://hot.org", "http://cold.org/x"]), r.randrange(400), r.choice(["response", "revisit", "revisit"]), 200, {}, "d") for i in range(600)]
@@ -362,6 +501,36 @@ def test_licenses_outside_the_families(spark):
     assert all(r.families == known[r.doc_id][0] for r in found)
 
 
+def plain_difference(lengths, windows):
+    """Multiway differencing as lists of (sum, pieces), without a heap."""
+    parts = [sorted([(0, ())] * (windows - 1) + [(n, (i,))]) for i, n in sorted(enumerate(lengths), key=lambda x: -x[1])]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[0][0] - p[-1][0])
+        a, b, *parts = parts
+        parts.append(sorted((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))))
+    return sorted(s for s, _ in parts[0])
+
+
+def test_differencing_is_as_even_as_a_plain_one():
+    r = random.Random(11)
+    for _ in range(40):
+        lengths = np.array([r.randrange(1, 900) for _ in range(r.randrange(1, 14))])
+        windows = r.randrange(1, 5)
+        got = sorted(int(lengths[w].sum()) for w in packing.difference(lengths, windows))
+        want = plain_difference(lengths.tolist(), windows)
+        assert sum(got) == sum(want) and got[-1] - got[0] <= max(lengths) and abs((got[-1] - got[0]) - (want[-1] - want[0])) <= max(lengths) / 2
+
+
+def test_pack_of_repeated_rows(spark):
+    text = " ".join(f"word{i}" for i in range(230))
+    repeated = spark.range(20_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    found = packing.pack_documents(repeated, tokenizer_path())
+    n = len(library([text])[0]) + 1
+    total, sequences = found.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert total == 20_000 * n and total / 1024 / sequences > 0.95
+    assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
 def test_pack_of_short_texts(spark):
     texts = [(i, f"w{i % 90}" if i % 5 else None) for i in range(9000)]
     found = packing.pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), tokenizer_path()).collect()
