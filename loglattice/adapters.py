@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as usage: the kind is the tool, users give sessions, providers, models and projects, props the tokens."""
+    """``events`` as usage: the kind is the tool, users give runs, providers, models and projects, props the tokens."""
     e = table(spark, sf_dir, "events")
     user = F.col("user_id")
 
@@ -34,8 +34,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_path"), F.col("turn").alias("line_no"), "role", "text")
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` as sessions: a customer's region and nation are the folder, the priority the tool, lines the messages."""
+def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as runs: a customer's region and nation are the folder, the priority the tool, lines the messages."""
     orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
     joined = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left").join(customer, orders["o_custkey"] == customer["c_custkey"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ FIELDS = (
     "cache_creation_input_token_cost_above_200k_tokens",
     "cache_read_input_token_cost_above_200k_tokens",
 )
+#: Names that a price list may have; public ones have a few thousand.
+MOST_PRICES = 100_000
 #: Providers whose prices are kept when a price list is compacted.
 PROVIDERS = ("anthropic", "openai", "moonshotai", "baseten", "zai", "openrouter")
 
@@ -81,25 +84,31 @@ def matches(model: str, key: str) -> bool:
     return _contains(model, key) or _contains(key, model) or _contains(a, b) or _contains(b, a)
 
 
-def best_key(model: str, keys: list[str]) -> str | None:
-    """The key itself, else the longest that matches, of equals the smallest."""
+def best_key(model: str, keys: dict[str, str] | list[str]) -> str | None:
+    """The key itself, else the longest that matches, of equals the smallest. ``keys`` may come with their normalised forms."""
     if model in keys:
         return model
-    found = [k for k in keys if matches(model, k)]
+    if not isinstance(keys, dict):
+        keys = {k: normalized(k) for k in keys}
+    plain = normalized(model)
+    found = [k for k, n in keys.items() if (n in plain or plain in n) and matches(model, k)]
     return min(found, key=lambda k: (-len(k), k)) if found else None
 
 
 def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
     """(model, key): each distinct model with the key of its price, null if there is none.
 
-    Prices are a few hundred names (a bound of the price list, not of the
-    data); they travel inside the function. Models are matched once each.
+    Names of prices travel inside the function, so a price list may have
+    ``MOST_PRICES`` of them. Models are matched once each, in Arrow batches.
     """
-    keys = sorted(r.key for r in prices.select("key").collect())
+    names = [r.key for r in prices.select("key").distinct().limit(MOST_PRICES + 1).collect()]
+    if len(names) > MOST_PRICES:
+        raise ValueError(f"a price list of more than {MOST_PRICES} names")
+    keys = {k: normalized(k) for k in sorted(names)}
 
-    @F.udf("string", useArrow=False)
-    def key_of(model: str | None) -> str | None:
-        return best_key(model, keys) if model else None
+    @F.pandas_udf("string")
+    def key_of(found: pd.Series) -> pd.Series:
+        return found.map(lambda model: best_key(model, keys) if model else None)
 
     return models.select("model").distinct().withColumn("key", key_of("model"))
 
@@ -129,8 +138,9 @@ def computed_cost() -> Column:
 
 def with_cost(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Events with ``cost_usd`` (a recorded cost wins, also 0) and ``priced`` (false where a price was needed and missing)."""
+    # prices are bounded by ``resolve_models``; how many models there are is up to the data, so that join is left to the planner
     keyed = resolve_models(events.where("cost_usd is null"), prices).join(F.broadcast(prices), "key")
-    joined = events.join(F.broadcast(keyed.drop("key")), "model", "left")
+    joined = events.join(keyed.drop("key"), "model", "left")
     priced = F.col("cost_usd").isNotNull() | F.col("input_rate").isNotNull()
     return joined.withColumn("priced", priced).withColumn("cost_usd", F.coalesce("cost_usd", computed_cost())).drop(*RATES)
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,12 +61,13 @@ def _short(w: str) -> bool:
     return n > 2 and _consonant(w, n - 3) and not _consonant(w, n - 2) and _consonant(w, n - 1) and w[-1] not in "wxy"
 
 
-#: The suffix lists of Porter's 1980 algorithm, steps 2 to 4.
-STEP2 = "ational ate tional tion enci ence anci ance izer ize abli able alli al entli ent eli e ousli ous ization ize ation ate ator ate alism al iveness ive fulness ful ousness ous aliti al iviti ive biliti ble logi log bli ble".split()  # noqa: SIM905
-STEP3 = "icate ic ative _ alize al iciti ic ical ic ful _ ness _".split()  # noqa: SIM905
+#: The suffixes of Porter's 1980 algorithm, steps 2 to 4, with the two later changes in step 2 (bli, logi).
+STEP2 = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
+    ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"), ("bli", "ble"),
+)
+STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()  # noqa: SIM905
-_PAIRS2 = [(a, b) for a, b in zip(STEP2[::2], STEP2[1::2], strict=True) if a not in ("abli",)]
-_PAIRS3 = [(a, "" if b == "_" else b) for a, b in zip(STEP3[::2], STEP3[1::2], strict=True)]
 
 
 @lru_cache(maxsize=1 << 16)
@@ -96,7 +98,7 @@ def porter(w: str) -> str:
             w = cut
     if w.endswith("y") and _vowel(w[:-1]):
         w = w[:-1] + "i"
-    for pairs in (_PAIRS2, _PAIRS3):
+    for pairs in (STEP2, STEP3):
         hit = max((p for p in pairs if w.endswith(p[0])), key=lambda p: len(p[0]), default=None)
         if hit and _measure(w[: -len(hit[0])]) > 0:
             w = w[: -len(hit[0])] + hit[1]
@@ -143,12 +145,15 @@ def places(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem: bool = True) -> DataFrame:
-    """(key, col, pos, term). Each distinct token is folded and stemmed once."""
+    """(key, col, pos, term). Tokens are folded and stemmed where they stand, so nothing is shuffled by token; workers remember common ones."""
     rows = places(docs, key, columns or list(WEIGHTS))
-    if not stem:
-        return rows.withColumn("term", F.lower("token")).drop("token")
-    terms = rows.select("token").distinct().withColumn("term", _term("token"))
-    return rows.join(terms, "token").drop("token")
+    return rows.withColumn("term", _term("token") if stem else F.lower("token")).drop("token")
+
+
+def text_lengths(docs: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
+    """(key, length): tokens of each document with any, counted without postings."""
+    counts = [F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), APART), lambda t: t != "")) for c in columns or list(WEIGHTS)]
+    return docs.select(F.col(key).alias("key"), sum(counts, F.lit(0)).cast("long").alias("length")).groupBy("key").agg(F.sum("length").alias("length")).where("length > 0")
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -156,28 +161,31 @@ def lengths(index: DataFrame) -> DataFrame:
 
 
 def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(key, phrase, col, n): how often each phrase stands in each column. Only postings of the phrases' terms are read."""
+    """(key, phrase, col, n, first): how often each phrase stands in each column. One pass over the postings, of which only the phrases' terms go on."""
     wanted = sorted({t for p in phrases for t in p})
-    found = index.where(F.col("term").isin(*wanted))
-    out = None
-    for i, phrase in enumerate(phrases):
-        hits = found.where(F.col("term") == phrase[0]).select("key", "col", "pos")
-        for j, term in enumerate(phrase[1:], 1):
-            following = found.where(F.col("term") == term).select("key", "col", (F.col("pos") - j).alias("pos"))
-            hits = hits.join(following, ["key", "col", "pos"], "left_semi")
-        part = hits.groupBy("key", "col").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).withColumn("phrase", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    if not wanted:
+        return index.select("key", F.lit(0).alias("phrase"), "col", F.lit(0).cast("long").alias("n"), F.col("pos").alias("first")).limit(0)
+    places = [F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"at{i}") for i, t in enumerate(wanted)]
+    found = index.where(F.col("term").isin(*wanted)).groupBy("key", "col").agg(*places)
+
+    def starts(phrase: list[str]) -> Column:
+        at = [F.col(f"at{wanted.index(t)}") for t in phrase]
+        return F.filter(at[0], lambda p: reduce(and_, (F.array_contains(x, p + j) for j, x in enumerate(at[1:], 1)), F.lit(True)))
+
+    each = F.array(*[F.struct(F.lit(i).alias("phrase"), starts(p).alias("at")) for i, p in enumerate(phrases)])
+    hits = found.select("key", "col", F.explode(each).alias("x")).where(F.size("x.at") > 0)
+    return hits.select("key", "x.phrase", "col", F.size("x.at").cast("long").alias("n"), F.array_min("x.at").alias("first"))
 
 
-def bm25(index: DataFrame, phrases: list[list[str]], weights: dict[str, float] | None = None, documents: DataFrame | None = None) -> DataFrame:
+def bm25(index: DataFrame, phrases: list[list[str]], weights: dict[str, float] | None = None, documents: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(key, score) of documents with any of the phrases; lower is better.
 
     Weights multiply how often a phrase stands in a column. ``documents``
-    (key) is what the index covers, where texts may be empty.
+    (key) is what the index covers, where texts may be empty; ``sizes`` the
+    documents' lengths, if they are known without the postings.
     """
     weights = weights or WEIGHTS
-    sizes = lengths(index)
+    sizes = lengths(index) if sizes is None else sizes
     total = (documents if documents is not None else sizes).agg(F.count(F.lit(1)).alias("docs"))
     mean = sizes.agg(F.sum("length").alias("tokens"))
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
@@ -213,9 +221,9 @@ def snippet(columns: dict[str, str], phrases: list[list[str]], size: int = SNIPP
     return ("…" if start else "") + body + ("…" if end < len(spans) else "")
 
 
-def ranked(scores: DataFrame, sessions: DataFrame, limit: int, *filters: Column) -> DataFrame:
-    """Best sessions first; filters narrow what is shown, not the figures of the index."""
-    rows = sessions
+def ranked(scores: DataFrame, runs: DataFrame, limit: int, *filters: Column) -> DataFrame:
+    """Best runs first; filters narrow what is shown, not the figures of the index."""
+    rows = runs
     for f in filters:
         rows = rows.where(f)
     return rows.join(scores.withColumnRenamed("key", "file_path"), "file_path").orderBy("score", "file_path").limit(limit)

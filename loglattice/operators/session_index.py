@@ -154,7 +154,7 @@ def _last(value: Column, when: Column | None = None) -> Column:
     return F.max_by(value, F.when(value.isNotNull() if when is None else when, F.col("line_no")))
 
 
-def sessions(lines: DataFrame, subagents: DataFrame | None = None) -> DataFrame:
+def session_rows(lines: DataFrame, subagents: DataFrame | None = None) -> DataFrame:
     """The session table: one row for each file that names a working folder outside of worktrees and bare repositories.
 
     ``subagents`` adds its user texts to the searchable text of the parent.
@@ -207,5 +207,7 @@ def messages(lines: DataFrame) -> DataFrame:
     return shown.select("file_path", (F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1).alias("index"), "role", "text")
 
 
-def message_page(all_messages: DataFrame, file_path: str, offset: int = 0, limit: int = 20) -> DataFrame:
-    return all_messages.where((F.col("file_path") == file_path) & (F.col("index") >= offset) & (F.col("index") < offset + limit)).orderBy("index")
+def message_page(all_messages: DataFrame, file_path: str | None, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of one file's messages in order, or of every file's."""
+    of = F.lit(True) if file_path is None else F.col("file_path") == file_path
+    return all_messages.where(of & (F.col("index") >= offset) & (F.col("index") < offset + limit)).orderBy("index")

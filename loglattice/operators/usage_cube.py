@@ -33,24 +33,24 @@ def _measures(*names: str) -> list[Column]:
     every = {
         "tokens": F.sum("tokens").cast("long").alias("tokens"),
         "cost_usd": round2(F.sum("cost")).alias("cost_usd"),
-        "sessions": F.count_distinct("tool", "session_id").alias("sessions"),
+        "session_count": F.count_distinct("tool", "session_id").alias("session_count"),
         "messages": F.sum("messages").cast("long").alias("messages"),
     }
     return [every[n] for n in names]
 
 
-ALL = ("tokens", "cost_usd", "sessions", "messages")
+ALL = ("tokens", "cost_usd", "session_count", "messages")
 #: Keys of each breakdown and what it measures.
 SLOTS = {
     "tool": (("tool",), ALL),
     "provider": (("provider",), ("tokens", "cost_usd")),
     "model": (MODEL_KEY, ALL),
-    "project": (("project",), ("tokens", "cost_usd", "sessions")),
+    "project": (("project",), ("tokens", "cost_usd", "session_count")),
 }
 
 
 def daily(base: DataFrame) -> DataFrame:
-    """(date, tokens, cost_usd, sessions, messages)."""
+    """(date, tokens, cost_usd, session_count, messages)."""
     return base.groupBy("date").agg(*_measures(*ALL))
 
 
@@ -76,9 +76,9 @@ def grouping_sets(base: DataFrame) -> DataFrame:
 
 
 def breakdown(days: DataFrame, slot: str) -> DataFrame:
-    """Totals over ``daily_by`` rows: costs add up as rounded a day and are rounded again, sessions count once a day."""
+    """Totals over ``daily_by`` rows: costs add up as rounded a day and are rounded again, runs count once a day."""
     keys, measures = SLOTS[slot]
-    sums = {"tokens": F.sum("tokens").cast("long"), "cost_usd": round2(F.sum(F.col("cost_usd").cast(MONEY))), "sessions": F.sum("sessions").cast("long"), "messages": F.sum("messages").cast("long")}
+    sums = {"tokens": F.sum("tokens").cast("long"), "cost_usd": round2(F.sum(F.col("cost_usd").cast(MONEY))), "session_count": F.sum("session_count").cast("long"), "messages": F.sum("messages").cast("long")}
     out = days.groupBy(*keys).agg(*[sums[m].alias(m) for m in measures])
     if slot in ("tool", "provider"):
         labels = TOOL_LABELS if slot == "tool" else PROVIDER_LABELS
@@ -101,15 +101,15 @@ def weekday_histogram(days: DataFrame) -> DataFrame:
 
 
 def weekly(days: DataFrame) -> DataFrame:
-    """(week_ending, tokens, cost_usd, sessions, messages) of every week from the first active one to the last, empty ones too."""
-    weeks = days.groupBy(week_ending(F.col("date")).alias("week")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("cost_usd").cast(MONEY)).alias("cost"), F.sum("sessions").alias("sessions"), F.sum("messages").alias("messages"))
+    """(week_ending, tokens, cost_usd, session_count, messages) of every week from the first active one to the last, empty ones too."""
+    weeks = days.groupBy(week_ending(F.col("date")).alias("week")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("cost_usd").cast(MONEY)).alias("cost"), F.sum("session_count").alias("session_count"), F.sum("messages").alias("messages"))
     span = weeks.agg(F.min("week").alias("a"), F.max("week").alias("b")).where("a is not null")
     dense = span.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week"))
     joined = dense.join(weeks, "week", "left")
     zero = F.lit(0)
     return joined.select(
         F.date_format("week", "yyyy-MM-dd").alias("week_ending"), F.coalesce("tokens", zero).cast("long").alias("tokens"), round2(F.coalesce("cost", zero.cast(MONEY))).alias("cost_usd"),
-        F.coalesce("sessions", zero).cast("long").alias("sessions"), F.coalesce("messages", zero).cast("long").alias("messages"),
+        F.coalesce("session_count", zero).cast("long").alias("session_count"), F.coalesce("messages", zero).cast("long").alias("messages"),
     )
 
 
@@ -147,12 +147,12 @@ def favourite_model(models: DataFrame) -> DataFrame:
 
 
 def summary(base: DataFrame, today: str) -> DataFrame:
-    """One row: total_tokens, total_cost_usd, sessions, messages, active_days, streaks, peak hour, favourite model."""
+    """One row: total_tokens, total_cost_usd, session_count, messages, active_days, streaks, peak hour, favourite model."""
     days = daily(base)
     zero = F.lit(0)
     totals = days.agg(
         F.coalesce(F.sum("tokens"), zero).cast("long").alias("total_tokens"), round2(F.coalesce(F.sum(F.col("cost_usd").cast(MONEY)), zero.cast(MONEY))).alias("total_cost_usd"),
-        F.coalesce(F.sum("sessions"), zero).cast("long").alias("sessions"), F.coalesce(F.sum("messages"), zero).cast("long").alias("messages"), F.count_distinct("date").alias("active_days"),
+        F.coalesce(F.sum("session_count"), zero).cast("long").alias("session_count"), F.coalesce(F.sum("messages"), zero).cast("long").alias("messages"), F.count_distinct("date").alias("active_days"),
     )
     models = breakdown(daily_by(base, "model"), "model")
     # each side is one row
@@ -173,13 +173,13 @@ def merge_daily(prior: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def without_projects(prior_days: DataFrame, prior_projects: DataFrame, kept: Column) -> DataFrame:
-    """Prior days less what dropped projects contributed: tokens, cost and sessions; messages stay as they were."""
-    gone = prior_projects.where(~kept).groupBy("date").agg(F.sum("tokens").alias("t"), F.sum(F.col("cost_usd").cast(MONEY)).alias("c"), F.sum("sessions").alias("s"))
+    """Prior days less what dropped projects contributed: tokens, cost and runs; messages stay as they were."""
+    gone = prior_projects.where(~kept).groupBy("date").agg(F.sum("tokens").alias("t"), F.sum(F.col("cost_usd").cast(MONEY)).alias("c"), F.sum("session_count").alias("s"))
     joined = prior_days.join(gone, "date", "left")
     zero = F.lit(0)
     return joined.select(
         "date", (F.col("tokens") - F.coalesce("t", zero)).cast("long").alias("tokens"), round2(F.col("cost_usd").cast(MONEY) - F.coalesce("c", zero.cast(MONEY))).alias("cost_usd"),
-        (F.col("sessions") - F.coalesce("s", zero)).cast("long").alias("sessions"), "messages",
+        (F.col("session_count") - F.coalesce("s", zero)).cast("long").alias("session_count"), "messages",
     )
 
 

@@ -60,11 +60,12 @@ def codex_events(lines: DataFrame) -> DataFrame:
     """Token counts with the latest session and model before them in the file; counts before either are left out.
 
     The session is filled as a whole, so a later one without a folder doesn't
-    take over an earlier one's.
+    take over an earlier one's. One whose id is no string is none.
     """
     v = F.col("v")
     kind = _string(v, "$.type")
-    meta = F.when(kind == "session_meta", F.struct(F.coalesce(_string(v, "$.payload.id"), F.lit("")).alias("id"), F.coalesce(_string(v, "$.payload.cwd"), F.lit("")).alias("cwd")))
+    named = (kind == "session_meta") & _string(v, "$.payload.id").isNotNull()
+    meta = F.when(named, F.struct(_string(v, "$.payload.id").alias("id"), F.coalesce(_string(v, "$.payload.cwd"), F.lit("")).alias("cwd")))
     model = F.when(kind == "turn_context", _string(v, "$.payload.model"))
     usage = "$.payload.info.last_token_usage"
     counted = (kind == "event_msg") & (_string(v, "$.payload.type") == "token_count")

@@ -17,17 +17,17 @@ def _r2(x: str) -> str:
 
 COST = _r2("sum(cost)") + " AS cost_usd"
 TOKENS = "sum(tokens)::BIGINT AS tokens"
-SESSIONS = "count(DISTINCT tool || '|' || session_id) AS sessions"
+SESSION_COUNT = "count(DISTINCT tool || '|' || session_id) AS session_count"
 MESSAGES = "count(*) AS messages"
 SLOTS = {
-    "tool": ("tool", (TOKENS, COST, SESSIONS, MESSAGES)),
+    "tool": ("tool", (TOKENS, COST, SESSION_COUNT, MESSAGES)),
     "provider": ("provider", (TOKENS, COST)),
-    "model": ("tool, provider, model", (TOKENS, COST, SESSIONS, MESSAGES)),
-    "project": ("project", (TOKENS, COST, SESSIONS)),
+    "model": ("tool, provider, model", (TOKENS, COST, SESSION_COUNT, MESSAGES)),
+    "project": ("project", (TOKENS, COST, SESSION_COUNT)),
 }
-DAILY = f"SELECT date, {TOKENS}, {COST}, {SESSIONS}, {MESSAGES} FROM ev GROUP BY date"
+DAILY = f"SELECT date, {TOKENS}, {COST}, {SESSION_COUNT}, {MESSAGES} FROM ev GROUP BY date"
 #: Measures of totals over days.
-SUMS = {TOKENS: TOKENS, COST: _r2("sum(cost_usd::DECIMAL(38,12))") + " AS cost_usd", SESSIONS: "sum(sessions)::BIGINT AS sessions", MESSAGES: "sum(messages)::BIGINT AS messages"}
+SUMS = {TOKENS: TOKENS, COST: _r2("sum(cost_usd::DECIMAL(38,12))") + " AS cost_usd", SESSION_COUNT: "sum(session_count)::BIGINT AS session_count", MESSAGES: "sum(messages)::BIGINT AS messages"}
 
 
 def _by_day(slot: str, source: str = "ev") -> str:
@@ -50,12 +50,14 @@ SCORED = f"""{SESSION}, scored AS (SELECT *, (log2(message_count + 1.0) + 0.5 *
   * pow(0.5, greatest(epoch(TIMESTAMP '1998-08-02' - created_at::TIMESTAMP) / 86400.0, 0) / 7.0) AS score, message_count <= 2 AND n_files = 0 AND NOT proof AS trivial FROM s)"""
 PRIMER = f"""WITH {SCORED}, scope AS (SELECT * FROM scored WHERE (cwd = '/ASIA' OR starts_with(cwd, '/ASIA/')) AND created_at >= strftime(DATE '1998-08-02' - 900, '%Y-%m-%d')),
   best AS (SELECT * FROM scope WHERE NOT trivial OR NOT EXISTS (FROM scope WHERE NOT trivial) ORDER BY score DESC, created_at DESC, date DESC, file_path LIMIT 10)"""
-INDEXED = "m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index, role, text, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')"
 STRIPPED = "text"
 for _tag in ("system-reminder", "local-command-caveat", "local-command-stdout", "command-name", "command-message", "command-args"):
     STRIPPED = f"regexp_replace({STRIPPED}, '<{_tag}>.*?</{_tag}>', '', 'gs')"
 
 
+INDEXED = f"m AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index, role, text FROM (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {STRIPPED} ELSE text END AS text FROM conversations WHERE role IN ('user', 'assistant')) WHERE trim(text) <> '')"
+
+
 def _clean(x: str) -> str:
     return f"substr(trim(regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), 1, 100)"
 
@@ -72,40 +74,47 @@ def _tiered(tokens: str, rate: str, above: str) -> str:
 PRICED = " + ".join((_tiered("input", "rate", "above"), _tiered("output", "(rate * 5)", "NULL::DOUBLE"), _tiered("cache_read", "coalesce(read, rate * 0.1::DOUBLE)", "NULL::DOUBLE"), _tiered("greatest(0, cache_write - hour)", "coalesce(write, rate * 1.25::DOUBLE)", "NULL::DOUBLE"), _tiered("hour", "(rate * 2)", "(above * 2)")))
 NOT_WORD = r"[^\p{L}\p{N}\p{M}\p{Co}]+"
 
+
+
+def _stem(x: str) -> str:
+    """The stems that search_stemmed_top looks for; other words stay as they are, which counts alike."""
+    return f"CASE WHEN regexp_full_match({x}, 'licens(e|es|ed|ing|ings|er|ers)?') THEN 'licens' WHEN regexp_full_match({x}, 'version(s|ed|ing)?') THEN 'version' WHEN regexp_full_match({x}, 'public(s|ize|ized|al)?') THEN 'public' ELSE {x} END"
+
+
 SQL: dict[str, str] = {
     "usage_daily": f"WITH {_events()} {DAILY}",
     **{f"usage_daily_by_{s}": f"WITH {_events()} {_by_day(s)}" for s in SLOTS},
     **{f"usage_by_{s}": _totals(s) for s in SLOTS},
     "usage_grouping_sets": f"""WITH {_events()} SELECT date, tool, provider, model, project, CASE WHEN grouping(project) = 0 THEN 'project' WHEN grouping(model) = 0 THEN 'model' WHEN grouping(provider) = 0 THEN 'provider' WHEN grouping(tool) = 0 THEN 'tool' ELSE 'day' END AS slot,
-      {TOKENS}, {COST}, {SESSIONS}, {MESSAGES} FROM ev GROUP BY GROUPING SETS ((date), (date, tool), (date, provider), (date, tool, provider, model), (date, project))""",
+      {TOKENS}, {COST}, {SESSION_COUNT}, {MESSAGES} FROM ev GROUP BY GROUPING SETS ((date), (date, tool), (date, provider), (date, tool, provider, model), (date, project))""",
     "usage_summary": f"""WITH {_events()}, days AS ({DAILY}), runs AS (SELECT count(*) AS n, min(d) AS a, max(d) AS b FROM (SELECT date::DATE AS d, date::DATE - row_number() OVER (ORDER BY date)::INT AS run FROM days) GROUP BY run),
       models AS (SELECT tool, provider, model, count(*) AS n FROM ev GROUP BY tool, provider, model ORDER BY n DESC, tool || '|' || provider || '|' || model LIMIT 1), hours AS (SELECT hour, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, hour LIMIT 1)
-      SELECT sum(tokens)::BIGINT AS total_tokens, {_r2("sum(cost_usd::DECIMAL(38,12))")} AS total_cost_usd, sum(sessions)::BIGINT AS sessions, sum(messages)::BIGINT AS messages, count(*) AS active_days,
+      SELECT sum(tokens)::BIGINT AS total_tokens, {_r2("sum(cost_usd::DECIMAL(38,12))")} AS total_cost_usd, sum(session_count)::BIGINT AS session_count, sum(messages)::BIGINT AS messages, count(*) AS active_days,
       (SELECT coalesce(max(CASE WHEN a <= DATE '2024-01-30' AND b >= DATE '2024-01-30' THEN DATE '2024-01-30' - a + 1 END), 0)::BIGINT FROM runs) AS current_streak, (SELECT max(n) FROM runs) AS longest_streak, (SELECT hour FROM hours) AS peak_hour,
       (SELECT tool FROM models) AS favourite_tool, (SELECT provider FROM models) AS favourite_provider, (SELECT model FROM models) AS favourite_model FROM days""",
     "usage_hour_hist": f"WITH {_events()} SELECT h::INT AS hour, count(event_id) AS messages FROM range(24) t(h) LEFT JOIN ev ON hour = h GROUP BY 1",
     "usage_daily_hours": f"WITH {_events()} SELECT date, h::INT AS hour, count(event_id) AS messages FROM (SELECT DISTINCT date FROM ev) CROSS JOIN range(24) t(h) LEFT JOIN (SELECT date AS d, hour, event_id FROM ev) ON d = date AND hour = h GROUP BY 1, 2",
     "usage_weekday_hist": f"WITH {_events()} SELECT w::INT AS weekday, count(event_id) AS messages FROM range(7) t(w) LEFT JOIN ev ON dayofweek(date::DATE) = w GROUP BY 1",
-    "usage_weekly_dense": f"""WITH {_events()}, days AS (SELECT *, date::DATE AS d FROM ({DAILY})), weeks AS (SELECT {WEEK} AS week, sum(tokens) AS tokens, sum(cost_usd::DECIMAL(38,12)) AS cost, sum(sessions) AS sessions, sum(messages) AS messages FROM days WHERE {WEEK} <> DATE '2024-01-14' GROUP BY 1)
-      SELECT strftime(g, '%Y-%m-%d') AS week_ending, coalesce(tokens, 0)::BIGINT AS tokens, {_r2("coalesce(cost, 0)")} AS cost_usd, coalesce(sessions, 0)::BIGINT AS sessions, coalesce(messages, 0)::BIGINT AS messages
+    "usage_weekly_dense": f"""WITH {_events()}, days AS (SELECT *, date::DATE AS d FROM ({DAILY})), weeks AS (SELECT {WEEK} AS week, sum(tokens) AS tokens, sum(cost_usd::DECIMAL(38,12)) AS cost, sum(session_count) AS session_count, sum(messages) AS messages FROM days WHERE {WEEK} <> DATE '2024-01-14' GROUP BY 1)
+      SELECT strftime(g, '%Y-%m-%d') AS week_ending, coalesce(tokens, 0)::BIGINT AS tokens, {_r2("coalesce(cost, 0)")} AS cost_usd, coalesce(session_count, 0)::BIGINT AS session_count, coalesce(messages, 0)::BIGINT AS messages
       FROM (SELECT unnest(generate_series(min(week)::TIMESTAMP, max(week)::TIMESTAMP, INTERVAL 7 DAY)) AS g FROM weeks) LEFT JOIN weeks ON week = g::DATE""",
     "usage_weekly_by_tool": f"WITH {_events()}, days AS (SELECT *, date::DATE AS d FROM ({_by_day('tool')})) SELECT strftime({WEEK}, '%Y-%m-%d') AS week_ending, tool, {TOKENS}, {SUMS[COST]} FROM days GROUP BY 1, 2",
     "usage_streaks": f"""WITH {_events()}, days AS (SELECT DISTINCT date::DATE AS d FROM ev WHERE dayofweek(date::DATE) <> 3 AND date <> '2024-01-10'), runs AS (SELECT count(*) AS n, min(d) AS a, max(d) AS b FROM (SELECT d, d - row_number() OVER (ORDER BY d)::INT AS run FROM days) GROUP BY run)
       SELECT coalesce(max(CASE WHEN a <= DATE '2024-01-30' AND b >= DATE '2024-01-30' THEN DATE '2024-01-30' - a + 1 END), 0)::BIGINT AS current_streak, max(n) AS longest_streak FROM runs""",
     "usage_period_filter": f"WITH {_events('Asia/Tokyo')} {DAILY.replace('FROM ev', 'FROM ev WHERE date BETWEEN $$2024-01-15$$ AND $$2024-01-20$$')}",
     "usage_allow_deny": _totals("project", "(project IN ('proj1', 'proj2') OR starts_with(project, 'proj3') OR starts_with(project, 'proj4')) AND project <> 'proj2' AND NOT starts_with(project, 'proj4')"),
-    "usage_prior_merge": f"""WITH {_events()}, days AS ({DAILY}), gone AS (SELECT date, sum(tokens) AS t, sum(cost_usd::DECIMAL(38,12)) AS c, sum(sessions) AS s FROM ({_by_day('project')}) WHERE project = 'proj0' GROUP BY 1)
-      SELECT date, (tokens - coalesce(t, 0))::BIGINT AS tokens, {_r2("cost_usd::DECIMAL(38,12) - coalesce(c, 0)")} AS cost_usd, (sessions - coalesce(s, 0))::BIGINT AS sessions, messages, 'prior' AS src FROM days LEFT JOIN gone USING (date) WHERE date < '2024-01-15'
-      UNION ALL SELECT date, tokens, cost_usd, sessions, messages, 'fresh' FROM days WHERE date >= '2024-01-15'""",
+    "usage_prior_merge": f"""WITH {_events()}, days AS ({DAILY}), gone AS (SELECT date, sum(tokens) AS t, sum(cost_usd::DECIMAL(38,12)) AS c, sum(session_count) AS s FROM ({_by_day('project')}) WHERE project = 'proj0' GROUP BY 1)
+      SELECT date, (tokens - coalesce(t, 0))::BIGINT AS tokens, {_r2("cost_usd::DECIMAL(38,12) - coalesce(c, 0)")} AS cost_usd, (session_count - coalesce(s, 0))::BIGINT AS session_count, messages, 'prior' AS src FROM days LEFT JOIN gone USING (date) WHERE date < '2024-01-15'
+      UNION ALL SELECT date, tokens, cost_usd, session_count, messages, 'fresh' FROM days WHERE date >= '2024-01-15'""",
     "pricing_tiered_cost": f"WITH {LINE_USAGE} SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, round(coalesce(recorded, CASE WHEN rate IS NULL THEN 0.0 ELSE {PRICED} END), 9) AS cost FROM u LEFT JOIN p ON l_partkey = p_partkey",
-    "pricing_warnings": f"WITH {LINE_USAGE} SELECT l_partkey::VARCHAR AS model, count(*) AS events, sum(input + output + cache_read + cache_write)::BIGINT AS tokens FROM u WHERE recorded IS NULL AND l_partkey NOT IN (SELECT p_partkey FROM p WHERE p_partkey % 4 <> 0) AND input > 0 GROUP BY 1",
+    "pricing_warnings": f"WITH {LINE_USAGE} SELECT l_partkey::VARCHAR AS model, count(*) AS events, sum(input + output + cache_read + cache_write)::BIGINT AS tokens FROM u WHERE recorded IS NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) AND input > 0 GROUP BY 1",
     "asof_forward_fill": """SELECT event_id, signup_id, signup_value FROM (SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS signup_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS signup_value FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE signup_id IS NOT NULL""",
     "dedup_first_seen": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(text, '')",
     "usage_dedup_messages": "SELECT event_id FROM events QUALIFY user_id % 2 <> 0 OR row_number() OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY ts, event_id) = 1",
     "msgs_indexed": f"WITH {INDEXED} SELECT conv_id, index::INT AS index, role, text FROM m",
-    "msgs_page": f"WITH {INDEXED} SELECT conv_id, index::INT AS index, role, total FROM m WHERE index >= 1 AND index < 3",
-    "session_counts": "SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS message_count FROM conversations GROUP BY 1",
+    "msgs_page": f"WITH {INDEXED} SELECT conv_id, index::INT AS index, role FROM m WHERE index >= 1 AND index < 3",
+    "session_counts": "SELECT conv_id, (count(*) FILTER (WHERE role IN ('user', 'assistant')))::INT AS message_count FROM conversations GROUP BY 1",
     "session_first_prompt": f"SELECT conv_id, {_clean('arg_min(t, turn)')} AS text FROM (SELECT conv_id, turn, {STRIPPED} AS t FROM conversations WHERE role = 'user') WHERE trim(t) <> '' GROUP BY 1",
     "session_closing": r"""SELECT conv_id, substr(trim(coalesce(arg_max(text, turn) FILTER (WHERE role = 'user' AND trim(text) <> ''), '')), 1, 500) AS closing_user,
       substr(trim(regexp_replace(array_to_string(list_filter(string_split(coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant' AND trim(text) <> ''), ''), chr(10)), lambda x: NOT regexp_matches(x, '^\s*★\s*Insight\s*─*\s*$') AND NOT regexp_matches(x, '^\s*─{5,}\s*$')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g')), 1, 500) AS closing_assistant
@@ -117,30 +126,40 @@ SQL: dict[str, str] = {
     "session_display": f"""WITH {SESSION}, x AS (SELECT *, DATE '1998-08-02' - date::DATE AS age_days FROM s) SELECT file_path, first_prompt AS display_text, regexp_extract(cwd, '[^/]+$') AS folder,
       CASE WHEN age_days <= 0 THEN 'today' WHEN age_days = 1 THEN 'yesterday' WHEN age_days < 7 THEN age_days || 'd' WHEN age_days < 30 THEN (age_days // 7) || 'w' ELSE date END AS age,
       'cd "' || cwd || '"' || CASE WHEN tool = '1-URGENT' THEN ' && claude --resume ' || file_path ELSE '' END AS resume FROM x""",
-    "sessions_recent": f"WITH {SESSION} SELECT file_path, date, cwd, tool FROM s ORDER BY date DESC, file_path LIMIT 50",
-    "sessions_scoped": f"WITH {SESSION} SELECT file_path, created_at, cwd, tool FROM s WHERE tool = '1-URGENT' AND (cwd = '/EUROPE' OR starts_with(cwd, '/EUROPE/')) AND errored",
-    "sessions_range": f"WITH {SESSION} SELECT file_path, created_at, cwd, tool FROM s WHERE created_at >= '1995-01-01' AND created_at <= '1995-01-31'",
+    "session_recent": f"WITH {SESSION} SELECT file_path, date, cwd, tool FROM s ORDER BY date DESC, file_path LIMIT 50",
+    "session_scoped": f"WITH {SESSION} SELECT file_path, created_at, cwd, tool FROM s WHERE tool = '1-URGENT' AND (cwd = '/EUROPE' OR starts_with(cwd, '/EUROPE/')) AND errored",
+    "session_range": f"WITH {SESSION} SELECT file_path, created_at, cwd, tool FROM s WHERE created_at >= '1995-01-01' AND created_at <= '1995-01-31'",
     "digest_compact": f"""{RANGED}, tools AS (SELECT created_at, cwd, string_agg(tool, '|' ORDER BY o) AS tools FROM (SELECT created_at, cwd, tool, min(file_path) AS o FROM r GROUP BY ALL) GROUP BY 1, 2),
       topics AS (SELECT created_at, cwd, string_agg(t, '|' ORDER BY o) AS topics FROM (SELECT created_at, cwd, first_prompt AS t, min(file_path) AS o FROM r WHERE first_prompt <> '' GROUP BY created_at, cwd, first_prompt QUALIFY row_number() OVER (PARTITION BY created_at, cwd ORDER BY o) <= 10) GROUP BY 1, 2),
       paths AS (SELECT created_at, cwd, string_agg(file_path, '|' ORDER BY file_path) AS file_paths FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY created_at, cwd ORDER BY file_path DESC) <= 5) GROUP BY 1, 2)
-      SELECT created_at, cwd, count(*) AS sessions, sum(message_count)::BIGINT AS messages, any_value(tools) AS tools, any_value(topics) AS topics, any_value(file_paths) AS file_paths FROM r JOIN tools USING (created_at, cwd) JOIN topics USING (created_at, cwd) JOIN paths USING (created_at, cwd) GROUP BY 1, 2""",
+      SELECT created_at, cwd, count(*) AS session_count, sum(message_count)::BIGINT AS messages, any_value(tools) AS tools, any_value(topics) AS topics, any_value(file_paths) AS file_paths FROM r JOIN tools USING (created_at, cwd) JOIN topics USING (created_at, cwd) JOIN paths USING (created_at, cwd) GROUP BY 1, 2""",
     "digest_details": f"{RANGED} SELECT created_at, cwd, file_path, message_count, row_number() OVER (PARTITION BY created_at, cwd ORDER BY message_count DESC, file_path)::INT AS rank FROM r WHERE message_count > 3 QUALIFY rank <= 10",
-    "digest_totals": f"{RANGED} SELECT count(*) AS sessions, sum(message_count)::BIGINT AS messages, count(DISTINCT cwd) AS projects FROM r",
-    "metrics_totals": f"{RANGED} SELECT count(*) AS sessions, sum(message_count)::BIGINT AS messages FROM r",
-    **{f"metrics_{n}": f"{RANGED} SELECT {c}, count(*) AS sessions, sum(message_count)::BIGINT AS messages FROM r GROUP BY 1" for n, c in (("tool", "tool"), ("project", "cwd"), ("daily", "created_at"))},
-    "metrics_hours": "SELECT strftime(ts, '%H') AS hour, count(*) AS sessions FROM (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1) GROUP BY 1",
+    "digest_totals": f"{RANGED} SELECT count(*) AS session_count, sum(message_count)::BIGINT AS messages, count(DISTINCT cwd) AS projects FROM r",
+    "metrics_totals": f"{RANGED} SELECT count(*) AS session_count, sum(message_count)::BIGINT AS messages FROM r",
+    **{f"metrics_{n}": f"{RANGED} SELECT {c}, count(*) AS session_count, sum(message_count)::BIGINT AS messages FROM r GROUP BY 1" for n, c in (("tool", "tool"), ("project", "cwd"), ("daily", "created_at"))},
+    "metrics_hours": "SELECT strftime(ts, '%H') AS hour, count(*) AS session_count FROM (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1) GROUP BY 1",
     "session_scores": f"WITH {SCORED} SELECT file_path, round(score, 6) AS score, trivial FROM scored",
     "primer_recent": f"{PRIMER} SELECT file_path, round(score, 6) AS score FROM best",
     "primer_headlines": f"{PRIMER} SELECT file_path, created_at FROM scope WHERE file_path NOT IN (SELECT file_path FROM best) ORDER BY created_at DESC, date DESC, file_path LIMIT 40",
+    "search_stemmed_top": rf"""WITH c AS (SELECT doc_id, unnest([10.0, 3.0, 5.0])::DOUBLE AS w, unnest([split_part(text, chr(10), 1), text, source]) AS t FROM documents),
+      k AS (SELECT doc_id, w, list_transform(list_filter(regexp_split_to_array(coalesce(t, ''), '{NOT_WORD}'), lambda x: x <> ''), lambda x: {_stem("lower(strip_accents(x))")}) AS words FROM c),
+      size AS (SELECT doc_id, sum(len(words)) AS n FROM k GROUP BY 1 HAVING n > 0), corpus AS (SELECT (SELECT count(*) FROM documents) AS docs, sum(n) AS tokens FROM size),
+      hit AS (SELECT doc_id, 'licens' AS q, w * len(list_filter(words, lambda x: x = 'licens')) AS tf FROM k UNION ALL SELECT doc_id, 'public', w * len(list_filter(words, lambda x: x = 'public')) FROM k
+        UNION ALL SELECT doc_id, 'version 2', w * len(list_filter(range(1, len(words)), lambda i: words[i] = 'version' AND words[i + 1] = '2')) FROM k),
+      tf AS (SELECT doc_id, q, sum(tf) AS tf FROM hit GROUP BY 1, 2 HAVING sum(tf) > 0), df AS (SELECT q, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN corpus GROUP BY 1)
+      SELECT doc_id, round(-sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (tokens / docs)))), 6) AS score FROM tf JOIN df USING (q) JOIN size USING (doc_id) CROSS JOIN corpus GROUP BY 1 ORDER BY score, doc_id LIMIT 20""",
+    "pricing_fuzzy_match": r"""WITH m AS (SELECT DISTINCT 'eu/' || lower(p_brand) || '-2024' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') || '01' AS model FROM part), k AS (SELECT DISTINCT lower(p_brand) AS key FROM part),
+      hit AS (SELECT model, key FROM m JOIN k ON regexp_matches(model, '(^|[^A-Za-z0-9])' || regexp_escape(key) || '($|[-.][0-9]{8}($|[^A-Za-z0-9])|[^A-Za-z0-9.-]|[-.]($|[^0-9]))'))
+      SELECT model, arg_min(key, (-length(key), key)) AS key FROM m LEFT JOIN hit USING (model) GROUP BY 1""",
     "search_bm25": rf"""WITH c AS (SELECT doc_id, unnest([10.0, 3.0, 5.0])::DOUBLE AS w, unnest([split_part(text, chr(10), 1), text, source]) AS t FROM documents),
       k AS (SELECT doc_id, w, list_filter(regexp_split_to_array(coalesce(t, ''), '{NOT_WORD}'), lambda x: x <> '') AS words FROM c),
       size AS (SELECT doc_id, sum(len(words)) AS n FROM k GROUP BY 1 HAVING n > 0), corpus AS (SELECT (SELECT count(*) FROM documents) AS docs, sum(n) AS tokens FROM size),
       tf AS (SELECT doc_id, q, sum(w * len(list_filter(words, lambda x: lower(x) = q))) AS tf FROM k CROSS JOIN (VALUES ('licensed'), ('apache'), ('src3')) v(q) GROUP BY 1, 2 HAVING tf > 0),
       df AS (SELECT q, count(*) AS df, ln((any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf CROSS JOIN corpus GROUP BY 1)
       SELECT doc_id, round(-sum(CASE WHEN idf <= 0 THEN 1e-6 ELSE idf END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / (tokens / docs)))), 6) AS score FROM tf JOIN df USING (q) JOIN size USING (doc_id) CROSS JOIN corpus GROUP BY 1""",
-    "files_union": """SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: (list_position(w, x), x))), lambda p: p[2]), ' ') AS files
-      FROM (SELECT doc_id, string_split(split_part(text, chr(10), 1), ' ') || string_split(split_part(text, chr(10), 2), ' ') AS w FROM documents)""",
-    "lines_to_sessions": f"""WITH c AS (SELECT *, strftime(DATE '2024-03-01' + (conv_id % 40 + turn)::INT, '%Y-%m-%d') AS day, {STRIPPED} AS t FROM conversations)
+    "files_union": """SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: (list_position(w, x), x))), lambda p: p[2]), ' ') AS files FROM (SELECT doc_id, flatten(list_transform(list_filter(l, lambda x, i: i % 2 = 1), lambda x: string_split(x, ' '))) || flatten(list_transform(list_filter(l, lambda x, i: i % 2 = 0), lambda x: string_split(x, ' '))) AS w
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))""",
+    "lines_to_session": f"""WITH c AS (SELECT *, strftime(DATE '2024-03-01' + (conv_id % 40 + turn)::INT, '%Y-%m-%d') AS day, {STRIPPED} AS t FROM conversations)
       SELECT conv_id::VARCHAR AS session_id, '/w/' || any_value(conv_id % 5) AS cwd, arg_min(day, turn) AS created_at, arg_max(day, turn) AS date, coalesce({_clean("arg_min(t, turn) FILTER (WHERE role = 'user' AND trim(t) <> '')")}, '') AS first_prompt,
       (count(*) FILTER (WHERE role IN ('user', 'assistant')))::INT AS message_count, substr(trim(coalesce(arg_max(t, turn) FILTER (WHERE role = 'user' AND trim(t) <> ''), '')), 1, 500) AS closing_user, (count(*) FILTER (WHERE turn % 9 = 4))::INT AS error_count,
       coalesce((SELECT string_agg(x, '|' ORDER BY o) FROM (SELECT 'run ' || (turn % 2) AS x, min(turn) AS o FROM conversations d WHERE d.conv_id = c.conv_id AND role = 'assistant' AND turn % 3 = 0 GROUP BY 1)), '') AS commands FROM c GROUP BY conv_id""",

@@ -13,8 +13,8 @@ from ..operators import rollups, search
 from ..operators.session_index import message_page
 from ..sources.store import Index
 
-NO_SESSIONS = "No sessions found."
-NONE_IN_RANGE = "No sessions found in that date range."
+NOTHING = "No session found."
+NONE_IN_RANGE = "No session found in that date range."
 #: Words whose text columns are looked at for a snippet.
 TEXTS = list(search.WEIGHTS)
 
@@ -50,9 +50,9 @@ def resolve_repo(cwd: str) -> Repo | None:
     return Repo(container, top or cwd, branches)
 
 
-def search_sessions(index: Index, query: str = "", tool: str | None = None, project: str | None = None, errored: bool = False, limit: int = 20) -> DataFrame:
-    """Sessions by relevance, or the newest ones for an empty query, with score and resume command."""
-    shown = rollups.scoped(index.sessions, tool, project, errored)
+def search_runs(index: Index, query: str = "", tool: str | None = None, project: str | None = None, errored: bool = False, limit: int = 20) -> DataFrame:
+    """Runs by relevance, or the newest ones for an empty query, with score and resume command."""
+    shown = rollups.scoped(index.runs, tool, project, errored)
     phrases = search.query_phrases(query)
     if not query.strip():
         found = rollups.recent(shown, limit).withColumn("score", F.lit(None).cast("double"))
@@ -60,7 +60,7 @@ def search_sessions(index: Index, query: str = "", tool: str | None = None, proj
         found = shown.where("false").withColumn("score", F.lit(None).cast("double"))
     else:
         postings = index.postings.withColumnRenamed("file_path", "key")
-        scores = search.bm25(postings, phrases, documents=index.sessions.select("file_path"))
+        scores = search.bm25(postings, phrases, documents=index.runs.select("file_path"))
         found = search.ranked(scores, shown, limit)
     return found.withColumn("resume_command", resume_command(F.col("tool"), F.col("cwd"), F.col("session_id")))
 
@@ -69,7 +69,7 @@ def search_results(index: Index, query: str = "", **options) -> list[dict]:
     """The same as rows for display, with a snippet of what was found; at most ``limit`` rows reach the driver."""
     phrases = search.query_phrases(query)
     out = []
-    for r in search_sessions(index, query, **options).collect():
+    for r in search_runs(index, query, **options).collect():
         found = search.snippet(r.text.asDict(), phrases) if phrases else None
         title = r.custom_title or None
         out.append(
@@ -99,40 +99,40 @@ def get_session_messages(index: Index, file_path: str, offset: int = 0, limit: i
 
 
 def get_activity_digest(index: Index, start: str, end: str, tool: str | None = None, project: str | None = None, detail: str = "compact") -> dict | str:
-    chosen = rollups.scoped(rollups.in_range(index.sessions, start, end), tool, project)
+    chosen = rollups.scoped(rollups.in_range(index.runs, start, end), tool, project)
     totals = rollups.digest_totals(chosen).first()
-    if not totals.sessions:
+    if not totals.session_count:
         return NONE_IN_RANGE
     days: dict[str, dict] = {}
     for r in rollups.digest(chosen).orderBy("created_at", "cwd").collect():
-        entry = {"project": r.cwd, "sessions": r.sessions, "totalMessages": r.messages, "tools": r.tools, "topics": r.topics, "filePaths": r.file_paths}
+        entry = {"project": r.cwd, "sessionCount": r.session_count, "totalMessages": r.messages, "tools": r.tools, "topics": r.topics, "filePaths": r.file_paths}
         days.setdefault(r.created_at, {})[r.cwd] = entry
     if rollups.DETAIL[detail]:
         for r in rollups.digest_details(chosen, index.messages, detail).orderBy("created_at", "cwd", "rank").collect():
             told = {"sessionId": r.session_id, "messageCount": r.message_count, "userMessages": r.user_messages}
             days[r.created_at][r.cwd].setdefault("sessionDetails", []).append(told)
-    tools = {r.tool: r.sessions for r in rollups.metrics(chosen, "tool").orderBy("tool").collect()}
-    return {"startDate": start, "endDate": end, "totalSessions": totals.sessions, "totalMessages": totals.messages, "projects": totals.projects, "tools": tools, "days": [{"date": d, "projects": list(p.values())} for d, p in days.items()]}
+    tools = {r.tool: r.session_count for r in rollups.metrics(chosen, "tool").orderBy("tool").collect()}
+    return {"startDate": start, "endDate": end, "sessionCount": totals.session_count, "totalMessages": totals.messages, "projects": totals.projects, "tools": tools, "days": [{"date": d, "projects": list(p.values())} for d, p in days.items()]}
 
 
 def get_session_metrics(index: Index, start: str, end: str, tool: str | None = None, project: str | None = None) -> dict | str:
-    chosen = rollups.scoped(rollups.in_range(index.sessions, start, end), tool, project)
+    chosen = rollups.scoped(rollups.in_range(index.runs, start, end), tool, project)
     totals = rollups.metrics(chosen).first()
-    if not totals.sessions:
+    if not totals.session_count:
         return NONE_IN_RANGE
     return {
-        "totalSessions": totals.sessions,
+        "sessionCount": totals.session_count,
         "totalMessages": totals.messages,
-        "toolBreakdown": {r.tool: r.sessions for r in rollups.metrics(chosen, "tool").orderBy("tool").collect()},
-        "projectBreakdown": [{"project": r.cwd, "sessions": r.sessions, "messages": r.messages} for r in rollups.metrics(chosen, "cwd").orderBy(F.desc("sessions"), "cwd").collect()],
-        "dailyActivity": [{"date": r.created_at, "sessions": r.sessions, "messages": r.messages} for r in rollups.metrics(chosen, "created_at").orderBy("created_at").collect()],
-        "activeHours": {r.hour: r.sessions for r in rollups.active_hours(chosen).orderBy("hour").collect()},
+        "toolBreakdown": {r.tool: r.session_count for r in rollups.metrics(chosen, "tool").orderBy("tool").collect()},
+        "projectBreakdown": [{"project": r.cwd, "sessionCount": r.session_count, "messages": r.messages} for r in rollups.metrics(chosen, "cwd").orderBy(F.desc("session_count"), "cwd").collect()],
+        "dailyActivity": [{"date": r.created_at, "sessionCount": r.session_count, "messages": r.messages} for r in rollups.metrics(chosen, "created_at").orderBy("created_at").collect()],
+        "activeHours": {r.hour: r.session_count for r in rollups.active_hours(chosen).orderBy("hour").collect()},
     }
 
 
 def get_context_primer(index: Index, repo: Repo, now: str, limit: int = 10, days: int | None = None, tool: str | None = None, worktree: bool = False) -> dict:
     root = repo.worktree if worktree and repo.worktree else repo.container
-    recent, headlines = rollups.primer(index.sessions, now, root, days, limit, tool)
+    recent, headlines = rollups.primer(index.runs, now, root, days, limit, tool)
 
     def shaped(df: DataFrame) -> list[dict]:
         branch = F.when(F.col("branch") != "", F.col("branch")).otherwise(rollups.branch_label(F.col("cwd"), repo.branches))

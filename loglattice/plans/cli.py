@@ -20,7 +20,7 @@ from ..sources.store import Store
 from . import api, page, report
 
 #: Where the tools keep their logs, and what overrides that.
-ROOTS = {"claude": ("SESSIONS_CLAUDE_DIR", "~/.claude/projects"), "codex": ("SESSIONS_CODEX_DIR", "~/.codex/sessions"), "pi": ("SESSIONS_PI_DIR", "~/.pi/agent/sessions")}
+ROOTS = {"claude": ("LOGLATTICE_CLAUDE_DIR", "~/.claude/projects"), "codex": ("LOGLATTICE_CODEX_DIR", "~/.codex"), "pi": ("LOGLATTICE_PI_DIR", "~/.pi/agent")}
 PERIODS = ("today", "this-week", "this-month", "last-month", "this-year")
 
 
@@ -93,7 +93,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.json:
         print(json.dumps(found))
     elif not found:
-        print(api.NO_SESSIONS)
+        print(api.NOTHING)
     width = shutil.get_terminal_size().columns
     for r in [] if args.json else found:
         row = {"display_text": r["displayText"], "cwd": r["cwd"], "tool": r["tool"], "session_id": r["sessionId"], "message_count": r["messageCount"], "errored": r["errored"]}
@@ -119,7 +119,7 @@ def _report(spark: SparkSession, args: argparse.Namespace, now: datetime) -> int
     for path in report.write_report(built, settings):
         print(Path(path).resolve())
     if built["warnings"]:
-        print(f"{len(built['warnings'])} model(s) without a price", file=sys.stderr)
+        print(f"{len({w['model'] for w in built['warnings']})} model(s) without a price", file=sys.stderr)
     return 0
 
 

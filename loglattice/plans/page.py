@@ -1,4 +1,4 @@
-"""Reports as a self-contained page, primers as Markdown, sessions as lines. Pure functions on the driver over few rows."""
+"""Reports as a self-contained page, primers as Markdown, runs as lines. Pure functions on the driver over few rows."""
 
 from __future__ import annotations
 
@@ -53,15 +53,15 @@ def bars(values: list[float], labels: list[str], height: int = 90, width: int =
 
 def rows(items: list[dict], columns: list[tuple[str, str]], names: list[str]) -> str:
     head = "<tr><th></th>" + "".join(f"<th>{escape(t)}</th>" for _, t in columns) + "</tr>"
-    shown = {"costUSD": usd, "tokens": tokens, "sessions": whole, "messages": whole}
+    shown = {"costUSD": usd, "tokens": tokens, "sessionCount": whole, "messages": whole}
     body = "".join(f"<tr><td>{escape(n)}</td>" + "".join(f"<td>{shown[c](x[c])}</td>" for c, _ in columns) + "</tr>" for x, n in zip(items, names, strict=True))
     return f"<table>{head}{body}</table>"
 
 
 def usage_page(report: dict) -> str:
-    s, full = report["summary"], [("costUSD", "Cost"), ("tokens", "Tokens"), ("sessions", "Sessions"), ("messages", "Messages")]
+    s, full = report["summary"], [("costUSD", "Cost"), ("tokens", "Tokens"), ("sessionCount", "Runs"), ("messages", "Messages")]
     cards = {
-        "Cost": usd(s["totalCostUSD"]), "Tokens": tokens(s["totalTokens"]), "Sessions": whole(s["sessions"]), "Messages": whole(s["messages"]), "Active days": whole(s["activeDays"]),
+        "Cost": usd(s["totalCostUSD"]), "Tokens": tokens(s["totalTokens"]), "Runs": whole(s["sessionCount"]), "Messages": whole(s["messages"]), "Active days": whole(s["activeDays"]),
         "Streak": f"{s['currentStreakDays']} / {s['longestStreakDays']}", "Peak hour": hour_label(s["peakHourLocal"]), "Favourite": s["favoriteModel"]["label"],
     }
     models, projects, daily = report["byModel"][:TOP_MODELS], report["byProject"][:TOP_PROJECTS], report["daily"]
@@ -86,10 +86,10 @@ def usage_page(report: dict) -> str:
 
 
 def primer_markdown(repo: str, recent: list[dict], headlines: list[dict], full: bool = False, tool: str = "") -> str:
-    """Two tiers: sessions in detail, then one line each; five files unless ``full``."""
+    """Two tiers: runs in detail, then one line each; five files unless ``full``."""
     if not recent and not headlines:
-        return f"No {tool + ' ' if tool else ''}sessions found for {repo}."
-    out = [f"# Recent sessions: {repo}", ""]
+        return f"No {tool + ' ' if tool else ''}runs found for {repo}."
+    out = [f"# Recent runs: {repo}", ""]
     for r in recent:
         out.append(f"## {r['date']} · {r['tool']} · {r['branch']} · {r['message_count']} messages")
         out.append(f"**{r['custom_title'] or r['first_prompt']}**")

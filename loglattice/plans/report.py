@@ -48,7 +48,7 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def _measures(row: dict, *names: str) -> dict:
-    public = {"cost_usd": "costUSD"}
+    public = {"cost_usd": "costUSD", "session_count": "sessionCount"}
     return {public.get(n, n): row[n] for n in names}
 
 
@@ -77,7 +77,7 @@ def _document(base: DataFrame, costed: DataFrame, start: str | None, end: str |
     slots = {s: usage_cube.daily_by(base, s) for s in usage_cube.SLOTS}
     days = usage_cube.daily(base)
     totals = {s: usage_cube.breakdown(df, s).orderBy(F.desc("cost_usd"), *usage_cube.SLOTS[s][0]) for s, df in slots.items()}
-    daily = {r["date"]: _measures(r, "tokens", "cost_usd", "sessions", "messages") | {"byTool": {}, "byProvider": {}, "byModel": [], "byProject": {}} for r in _rows(days)}
+    daily = {r["date"]: _measures(r, "tokens", "cost_usd", "session_count", "messages") | {"byTool": {}, "byProvider": {}, "byModel": [], "byProject": {}} for r in _rows(days)}
     for r in _rows(usage_cube.daily_hours(base)):
         daily[r["date"]]["hourCounts"] = r["hour_counts"]
     for slot, name in (("tool", "byTool"), ("provider", "byProvider"), ("project", "byProject")):
@@ -92,14 +92,14 @@ def _document(base: DataFrame, costed: DataFrame, start: str | None, end: str |
     s = usage_cube.summary(base, today.isoformat()).first()
     active = sorted(daily)
     return {
-        "generator": "sessions",
+        "generator": "loglattice",
         "version": 1,
         "generatedAt": now.astimezone(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"),
         "period": {"from": start or (active[0] if active else today.isoformat()), "to": end or today.isoformat()},
         "summary": {
             "totalCostUSD": s.total_cost_usd,
             "totalTokens": s.total_tokens,
-            "sessions": s.sessions,
+            "sessionCount": s.session_count,
             "messages": s.messages,
             "activeDays": s.active_days,
             "currentStreakDays": s.current_streak,
@@ -110,7 +110,7 @@ def _document(base: DataFrame, costed: DataFrame, start: str | None, end: str |
         "byTool": [{"id": r["tool"], "label": r["label"]} | _measures(r, *usage_cube.ALL) for r in _rows(totals["tool"])],
         "byProvider": [{"id": r["provider"], "label": r["label"]} | _measures(r, "tokens", "cost_usd") for r in _rows(totals["provider"])],
         "byModel": [{"tool": r["tool"], "provider": r["provider"], "id": r["model"], "label": r["model"]} | _measures(r, *usage_cube.ALL) for r in _rows(totals["model"])],
-        "byProject": [{"label": r["project"]} | _measures(r, "tokens", "cost_usd", "sessions") for r in _rows(totals["project"])],
+        "byProject": [{"label": r["project"]} | _measures(r, "tokens", "cost_usd", "session_count") for r in _rows(totals["project"])],
         "daily": [{"date": d} | daily[d] for d in active],
         "insights": {
             "weekly": weeks,

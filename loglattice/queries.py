@@ -116,11 +116,9 @@ def usage_prior_merge(spark, sf_dir):
 
 @query
 def pricing_tiered_cost(spark, sf_dir):
-    """Every line's cost by its part's price; keys are exact here, so the join needs no search for names."""
-    events, prices = a.line_usage(spark, sf_dir), a.prices(spark, sf_dir)
-    joined = events.join(prices.withColumnRenamed("key", "model"), "model", "left")
-    cost = F.coalesce("cost_usd", pricing.computed_cost())
-    return joined.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.round(cost, 9).alias("cost"))
+    """Every line's cost: the recorded one, else by its part's price."""
+    costed = pricing.with_cost(a.line_usage(spark, sf_dir), a.prices(spark, sf_dir))
+    return costed.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("linenumber"), F.round("cost_usd", 9).alias("cost"))
 
 
 @query
@@ -134,9 +132,9 @@ def pricing_fuzzy_match(spark, sf_dir):
 
 @query
 def pricing_warnings(spark, sf_dir):
-    events = a.line_usage(spark, sf_dir).withColumn("cost_usd", F.col("cost_usd").cast("double"))
-    prices = a.prices(spark, sf_dir).where(F.col("key").cast("long") % 4 != 0).withColumnRenamed("key", "model")
-    costed = events.join(prices, "model", "left").withColumn("priced", F.col("cost_usd").isNotNull() | F.col("input_rate").isNotNull())
+    """Unpriced events, where the largest parts have no price."""
+    small = a.table(spark, sf_dir, "part").where("p_size <= 40").select(F.col("p_partkey").cast("string").alias("key"))
+    costed = pricing.with_cost(a.line_usage(spark, sf_dir), a.prices(spark, sf_dir).join(small, "key", "left_semi"))
     return pricing.warnings(costed).groupBy("model").agg(F.count(F.lit(1)).alias("events"), F.sum("tokens").cast("long").alias("tokens"))
 
 
@@ -166,44 +164,39 @@ def usage_dedup_messages(spark, sf_dir):
     return once.unionByName(e.where("user_id % 2 <> 0")).select("event_id")
 
 
-def _indexed(spark, sf_dir):
-    shown = a.messages(spark, sf_dir).where("role in ('user', 'assistant') and trim(text) <> ''")
-    index = F.row_number().over(Window.partitionBy("file_path").orderBy("line_no")) - 1
-    return shown.select(F.col("file_path").alias("conv_id"), index.alias("index"), "role", "text", "line_no")
+def _conv_id():
+    return F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1).cast("long").alias("conv_id")
 
 
 @query
 def msgs_indexed(spark, sf_dir):
-    return _indexed(spark, sf_dir).drop("line_no")
+    return session_index.messages(a.conversation_lines(spark, sf_dir)).select(_conv_id(), "index", "role", "text")
 
 
 @query
 def msgs_page(spark, sf_dir):
-    """The second and third message of every conversation, with its number of messages."""
-    rows = _indexed(spark, sf_dir).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
-    return rows.where((F.col("index") >= 1) & (F.col("index") < 3)).select("conv_id", "index", "role", "total")
+    """The second and third message of every conversation."""
+    shown = session_index.messages(a.conversation_lines(spark, sf_dir))
+    return session_index.message_page(shown, None, 1, 2).select(_conv_id(), "index", "role")
+
+
+def _folded(spark, sf_dir):
+    return session_index.session_rows(a.conversation_lines(spark, sf_dir))
 
 
 @query
 def session_counts(spark, sf_dir):
-    return a.messages(spark, sf_dir).groupBy(F.col("file_path").alias("conv_id")).agg(F.count_if(F.col("role").isin("user", "assistant")).alias("message_count"))
+    return _folded(spark, sf_dir).select(_conv_id(), "message_count")
 
 
 @query
 def session_first_prompt(spark, sf_dir):
-    said = a.messages(spark, sf_dir).where("role = 'user'").withColumn("text", text.strip_injected(F.col("text"))).where("trim(text) <> ''")
-    return said.groupBy(F.col("file_path").alias("conv_id")).agg(text.clean(F.min_by("text", "line_no")).alias("text"))
+    return _folded(spark, sf_dir).where("first_prompt <> ''").select(_conv_id(), F.col("first_prompt").alias("text"))
 
 
 @query
 def session_closing(spark, sf_dir):
-    rows = a.messages(spark, sf_dir)
-
-    def last(role):
-        return F.coalesce(F.max_by("text", F.when((F.col("role") == role) & (F.trim("text") != ""), F.col("line_no"))), F.lit(""))
-
-    folded = rows.groupBy(F.col("file_path").alias("conv_id")).agg(last("user").alias("u"), last("assistant").alias("s"))
-    return folded.select("conv_id", F.substring(F.trim("u"), 1, 500).alias("closing_user"), F.substring(text.strip_insight_fences(F.col("s")), 1, 500).alias("closing_assistant"))
+    return _folded(spark, sf_dir).select(_conv_id(), "closing_user", "closing_assistant")
 
 
 @query
@@ -225,40 +218,40 @@ def content_match(spark, sf_dir):
 
 @query
 def session_display(spark, sf_dir):
-    s = a.sessions(spark, sf_dir)
+    s = a.session_rows(spark, sf_dir)
     shown = F.coalesce(F.nullif(F.col("custom_title"), F.lit("")), "first_prompt")
     return s.select("file_path", shown.alias("display_text"), text.basename(F.col("cwd")).alias("folder"), values.relative_day(F.col("date"), "1998-08-02").alias("age"), text.resume_command(F.when(F.col("tool") == "1-URGENT", "claude").otherwise("pi"), F.col("cwd"), F.col("file_path")).alias("resume"))
 
 
 @query
-def sessions_recent(spark, sf_dir):
-    return rollups.recent(a.sessions(spark, sf_dir)).select("file_path", "date", "cwd", "tool")
+def session_recent(spark, sf_dir):
+    return rollups.recent(a.session_rows(spark, sf_dir)).select("file_path", "date", "cwd", "tool")
 
 
 @query
-def sessions_scoped(spark, sf_dir):
-    found = rollups.scoped(a.sessions(spark, sf_dir), tool="1-URGENT", project="/EUROPE", errored=True)
+def session_scoped(spark, sf_dir):
+    found = rollups.scoped(a.session_rows(spark, sf_dir), tool="1-URGENT", project="/EUROPE", errored=True)
     return found.select("file_path", "created_at", "cwd", "tool")
 
 
 @query
-def sessions_range(spark, sf_dir):
-    return rollups.in_range(a.sessions(spark, sf_dir), "1995-01-01", "1995-01-31").select("file_path", "created_at", "cwd", "tool")
+def session_range(spark, sf_dir):
+    return rollups.in_range(a.session_rows(spark, sf_dir), "1995-01-01", "1995-01-31").select("file_path", "created_at", "cwd", "tool")
 
 
 def _ranged(spark, sf_dir):
-    return rollups.in_range(a.sessions(spark, sf_dir), "1995-01-01", "1995-06-30")
+    return rollups.in_range(a.session_rows(spark, sf_dir), "1995-01-01", "1995-06-30")
 
 
 @query
 def digest_compact(spark, sf_dir):
     found = rollups.digest(_ranged(spark, sf_dir))
-    return found.select("created_at", "cwd", "sessions", "messages", *[F.array_join(c, "|").alias(c) for c in ("tools", "topics", "file_paths")])
+    return found.select("created_at", "cwd", "session_count", "messages", *[F.array_join(c, "|").alias(c) for c in ("tools", "topics", "file_paths")])
 
 
 @query
 def digest_details(spark, sf_dir):
-    return rollups.top_sessions(_ranged(spark, sf_dir), 3).select("created_at", "cwd", "file_path", "message_count", "rank")
+    return rollups.busiest(_ranged(spark, sf_dir), 3).select("created_at", "cwd", "file_path", "message_count", "rank")
 
 
 @query
@@ -294,7 +287,7 @@ def metrics_hours(spark, sf_dir):
 
 
 def _primer(spark, sf_dir):
-    return rollups.primer(a.sessions(spark, sf_dir), a.NOW, root="/ASIA", days=900)
+    return rollups.primer(a.session_rows(spark, sf_dir), a.NOW, root="/ASIA", days=900)
 
 
 @query
@@ -309,7 +302,7 @@ def primer_headlines(spark, sf_dir):
 
 @query
 def session_scores(spark, sf_dir):
-    scored = rollups.scored(a.sessions(spark, sf_dir), a.NOW)
+    scored = rollups.scored(a.session_rows(spark, sf_dir), a.NOW)
     return scored.select("file_path", F.round("score", 6).alias("score"), "trivial")
 
 
@@ -322,7 +315,8 @@ def _documents(spark, sf_dir):
 def _hits(spark, sf_dir, words, stem):
     docs = _documents(spark, sf_dir)
     index = search.postings(docs, "doc_id", ["headline", "user_content", "paths"], stem)
-    return search.bm25(index, search.query_phrases(words, stem), documents=docs.select("doc_id"))
+    columns = ["headline", "user_content", "paths"]
+    return search.bm25(index, search.query_phrases(words, stem), documents=docs.select("doc_id"), sizes=search.text_lengths(docs, "doc_id", columns))
 
 
 @query
@@ -341,11 +335,11 @@ def search_stemmed_top(spark, sf_dir):
 
 @query
 def files_union(spark, sf_dir):
-    """Words of a document's first and second line, in order of first sight, as files touched and read are joined."""
+    """Words of a document's even lines, then of its odd ones, in order of first sight, as files touched and read are joined."""
     d = a.table(spark, sf_dir, "documents")
-    lines = F.split("text", "\n")
-    both = F.concat(F.split(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), " "), F.split(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), " "))
-    return d.select("doc_id", F.array_join(F.array_distinct(both), " ").alias("files"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    even, odd = (F.flatten(F.transform(F.filter(lines, lambda x, i: i % 2 == k), lambda x: F.split(x, " "))) for k in (0, 1))
+    return d.select("doc_id", F.array_join(F.array_distinct(F.concat(even, odd)), " ").alias("files"))
 
 
 @query
@@ -364,9 +358,9 @@ def change_gate(spark, sf_dir):
 
 
 @query
-def lines_to_sessions(spark, sf_dir):
+def lines_to_session(spark, sf_dir):
     """Conversations written as log lines and read back through the session index."""
-    found = session_index.sessions(a.conversation_lines(spark, sf_dir))
+    found = session_index.session_rows(a.conversation_lines(spark, sf_dir))
     return found.select("session_id", "cwd", "created_at", "date", "first_prompt", "message_count", "closing_user", "error_count", F.array_join("commands", "|").alias("commands"))
 
 
@@ -392,6 +386,6 @@ def lines_asof_model(spark, sf_dir):
 
 @query
 def lines_scan(spark, sf_dir):
-    """Sessions without an index in which a user says a word, newest first."""
+    """Runs without an index in which a user says a word, newest first."""
     found = rollups.scan(a.conversation_lines(spark, sf_dir), "the")
     return found.select("session_id", "date", "message_count")

@@ -1,6 +1,6 @@
 """Log files as lines: one row a line, its JSON as a VARIANT that is parsed once.
 
-Sessions are one file each. A line's number orders everything that is folded
+Runs are one file each. A line's number orders everything that is folded
 over a session; lines that are no JSON are dropped.
 """
 
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES = "tool string, file_path string, file_size bigint, mtime timestamp, n_lines int, line_no int, v variant"
-#: Where each tool keeps sessions below its root: one folder deep, or at any depth.
-LAYOUTS = {"claude": "*/*.jsonl", "pi": "*/*.jsonl", "codex": None}
+#: Where each tool keeps runs below its root: one folder deep, or at any depth.
+LAYOUTS = {"claude": "*/*.jsonl", "pi": None, "codex": None}
 
 
 def files(spark: SparkSession, root: str, pattern: str | None) -> DataFrame | None:

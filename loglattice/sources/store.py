@@ -20,12 +20,12 @@ from . import logs
 
 #: Changes whenever the tables do; other layouts are ignored.
 LAYOUT = "layout-1"
-TABLES = ("sessions", "messages", "postings")
+TABLES = ("runs", "messages", "postings")
 
 
 @dataclass
 class Index:
-    sessions: DataFrame
+    runs: DataFrame
     messages: DataFrame
     postings: DataFrame
 
@@ -71,11 +71,14 @@ class Store:
         stream.write(bytearray(version.encode()))
         stream.close()
         at, _ = self._fs(self.pointer)
-        fs.delete(at, False)
-        fs.rename(part, at)
-        if old:
-            gone, _ = self._fs(f"{self.folder}/{old}")
-            fs.delete(gone, True)
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        how = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, at, how)
+        # the version before stays until the next one comes, for readers that hold it
+        for status in fs.listStatus(self._fs(self.folder)[0]):
+            if status.isDirectory() and status.getPath().getName() not in (version, old):
+                fs.delete(status.getPath(), True)
         return self.current()
 
     def manifest(self, roots: dict[str, str]) -> DataFrame:
@@ -95,9 +98,9 @@ class Store:
         return out
 
     def _tables(self, lines: DataFrame, helpers: DataFrame | None) -> dict[str, DataFrame]:
-        found = session_index.sessions(lines, helpers)
+        found = session_index.session_rows(lines, helpers)
         texts = found.select("file_path", "text.*")
-        return {"sessions": found, "messages": session_index.messages(lines).join(found.select("file_path"), "file_path", "left_semi"), "postings": search.postings(texts, "file_path").withColumnRenamed("key", "file_path")}
+        return {"runs": found, "messages": session_index.messages(lines).join(found.select("file_path"), "file_path", "left_semi"), "postings": search.postings(texts, "file_path").withColumnRenamed("key", "file_path")}
 
     def refresh(self, roots: dict[str, str]) -> Index:
         """Brings the index up to date: only files that are new or whose time or size changed are read.
@@ -111,18 +114,18 @@ class Store:
         if now is None:
             return self._publish(self._tables(logs.raw_lines(self.spark, roots), helpers))
         found = self.manifest(roots)
-        stale = rollups.changed(found, now.sessions).select("tool", "file_path").collect()
-        gone = rollups.removed(now.sessions.select("file_path"), found).count()
+        stale = rollups.changed(found, now.runs).select("tool", "file_path").collect()
+        gone = rollups.removed(now.runs.select("file_path"), found).count()
         if not stale and not gone:
             return now
         lines = self.spark.createDataFrame([], logs.LINES)
         for tool in sorted({r.tool for r in stale}):
             lines = lines.unionByName(logs.lines_of(logs.of_paths(self.spark, [r.file_path for r in stale if r.tool == tool]), tool))
         fresh = self._tables(lines, helpers)
-        if not gone and not fresh["sessions"].limit(1).count():
+        if not gone and not fresh["runs"].limit(1).count():
             return now
         here = found.select("file_path")
-        renewed = fresh["sessions"].select("file_path")
+        renewed = fresh["runs"].select("file_path")
         out = {}
         for name in TABLES:
             old = getattr(now, name).join(here, "file_path", "left_semi").join(renewed, "file_path", "left_anti")

@@ -68,7 +68,7 @@ def test_store_follows_files(spark, tmp_path):
     put(logs, [session("one", "Refactoring the parser"), session("two", "hello", extra=[thinking]), session("three", "hello", cwd="/x/app-v2/a", day="2026-06-03", extra=[command])])
     store, roots = Store(spark, str(tmp_path / "index")), {"claude": str(logs)}
     index = store.refresh(roots)
-    assert index.sessions.count() == 3
+    assert index.runs.count() == 3
     assert [r["sessionId"] for r in api.search_results(index, "refactor")] == ["one"]
     assert [r["sessionId"] for r in api.search_results(index, "migrate")] == ["three", "two"]  # commands weigh more than thoughts
     assert [r["sessionId"] for r in api.search_results(index, project="/x/app")] == ["one", "two"]
@@ -76,10 +76,10 @@ def test_store_follows_files(spark, tmp_path):
     assert api.search_results(index, limit=1)[0]["sessionId"] == "three"
     assert api.get_activity_digest(index, "2020-01-01", "2020-02-01") == api.NONE_IN_RANGE
     d = api.get_activity_digest(index, "2026-06-01", "2026-06-30", detail="full")
-    assert d["totalSessions"] == 3 and [x["date"] for x in d["days"]] == ["2026-06-01", "2026-06-03"]
+    assert d["sessionCount"] == 3 and [x["date"] for x in d["days"]] == ["2026-06-01", "2026-06-03"]
     assert d["days"][0]["projects"][0]["topics"] == ["Refactoring the parser", "hello"]
     m = api.get_session_metrics(index, "2026-06-01", "2026-06-30")
-    assert m["totalSessions"] == 3 and m["activeHours"] == {"10": 3}
+    assert m["sessionCount"] == 3 and m["activeHours"] == {"10": 3}
     one = next(r["filePath"] for r in api.search_results(index) if r["sessionId"] == "one")
     assert api.get_session_messages(index, one, 1, 5)["messages"] == [{"index": 1, "role": "assistant", "text": "ok"}]
     p = api.get_context_primer(index, api.Repo("/x/app", branches={"/x/app": "main"}), "2026-06-04T00:00:00", limit=1)
@@ -89,19 +89,19 @@ def test_store_follows_files(spark, tmp_path):
     put(logs, [session("one", "Now about zebras", extra=[command]), ("two", '{"type":"user","message":{"content":"no folder any more"}}'), session("four", "new")])
     os.remove(logs / "slug/three.jsonl")
     index = store.refresh(roots)
-    assert {r.session_id for r in index.sessions.collect()} == {"one", "two", "four"}
+    assert {r.session_id for r in index.runs.collect()} == {"one", "two", "four"}
     assert [r["sessionId"] for r in api.search_results(index, "zebra")] == ["one"]
     version = store._version()
-    assert store.refresh(roots).sessions.count() == 3 and store._version() == version  # nothing changed
+    assert store.refresh(roots).runs.count() == 3 and store._version() == version  # nothing changed
 
     for f in (tmp_path / "index").rglob("*.parquet"):
         f.write_bytes(b"damaged")
-    assert store.refresh(roots).sessions.count() == 2  # built again; the file without a folder is no session
+    assert store.refresh(roots).runs.count() == 2  # built again; the file without a folder is no session
     store.clear()
     assert store.current() is None
 
 
-def test_trivial_sessions_only_without_others(spark, tmp_path):
+def test_trivial_ones_only_without_others(spark, tmp_path):
     put(tmp_path / "logs", [session(f"s{i:02}", "hi", day=f"2026-06-{i + 1:02}") for i in range(12)])
     index = Store(spark, str(tmp_path / "index")).refresh({"claude": str(tmp_path / "logs")})
     p = api.get_context_primer(index, api.Repo("/x/app"), "2026-06-20T00:00:00")

@@ -1,4 +1,4 @@
-"""Sessions, messages and usage events from log files, by examples."""
+"""Runs, messages and usage events from log files, by examples."""
 
 from __future__ import annotations
 
@@ -75,11 +75,11 @@ def roots(tmp_path_factory):
 @pytest.fixture(scope="module")
 def table(spark, roots):
     lines = logs.raw_lines(spark, roots)
-    rows = session_index.sessions(lines, logs.subagent_lines(spark, roots["claude"])).collect()
+    rows = session_index.session_rows(lines, logs.subagent_lines(spark, roots["claude"])).collect()
     return {r.session_id: r for r in rows}
 
 
-def test_only_admissible_sessions(table):
+def test_only_admissible_files(table):
     assert set(table) == {"s1", "c1", "p1"}
 
 
@@ -101,7 +101,7 @@ def test_claude_session(table):
     assert r.first_hour == "10"
 
 
-def test_codex_and_pi_sessions(table):
+def test_codex_and_pi_files(table):
     c, p = table["c1"], table["p1"]
     assert (c.branch, c.files_touched, c.commands) == ("dev", ["new.py", "old.py"], ["bash -c ls"])
     assert (c.error_count, c.text.context_text, c.message_count) == (1, "bad", 0)
@@ -124,7 +124,7 @@ def test_folders_are_pruned_by_their_start(spark, roots):
 
 def test_missing_root_and_empty_session(spark, tmp_path):
     assert logs.raw_lines(spark, {"claude": str(tmp_path / "none")}).count() == 0
-    assert session_index.sessions(logs.raw_lines(spark, {"pi": str(tmp_path / "none")})).count() == 0
+    assert session_index.session_rows(logs.raw_lines(spark, {"pi": str(tmp_path / "none")})).count() == 0
 
 
 def test_usage_of_codex_and_pi(spark, roots):

@@ -14,7 +14,7 @@ def test_new_files_reach_the_handler(spark, tmp_path):
     (tmp_path / "in/a/s.jsonl").write_text(json.dumps({"type": "user", "cwd": "/x", "message": {"content": "hi"}}))
     seen = []
     stream = live.new_files(spark, str(tmp_path / "in"))
-    live.into(stream, lambda batch: seen.extend(session_index.sessions(logs.lines_of(batch, "claude")).collect()), str(tmp_path / "c1")).awaitTermination()
+    live.into(stream, lambda batch: seen.extend(session_index.session_rows(logs.lines_of(batch, "claude")).collect()), str(tmp_path / "c1")).awaitTermination()
     assert [(s.session_id, s.cwd) for s in seen] == [("s", "/x")]
 
 
