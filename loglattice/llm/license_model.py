@@ -158,9 +158,17 @@ class Model:
     accuracy: float
 
     @property
-    def vocabulary(self) -> list[str]:
-        """The telling words of all features: a line without any of them is left to the unknown class."""
-        return sorted({w for f in self.weights for w in f.split() if w not in COMMON and not w.isdigit()})
+    def marks(self) -> list[str]:
+        """Words of which every feature holds one: a text without any of them has no feature."""
+        out = {f for f in self.weights if " " not in f}
+        for pair in sorted(f for f in self.weights if " " in f):
+            if out.isdisjoint(pair.split()):
+                out.add(max(pair.split(), key=lambda w: (len(w), w)))
+        return sorted(out)
+
+    def __post_init__(self):
+        if max(self.bias) != self.bias[0]:
+            raise ValueError("the bias alone must name the unknown class")
 
 
 def _variants(random: Random, text: str, count: int, noise: bool) -> list[str]:

@@ -56,9 +56,9 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: s
     each; other columns are left aside; an empty table gives no row.
     """
     model = model or trained()
-    vocabulary = _strings(model.vocabulary)
     weights = _constant(model.weights, "map<string,array<bigint>>")
     known = _strings(model.weights)
+    marks, of_notices = model.marks, sorted({w for texts in NOTICES.values() for t in texts for w in words(t)})
     bias = F.split(F.lit(",".join(map(str, model.bias))), ",").cast("array<bigint>")
     names = _strings(model.families)
     notices = _constant({n: [{"features": sorted(features(t)), "names": names_in(n, t)} for t in texts] for n, texts in NOTICES.items()}, "map<string,array<struct<features:array<string>,names:array<string>>>>")
@@ -66,10 +66,8 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: s
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("t"))
     lines = F.split("t", "\n")
     rows = rows.withColumn("n_paragraphs", F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long"))
-    # only texts, then only lines with evidence are scored: all others are unknown by the model's bias
     parts = F.flatten(F.transform(F.split("t", BREAK), lambda b, i: F.transform(F.split(b, "\n"), lambda x: F.struct(i.alias("block"), _words(x).alias("words")))))
-    evident = F.when(F.arrays_overlap(_words(F.col("t")), vocabulary), F.filter(parts, lambda x: F.size(x["words"]) > 0))
-    rows = rows.select("doc_id", "n_paragraphs", F.coalesce(evident, F.array().cast("array<struct<block:int,words:array<string>>>")).alias("parts"))
+    rows = rows.select("doc_id", "n_paragraphs", F.filter(parts, lambda x: F.size(x["words"]) > 0).alias("parts"))
 
     def together(part: Column, i: Column) -> Column:
         near = F.filter(F.slice("parts", i + 1, WINDOW), lambda x: x["block"] == part["block"])
@@ -78,10 +76,14 @@ def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: s
         return F.struct(part["block"].alias("block"), i.alias("at"), F.when(several, joined).otherwise(F.array().cast("array<string>")).alias("words"))
 
     def told(spans: Column) -> Column:
-        return F.transform(F.filter(spans, lambda x: F.arrays_overlap(x["words"], vocabulary)), lambda x: F.struct(x["block"].alias("block"), x["at"].alias("at"), _features(x["words"]).alias("found")))
+        # a line without any feature of the model has the scores of its bias, which ``Model`` holds to be the unknown class
+        spans = F.filter(spans, lambda x: F.exists(x["words"], lambda w: w.isin(marks)))
+        return F.filter(F.transform(spans, lambda x: F.struct(x["block"].alias("block"), x["at"].alias("at"), _features(x["words"]).alias("found"))), lambda x: F.arrays_overlap(x["found"], known))
 
     # what a text as a whole doesn't hold enough of, none of its windows does
-    held = F.array_intersect(_features(F.flatten(F.transform("parts", lambda x: x["words"]))), _strings(sorted({f for texts in NOTICES.values() for t in texts for f in features(t)})))
+    # words of no notice are left out first, which can only add pairs
+    told_words = F.flatten(F.transform("parts", lambda x: F.filter(x["words"], lambda w: w.isin(of_notices))))
+    held = F.array_intersect(_features(told_words), _strings(sorted({f for texts in NOTICES.values() for t in texts for f in features(t)})))
     # bound as an element, since the optimizer would move a column's expression into the inner function
     enough = F.exists(F.array(held), lambda h: F.exists(F.flatten(F.map_values(notices)), lambda n: F.size(F.array_intersect(n["features"], h)) >= F.lit(CONFIRM) * F.size(n["features"])))
     rows = rows.withColumn("windows", F.when((F.size("parts") > 1) & enough, F.transform("parts", together)))

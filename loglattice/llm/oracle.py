@@ -16,10 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT = "coalesce(text, '')"
 
 
-def _quoted(values) -> str:
-    return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
-
-
 def _words(text: str = TEXT) -> str:
     return f"regexp_extract_all({text}, '{WORD}')"
 
@@ -61,7 +57,7 @@ def licenses() -> str:
     assert COMMON
     return rf"""WITH weight(f, k, x) AS (VALUES {weights}), family(k, b, name) AS (VALUES {bias}), notice(name, i, f) AS (VALUES {notices}),
       line AS (SELECT doc_id, unnest(string_split({TEXT}, chr(10))) AS x, unnest(range(len(string_split({TEXT}, chr(10))))) AS n FROM documents),
-      word AS (SELECT doc_id, n, {split} AS w FROM line), evident AS (SELECT * FROM word WHERE list_has_any(w, [{_quoted(m.vocabulary)}])),
+      word AS (SELECT doc_id, n, {split} AS w FROM line), evident AS (SELECT * FROM word WHERE len(w) > 0),
       found AS (SELECT DISTINCT doc_id, n, f FROM (SELECT doc_id, n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM evident)),
       score AS (SELECT doc_id, n, family.k, any_value(name) AS name, any_value(b) + coalesce(sum(weight.x), 0) AS s FROM evident CROSS JOIN family LEFT JOIN found USING (doc_id, n) LEFT JOIN weight ON weight.f = found.f AND weight.k = family.k GROUP BY 1, 2, 3),
       top AS (SELECT doc_id, n, arg_max(name, (s, -k)) AS name, max(s) AS s FROM score GROUP BY 1, 2),

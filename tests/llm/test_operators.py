@@ -486,6 +486,31 @@ def test_wrapped_licenses(spark):
     assert [r.n_confirmed for r in found] == [1, 1, 1, 3, 1, 0, 1] and all(r.n_predicted >= r.n_confirmed for r in found)
 
 
+def plain_scan(text, model):
+    """(family, probability) of every line that is predicted, each line scored by all of its features."""
+    out = []
+    for line in text.split("\n"):
+        w = license_model.words(line)
+        found = set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+        scores = [b + sum(model.weights[f][k] for f in found if f in model.weights) for k, b in enumerate(model.bias)]
+        chance = np.exp((np.array(scores) - max(scores)) / license_model.SCALE)
+        best = int(np.argmax(scores))
+        if best and 1 / chance.sum() >= model.threshold:
+            out.append(model.families[best])
+    return out
+
+
+def test_every_line_is_scored(spark):
+    """Also lines of common words only, which no telling word would announce."""
+    model, r = license_model.trained(), random.Random(3)
+    texts = ["provided that the following are met: use in source and binary forms, with or without"]
+    pool = sorted({x for f in model.weights for x in f.split()})
+    texts += ["\n\n".join(" ".join(r.choice(pool) for _ in range(r.randrange(1, 12))) for _ in range(5)) for _ in range(60)]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.n_predicted for x in found} == {i: len(plain_scan(t, model)) for i, t in enumerate(texts)}
+    assert found[0].n_predicted or any(x.n_predicted for x in found)
+
+
 def test_licenses_outside_the_families(spark):
     assert not any(license_model.features(h) in [license_model.features(t) for ts in (*license_model.NOTICES.values(), license_model.PLAIN) for t in ts] for h in license_model.HELD_OUT)
     texts = [
