@@ -26,7 +26,7 @@ SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 #: Odd multiplier of the hash.
 FACTOR = 0x9E3779B97F4A7C15
 #: Bytes of distinct chunks that are remembered.
-POOL_BYTES = 64 << 20
+POOL_BYTES = 16 << 20
 BLANK = 0x20
 
 
@@ -58,7 +58,7 @@ class ChunkTable:
     afresh: ``forget()`` is told so.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], bits: int = 21):
+    def __init__(self, learn: Callable[[list[bytes]], None], forget: Callable[[], None], bits: int = 20):
         self.learn, self.forget, self.bits = learn, forget, bits
         self.powers = np.ones(1, np.uint64)
         self._clear()

@@ -21,7 +21,7 @@ SPACE = b" \t\n\r\x0b\x0c"
 #: The same as a Java or DuckDB pattern for a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a Python worker holds at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -121,9 +121,11 @@ class TokenIds:
             (ids,) = self._encode([b"".join(chunks[k] for k in plain[i : i + block]).decode()])
             sizes[plain[i : i + block]] = np.diff(np.flatnonzero(self.leads[ids]), append=len(ids))
             parts.append(ids)
-        for k, ids in zip(odd, self._encode([chunks[k].decode() for k in odd]) if len(odd) else (), strict=True):
-            sizes[k] = len(ids)
-            parts.append(ids)
+        for i in range(0, len(odd), block // 4):
+            some = odd[i : i + block // 4]
+            for k, ids in zip(some, self._encode([chunks[k].decode() for k in some]), strict=True):
+                sizes[k] = len(ids)
+                parts.append(ids)
         ends = np.cumsum(sizes[order])
         self.ids = _gather(np.concatenate(parts), (ends - sizes[order])[np.argsort(order)], sizes, before=self.ids)
         self.at = np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
