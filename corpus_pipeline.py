@@ -28,10 +28,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again."""
+    """All stages over ``documents``; what each returns is written and read again, and its working tables are deleted."""
     work = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        known = list(Workspace.opened)
         before, docs = docs, work.put(stage(spark, docs, sf_dir))
         work.drop(before)
+        for used in [w for w in Workspace.opened if w not in known]:
+            used.clear()
     return STAGES[-1][1](spark, docs, sf_dir)
