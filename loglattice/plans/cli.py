@@ -55,7 +55,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--tz", default=os.environ.get("TIMEZONE", "America/Chicago"))
     r.add_argument("--stdout", action="store_true")
     r.add_argument("--here", action="store_true")
-    r.add_argument("--prices", help="a price list in JSON")
+    r.add_argument("--prices", help="a price list in JSON, in place of the fetched one")
+    r.add_argument("--offline", action="store_true", help="fetch no prices")
+    r.add_argument("--refresh-pricing", action="store_true", help="fetch prices even if those of today are at hand")
     r.add_argument("--tool", choices=ROOTS)
     for p in PERIODS:
         r.add_argument(f"--{p}", dest="preset", action="store_const", const=p)
@@ -102,13 +104,13 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _report(spark: SparkSession, args: argparse.Namespace, now: datetime) -> int:
-    prices = snapshot.embedded(spark)
     if args.prices:
         found, warning = price_cache.load(args.prices, lambda: "", offline=True)
-        if warning:
-            print(warning, file=sys.stderr)
-        if found:
-            prices = pricing.layered(prices, pricing.parse_prices(spark, json.dumps(found)))
+    else:
+        found, warning = price_cache.load(os.path.join(args.index, "prices.json"), price_cache.fetched, args.refresh_pricing, args.offline)
+    if warning:
+        print(warning, file=sys.stderr)
+    prices = snapshot.embedded(spark, *([pricing.parse_prices(spark, json.dumps(found))] if found else []))
     chosen = {t: r for t, r in roots(False).items() if args.tool in (None, t)}
     events = usage_events.gather(logs.raw_lines(spark, chosen, recursive=True), tuple(chosen))
     here = None

@@ -7,8 +7,17 @@ import os
 import time
 from collections.abc import Callable
 from pathlib import Path
+from urllib.request import urlopen
 
 TTL = 24 * 3600
+#: Where the public price list is, and the seconds to wait for it.
+URL = "https://raw.githubusercontent.com/BerriAI/litellm/main/model_prices_and_context_window.json"
+TIMEOUT = 10
+
+
+def fetched() -> str:
+    with urlopen(URL, timeout=TIMEOUT) as answer:  # noqa: S310
+        return answer.read().decode()
 
 
 def records(text: str) -> dict:

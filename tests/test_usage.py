@@ -193,3 +193,11 @@ def test_text_helpers(spark):
     assert got[0].c.startswith("…a") and "Needle here" in got[0].c and got[0].c.endswith("b…") and "\n" not in got[0].c
     assert [g.p for g in got] == ["repo", "unknown", "b"] and got[1].c is None and got[2].c is None
     assert page.tokens(1_500_000) == "1.5M" and page.tokens(2_000_000_000) == "2.00B" and page.hour_label(0) == "12 AM"
+
+
+def test_price_layers(spark):
+    listed = spark.createDataFrame([("gpt-5", 9.0, 9.0, *(None,) * 6), ("gpt-5.5", 9.0, 9.0, *(None,) * 6), ("new-model", 1.0, 2.0, *(None,) * 6)], pricing.SCHEMA)
+    got = {r.key: r.input_rate for r in snapshot.embedded(spark, listed).collect()}
+    assert (got["gpt-5"], got["gpt-5.5"], got["new-model"], got["o3"]) == (9.0, 5e-6, 1.0, 2e-6)
+    r = built(spark, [event(model="claude-opus-4-8")])
+    assert r["warnings"] == [] and r["summary"]["totalCostUSD"] > 0
