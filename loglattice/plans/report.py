@@ -48,15 +48,22 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def _measures(row: dict, *names: str) -> dict:
-    public = {"cost_usd": "costUSD", "session_count": "sessionCount"}
+    public = {"cost_usd": "costUSD", "session_count": "sessionCount", "prs_merged": "prsMerged"}
     return {public.get(n, n): row[n] for n in names}
 
 
-def build_report(events: DataFrame, prices: DataFrame, settings: Settings, now: datetime) -> dict:
+#: Columns of pull requests that a report reads.
+PULL_REQUESTS = "url string, title string, state string, created_at timestamp, merged_at timestamp, additions long, deletions long"
+TOLD = "week_ending string, summary string"
+
+
+def build_report(events: DataFrame, prices: DataFrame, settings: Settings, now: datetime, prs: DataFrame | None = None, told: DataFrame | None = None) -> dict:
     """The report of ``events``; ``now`` is a time in UTC.
 
     Events outside of the period, of other tools or of projects that aren't
     wanted are left out first. The document is empty but whole without events.
+    If ``prs`` (``PULL_REQUESTS``) are given, they are counted in the weeks of
+    the report and listed week by week, with the summaries of ``told`` (``TOLD``).
     """
     today = now.astimezone(ZoneInfo(settings.tz)).date()
     start, end = chosen_period(today, settings.preset, settings.days, settings.start, settings.end)
@@ -68,7 +75,8 @@ def build_report(events: DataFrame, prices: DataFrame, settings: Settings, now:
     costed = pricing.with_cost(usage_cube.within(events, settings.tz, start, end), prices)
     base = usage_cube.facts(costed, settings.tz).cache()
     try:
-        return _document(base, costed, start, end, today, now)
+        document = _document(base, costed, start, end, today, now)
+        return document if prs is None else _with_requests(document, base, prs, told, settings.tz, today)
     finally:
         base.unpersist()
 
@@ -121,6 +129,18 @@ def _document(base: DataFrame, costed: DataFrame, start: str | None, end: str |
     }
 
 
+def _with_requests(document: dict, base: DataFrame, prs: DataFrame, told: DataFrame | None, tz: str, today: date) -> dict:
+    """Adds pull requests: counts to the weeks that are there, and the list of every week from the first active day."""
+    told = base.sparkSession.createDataFrame([], TOLD) if told is None else told
+    counts = {r["week_ending"]: _measures(r, "prs_merged", "additions", "deletions") for r in _rows(usage_cube.weekly_pull_requests(usage_cube.weekly(usage_cube.daily(base)), prs, tz))}
+    for week in document["insights"]["weekly"]:
+        week |= counts[week["weekEnding"]]
+    first = document["daily"][0]["date"] if document["daily"] else today.isoformat()
+    names = ("url", "title", "state", "additions", "deletions")
+    rows = _rows(usage_cube.weekly_highlights(prs, told, tz, first))
+    return document | {"weeklyHighlights": [{"weekEnding": r["week_ending"], "pullRequests": [{n: p[n] for n in names} for p in r["pull_requests"]], "summary": r["summary"]} for r in rows]}
+
+
 def write_report(report: dict, settings: Settings) -> list[str]:
     """Writes the files that format and ``out`` ask for and returns their paths; with ``stdout`` the JSON is printed instead of written."""
     out, written = settings.out, []

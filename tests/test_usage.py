@@ -187,6 +187,26 @@ def test_pull_requests_and_highlights(spark):
     assert [(h.week_ending, h.summary, [p.url for p in h.pull_requests]) for h in high] == [("2026-06-21", None, ["u3"]), ("2026-06-07", "kept", ["u2", "u1"])]
 
 
+def test_report_with_pull_requests(spark):
+    day = datetime.fromisoformat
+    rows = [
+        ("a", "small", "merged", day("2026-03-01T09:00:00"), day("2026-03-04T09:00:00"), 5, 1),
+        ("b", "large", "merged", day("2026-03-04T09:00:00"), day("2026-03-05T09:00:00"), 50, 10),
+        ("c", "open", "open", day("2026-03-05T09:00:00"), None, 7, 7),
+        ("d", "early", "merged", day("2026-01-01T09:00:00"), day("2026-01-02T09:00:00"), 1, 1),
+    ]
+    events, prices, settings = spark.createDataFrame(THREE, EVENT), snapshot.embedded(spark), report.Settings(tz="UTC")
+    prs = spark.createDataFrame(rows, report.PULL_REQUESTS)
+    r = report.build_report(events, prices, settings, NOW, prs, spark.createDataFrame([("2026-03-08", "a good week")], report.TOLD))
+    (week,) = r["insights"]["weekly"]
+    (high,) = r["weeklyHighlights"]
+    assert (week["prsMerged"], week["additions"], week["deletions"]) == (2, 55, 11)
+    assert high["weekEnding"] == week["weekEnding"] == "2026-03-08" and high["summary"] == "a good week"
+    assert [p["url"] for p in high["pullRequests"]] == ["b", "c", "a"]
+    none = report.build_report(events.limit(0), prices, settings, NOW, prs.limit(0))
+    assert none["weeklyHighlights"] == [] and none["insights"]["weekly"] == []
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("a" * 50 + "\nNeedle here" + "b" * 90, "/h/me/Developer/repo/x"), ("none", ""), (None, "/a/b/")], "t string, p string")
     got = df.select(text.match_context(F.col("t"), "needle").alias("c"), values.resolve_project(F.col("p")).alias("p")).collect()
