@@ -19,7 +19,8 @@ def test_new_files_reach_the_handler(spark, tmp_path):
 
 
 def test_live_daily_counts(spark, tmp_path):
-    rows = [event(ts="2026-06-01T10:00:00", cost=0.5), event(ts="2026-06-01T11:00:00", cost=0.25), event(ts="2026-06-02T11:00:00", tool="pi", cost=1.0)]
+    tokens = (1000, 500, 10000, 200, 0)
+    rows = [event(ts="2026-06-01T10:00:00", tokens=tokens, cost=0.5), event(ts="2026-06-01T11:00:00", tokens=tokens, cost=0.25), event(ts="2026-06-02T11:00:00", tool="pi", tokens=tokens, cost=1.0)]
     spark.createDataFrame(rows, EVENT).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
     query = live.live_daily(stream, "UTC").writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
