@@ -6,11 +6,14 @@ Not here: op2 and op9 (a tokenizer), op6 (Spark's own hash places rows), op7
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from .license_model import COMMON, NOTICES, SCALE, features, trained
 from .licenses import CONFIRM
 from .mixing import MOST_COPIES, WEIGHTS
 from .quality import RULES, mask
 from .revisits import PERMITTED
+from .secret_scan import ALPHABET, trained as trained_secrets
 
 WORD = r"[^\x20\x09-\x0D]+"
 TEXT = "coalesce(text, '')"
@@ -134,6 +137,61 @@ def near(size: int = 3, percent: int = 85) -> str:
       SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, least(doc_id, min(v)) AS component_id, doc_id = least(doc_id, min(v)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.u = doc_id GROUP BY doc_id"""
 
 
+#: The kinds of secrets in their order, their patterns, and the fewest characters of a match or of its second group.
+SECRETS = {
+    "assign": ("(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    "access": ("(A)(KIA[A-Z0-9]+)", 17),
+    "hex": ("()([0-9a-f]+)", 16),
+    "markov": ("()([A-Za-z0-9+/_=-]{20,})", 20),
+}
+
+
+def secrets() -> str:
+    """Where matches lie follows from the lengths of matches and of what stands between them."""
+    m = trained_secrets()
+    places = []
+    for k, (kind, (pattern, least)) in enumerate(SECRETS.items()):
+        quoted = pattern.replace("'", "''")
+        places.append(f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, x, y, sum(length(gap) + coalesce(length(prior), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS a, {least} AS least FROM
+          (SELECT doc_id, i, hits[i] AS x, ends[i] AS y, gaps[i] AS gap, hits[i - 1] AS prior FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM
+          (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS hits, regexp_extract_all(t, '{quoted}', 2) AS ends, regexp_split_to_array(t, '{quoted}') AS gaps FROM d)))""")
+    place = f"(strpos('{ALPHABET}', substr(x, %s, 1)) - 1)"
+    score = f"list_sum(list_transform(range(1, length(x)), lambda i: ratios[{place % 'i'} * {len(ALPHABET)} + {place % 'i + 1'} + 1]))"
+    shown = "string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, k)"
+    return f"""WITH model AS (SELECT {list(m.ratios)} AS ratios), d AS (SELECT doc_id, {TEXT} AS t FROM documents),
+      hit AS (SELECT doc_id, k, kind, x, a, a + length(x) AS b FROM ({' UNION ALL '.join(places)}) WHERE length(y) >= least),
+      base AS (SELECT * FROM hit WHERE k < 3),
+      more AS (SELECT hit.* FROM hit, model WHERE k = 3 AND {score} >= {m.threshold} AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = hit.doc_id AND base.a <= hit.a AND base.b >= hit.b)),
+      every AS (SELECT * FROM base UNION ALL SELECT * FROM more)
+      SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE k = 3) AS n_markov,
+      sha256(coalesce({shown} FILTER (WHERE k < 3), '')) AS base_sha256, coalesce({shown}, '') AS spans FROM d LEFT JOIN every USING (doc_id) GROUP BY doc_id"""
+
+
+def ranked(k: int = 20) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    found = rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {found} AS w FROM documents), n AS (SELECT doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+      tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY 1, 2),
+      weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t, docs),
+      q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({found}) AS t FROM benchmark) GROUP BY 1, 2),
+      s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score FROM q JOIN tf USING (t) JOIN weight USING (t) JOIN n USING (doc_id), total GROUP BY 1, 2)
+      SELECT item_id, (row_number() OVER o)::INT AS rank, doc_id, score FROM s WHERE score > 0 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= {k}"""
+
+
+def interactions() -> str:
+    """Every document goes through every order; no matrices."""
+    letters = "ABCDE"
+    tried = ", ".join(f"('{''.join(p)}', {s + 1}, {1 << letters.index(p[s])}, {sum(1 << letters.index(x) for x in p[:s])})" for p in permutations(letters) for s in range(5))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, {TEXT} AS t, {_words()} AS w FROM documents),
+      said AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+      f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+        + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d LEFT JOIN said USING (doc_id)),
+      h AS (SELECT part, mask, good, toxic, count(*) AS n FROM f GROUP BY ALL), o(filter_order, step, own, before) AS (VALUES {tried}),
+      r AS (SELECT part, filter_order, step, own, (coalesce(sum(n) FILTER (WHERE mask & (own | before) = 0), 0))::BIGINT AS kept, (coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before = 0), 0))::BIGINT AS removed, (coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & before <> 0), 0))::BIGINT AS redundant,
+        (coalesce(sum(n) FILTER (WHERE mask = own), 0))::BIGINT AS unique_fails, (coalesce(sum(n) FILTER (WHERE good AND mask & own <> 0 AND mask & before = 0), 0))::BIGINT AS good_lost, (coalesce(sum(n) FILTER (WHERE toxic AND mask & own <> 0 AND mask & before = 0), 0))::BIGINT AS toxic_lost FROM h CROSS JOIN o GROUP BY 1, 2, 3, 4)
+      SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r"""
+
+
 SQL: dict[str, str] = {
     "op1_resolve_revisits": revisits(),
     "op3_substring_dedup": repeats(),
@@ -143,4 +201,7 @@ SQL: dict[str, str] = {
     "quality_ablations": ablations(),
     "mixing_targets": targets(),
     "op10_near_dedup": near(),
+    "op11_find_secrets": secrets(),
+    "op12_ranked_search": ranked(),
+    "op13_filter_audit": interactions(),
 }

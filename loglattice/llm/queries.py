@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, quality, revisits, sharding, substring_dedup, token_counts
+from . import exact_dedup, filter_audit, lexical_search, licenses, mixing, near_dedup, packing, quality, revisits, secret_scan, sharding, substring_dedup, token_counts
 from .common import table, tokenizer_path
 
 
@@ -54,6 +54,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op11_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the policy decides, from the ledger's bits."""
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_pack_documents,
         op10_near_dedup,
+        op11_find_secrets,
+        op12_ranked_search,
+        op13_filter_audit,
         quality_ablations,
         mixing_targets,
     )
