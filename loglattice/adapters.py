@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .sources import log_source, shared
+
 TZ = "America/Chicago"
 TODAY = "2024-01-30"
 NOW = "1998-08-02 00:00:00"
@@ -121,3 +123,87 @@ def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct(kind.alias("type"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"), payload.alias("payload"))
     rows = e.withColumn("n", order)
     return _lines(rows, "codex", F.concat(F.lit("/logs/"), F.col("user_id").cast("string"), F.lit(".jsonl")), F.col("n"), line)
+
+
+def _object(*fields: tuple[str, object]) -> Column:
+    """A JSON object; fields whose value is null are left out."""
+    return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(name) for name, x in fields])
+
+
+def _json(*fields: tuple[str, object]) -> Column:
+    return F.to_json(_object(*fields))
+
+
+def conversation_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """``conversations`` as log files of three tools, written and named by tool: a file a conversation, a line a turn.
+
+    Files of the second and third tool begin with a line that names the run.
+    Behind every fifth turn stands a line that is no JSON. Users' turns of
+    every other conversation of the first tool also stand in a helper's file.
+    """
+    c = table(spark, sf_dir, "conversations")
+    n, turn, role, text = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")
+    user, assistant = role == "user", role == "assistant"
+    odd = (turn % 2).cast("string")
+    stamp = F.concat(F.date_format(F.date_add(F.lit("2024-03-01").cast("date"), n.cast("int") % 40 + turn.cast("int")), "yyyy-MM-dd"), F.lit("T08:00:00Z"))
+
+    def named(prefix: str, of) -> Column:
+        return F.concat(F.lit(prefix), of.cast("string"))
+
+    def given(file_path=None, path=None) -> Column:
+        return F.struct(*[(F.lit(x).cast("string") if x is None else x).alias(k) for k, x in (("file_path", file_path), ("path", path))])
+
+    def block(kind: str, text=None, thinking=None, name=None, given=None) -> Column:
+        return F.struct(*[(F.lit(x).cast("string") if x is None or isinstance(x, str) else x).alias(k) for k, x in (("type", kind), ("text", text), ("thinking", thinking), ("name", name))], (F.lit(None).cast("struct<file_path:string,path:string>") if given is None else given).alias("input"))
+
+    worked = F.array(block("text", text=text), block("thinking", thinking=named("t", turn)), block("tool_use", name="Edit", given=given(file_path=named("/f", turn % 3))), block("tool_use", name="Grep", given=given(path=named("/r", turn))))
+    folder = F.when(n % 7 == 0, F.lit("/w/.claude/worktrees/x")).otherwise(named("/w/p", n % 5))
+    claude = F.when(user, _json(("type", "user"), ("cwd", folder), ("gitBranch", named("b", turn % 2)), ("promptSource", F.when(turn % 4 == 2, "system").when(turn % 4 == 1, "typed")), ("timestamp", stamp), ("message", _object(("role", "user"), ("content", text)))))
+    claude = claude.when(assistant, _json(("type", "assistant"), ("timestamp", stamp), ("message", _object(("role", "assistant"), ("content", worked))))).otherwise(_json(("type", "custom-title"), ("customTitle", named("title ", turn))))
+    codex = F.when(user, _json(("type", "message"), ("timestamp", stamp), ("message", _object(("role", "user"), ("content", F.array(_object(("type", "input_text"), ("text", text))))))))
+    codex = codex.when(assistant, _json(("type", "event_msg"), ("timestamp", stamp), ("payload", _object(("type", "exec_command_end"), ("command", F.array(F.lit("run"), odd)), ("exit_code", turn % 3), ("stderr", named("bad ", turn))))))
+    codex = codex.otherwise(_json(("type", "response_item"), ("payload", _object(("type", "custom_tool_call"), ("name", "apply_patch"), ("input", F.concat(F.lit("*** Begin\n*** Add File: n"), odd, F.lit(".py\n")))))))
+    said = F.array(_object(("type", "text"), ("text", text), ("name", F.lit(None).cast("string")), ("arguments", F.lit(None).cast("struct<command:string>"))), _object(("type", "toolCall"), ("text", F.lit(None).cast("string")), ("name", "bash"), ("arguments", _object(("command", F.concat(F.lit(" make "), odd, F.lit(" ")))))))
+    pi = F.when(user, _json(("type", "message"), ("timestamp", stamp), ("message", _object(("role", "user"), ("content", text)))))
+    pi = pi.when(assistant, _json(("type", "message"), ("timestamp", stamp), ("message", _object(("role", "assistant"), ("content", said), ("errorMessage", F.when(turn % 5 == 1, named("failed ", turn)))))))
+    pi = pi.otherwise(_json(("type", "message"), ("message", _object(("role", "bashExecution"), ("command", "ls"), ("exitCode", turn % 2), ("output", "out")))))
+
+    tool = F.element_at(F.array(F.lit("claude"), F.lit("codex"), F.lit("pi")), (n % 3 + 1).cast("int"))
+    path = F.when(n % 3 == 0, F.concat(named("claude/p", n % 5), named("/", n))).when(n % 3 == 1, F.concat(F.lit("codex/2024/03/"), n.cast("string"))).otherwise(F.concat(named("pi/d", n % 4), named("/", n)))
+    line = F.when(n % 3 == 0, claude).when(n % 3 == 1, codex).otherwise(pi)
+    turns = c.select(tool.alias("tool"), path.alias("path"), (turn * 4).alias("line_no"), line.alias("line"))
+    junk = c.where(turn % 5 == 4).select(tool.alias("tool"), path.alias("path"), (turn * 4 + 1).alias("line_no"), F.lit("{ not json").alias("line"))
+    meta = F.when(n % 3 == 1, _json(("type", "session_meta"), ("timestamp", "2024-02-01T05:00:00Z"), ("payload", _object(("id", named("c", n)), ("cwd", "/w/c"), ("git", _object(("branch", named("cb", n % 4))))))))
+    meta = meta.otherwise(_json(("type", "session"), ("id", named("p", n)), ("cwd", "/w/pi")))
+    heads = c.where(n % 3 > 0).select("conv_id").distinct().select(tool.alias("tool"), path.alias("path"), F.lit(-1).cast("long").alias("line_no"), meta.alias("line"))
+    helpers = c.where((n % 6 == 0) & user).select(tool.alias("tool"), F.concat(path, F.lit("/subagents/h")).alias("path"), turn.alias("line_no"), claude.alias("line"))
+    rows = turns.unionByName(junk).unionByName(heads).unionByName(helpers)
+    root = shared.folder(spark, "logs")
+    log_source.write_logs(rows.select(F.concat("path", F.lit(".jsonl")).alias("file_path"), "line_no", "line"), root)
+    return {t: f"{root}/{t}" for t in ("claude", "codex", "pi")}
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """``events`` as usage in log files of two tools, a file a user: sign-ups begin a session, views name a model, all others are usage."""
+    e = table(spark, sf_dir, "events")
+    n, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    k = F.get_json_object("props", "$.k").cast("long")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+
+    def named(prefix: str, of) -> Column:
+        return F.concat(F.lit(prefix), of.cast("string"))
+
+    cwd = F.when(n % 2 == 0, "/w/even")
+    codex = F.when(kind == "signup", _json(("type", "session_meta"), ("payload", _object(("id", named("s", n)), ("cwd", cwd)))))
+    codex = codex.when(kind == "view", _json(("type", "turn_context"), ("payload", _object(("model", named("g", n % 3))))))
+    codex = codex.otherwise(_json(("type", "event_msg"), ("timestamp", stamp), ("payload", _object(("type", "token_count"), ("info", _object(("last_token_usage", _object(("input_tokens", k + 10), ("cached_input_tokens", k), ("output_tokens", k)))))))))
+    used = _object(("input", k), ("output", k * 2), ("cacheRead", F.when(n % 3 == 0, k)), ("cost", _object(("total", F.when(n % 5 == 0, n % 100)))))
+    names = (("provider", named("v", user % 3)), ("model", named("m", n % 4)), ("usage", used))
+    pi = F.when(kind == "signup", _json(("type", "session"), ("id", named("s", n)), ("cwd", cwd)))
+    pi = pi.when(kind == "view", _json(("type", "message"), ("timestamp", stamp), ("message", _object(("role", "user"), ("content", "hi")))))
+    pi = pi.when(n % 2 == 0, _json(("type", "message"), ("timestamp", stamp), ("message", _object(("role", "assistant"), *names)))).otherwise(_json(("type", "message"), ("timestamp", stamp), ("message", _object(("role", "assistant"), ("content", "x"))), *names))
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    path = F.concat(F.when(user % 2 == 0, "codex/u").otherwise("pi/u"), user.cast("string"), F.lit(".jsonl"))
+    root = shared.folder(spark, "usage")
+    log_source.write_logs(e.select(path.alias("file_path"), order.alias("line_no"), F.when(user % 2 == 0, codex).otherwise(pi).alias("line")), root)
+    return {t: f"{root}/{t}" for t in ("codex", "pi")}

@@ -52,11 +52,33 @@ def claude_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def _so_far() -> Window:
-    return Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Lines of a file that are filled in one task.
+BLOCK_LINES = 1 << 16
 
 
-def codex_events(lines: DataFrame) -> DataFrame:
+def forward_fill(rows: DataFrame, values: dict[str, Column], key: str = "file_path", order: str = "line_no", block: int = BLOCK_LINES) -> DataFrame:
+    """Adds columns that hold the latest value that isn't null at or before each row of its key, null before the first.
+
+    Rows are filled within blocks of ``order``; what each block ends with is
+    carried over the blocks behind it by a window that has one row a block. So
+    a file of any length is filled by many tasks, and rows move once: the
+    carried values come to where the blocks are. Null keys are one key; rows
+    of equal order are filled in any order among themselves.
+    """
+    taken = {c.lower() for c in rows.columns} | {c.lower() for c in values}
+    at, until = (next(n for n in (base + "_" * i for i in range(len(taken) + 1)) if n not in taken) for base in ("block", "until"))
+    blocks = rows.withColumns({**values, at: F.floor(F.col(order) / block)})
+    so_far = Window.partitionBy(key, at).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = blocks.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in values})
+    ends = blocks.groupBy(key, at).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values])
+    before = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(key).alias("key"), F.col(at).alias(until), *[F.last(c, ignorenulls=True).over(before).alias(f"carried_{c}") for c in values])
+    carried = carried.where(F.coalesce(*[F.col(f"carried_{c}").cast("string") for c in values]).isNotNull())
+    joined = inside.join(carried, inside[key].eqNullSafe(carried["key"]) & inside[at].eqNullSafe(carried[until]), "left")
+    return joined.select(*rows.columns, *[F.coalesce(c, f"carried_{c}").alias(c) for c in values])
+
+
+def codex_events(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
     """Token counts with the latest session and model before them in the file; counts before either are left out.
 
     The session is filled as a whole, so a later one without a folder doesn't
@@ -70,7 +92,7 @@ def codex_events(lines: DataFrame) -> DataFrame:
     usage = "$.payload.info.last_token_usage"
     counted = (kind == "event_msg") & (_string(v, "$.payload.type") == "token_count")
     rows = lines.where("tool = 'codex'").where(kind.isin("session_meta", "turn_context") | counted)
-    filled = rows.withColumns({"session": F.last(meta, ignorenulls=True).over(_so_far()), "of_model": F.last(model, ignorenulls=True).over(_so_far())})
+    filled = forward_fill(rows, {"session": meta, "of_model": model}, block=block)
     found = filled.where(counted & F.try_variant_get(v, usage, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, usage, "variant"))).where(F.col("session").isNotNull() & _nonempty(F.col("of_model")))
     cached = _count(v, f"{usage}.cached_input_tokens")
     zero = F.lit(0).cast("long")
@@ -80,12 +102,12 @@ def codex_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def pi_events(lines: DataFrame) -> DataFrame:
+def pi_events(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
     """Assistant messages with usage, in the message or, as older logs have it, beside it; the latest session before them."""
     v = F.col("v")
     kind = _string(v, "$.type")
     session = F.when(kind == "session", F.struct(F.coalesce(_string(v, "$.id"), F.lit("")).alias("id"), F.coalesce(_string(v, "$.cwd"), F.lit("")).alias("cwd")))
-    rows = lines.where("tool = 'pi'").where(kind.isin("session", "message")).withColumn("session", F.last(session, ignorenulls=True).over(_so_far()))
+    rows = forward_fill(lines.where("tool = 'pi'").where(kind.isin("session", "message")), {"session": session}, block=block)
 
     def either(path: str, kind_of: str) -> Column:
         return F.coalesce(F.try_variant_get(v, f"$.message.{path}", kind_of), F.try_variant_get(v, f"$.{path}", kind_of))

@@ -174,4 +174,43 @@ SQL: dict[str, str] = {
     "anti_removed": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "change_gate": "SELECT doc_id FROM documents WHERE doc_id % 7 = 0",
 }
+
+
+def _log_sessions() -> str:
+    day, tool = "strftime(DATE '2024-03-01' + (conv_id % 40 + turn)::INT, '%Y-%m-%d')", "conv_id % 3"
+    user, assistant, system = "role = 'user'", "role = 'assistant'", "role NOT IN ('user', 'assistant')"
+
+    def seen(value: str, which: str, sep: str = "|", limit: int = 50) -> str:
+        """Distinct values in the order in which they come first."""
+        return f"coalesce((SELECT string_agg(x, '{sep}' ORDER BY o) FROM (SELECT {value} AS x, min(turn) AS o FROM t d WHERE d.conv_id = t.conv_id AND {which} GROUP BY 1 ORDER BY o LIMIT {limit})), '')"
+
+    def told(value: str, which: str, limit: int) -> str:
+        return f"coalesce((SELECT string_agg(x, chr(10) ORDER BY turn) FROM (SELECT {value} AS x, turn FROM t d WHERE d.conv_id = t.conv_id AND {which} ORDER BY turn LIMIT {limit})), '')"
+
+    words = f"coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE genuine), '')"
+    helped = f"coalesce(string_agg(t, chr(10) ORDER BY turn) FILTER (WHERE {user} AND trim(t) <> ''), '')"
+    return rf"""WITH t AS (SELECT conv_id, turn, role, {tool} AS k, coalesce({STRIPPED}, '') AS t, {day} AS day, {user} AND trim(coalesce({STRIPPED}, '')) <> '' AND ({tool} > 0 OR turn % 4 <> 2) AS genuine, {tool} = 0 OR {user} OR {assistant} AS x FROM conversations),
+      s AS (SELECT CASE k WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'pi' END AS tool, conv_id::VARCHAR AS session_id, CASE k WHEN 0 THEN CASE WHEN conv_id % 7 = 0 THEN '/w/.claude/worktrees/x' ELSE '/w/p' || (conv_id % 5) END WHEN 1 THEN '/w/c' ELSE '/w/pi' END AS cwd,
+      CASE k WHEN 0 THEN 'b' || (arg_max(turn, turn) FILTER (WHERE {user}) % 2) WHEN 1 THEN 'cb' || (conv_id % 4) ELSE '' END AS branch, coalesce({_clean("arg_min(t, turn) FILTER (WHERE genuine)")}, '') AS first_prompt,
+      CASE k WHEN 0 THEN coalesce('title ' || (max(turn) FILTER (WHERE {system})), '') ELSE '' END AS custom_title, CASE k WHEN 1 THEN '2024-02-01' ELSE coalesce(arg_min(day, turn) FILTER (WHERE {user} OR {assistant}), '?') END AS created_at,
+      coalesce(arg_max(day, turn) FILTER (WHERE {user} OR {assistant}), CASE k WHEN 1 THEN '2024-02-01' ELSE '?' END) AS date, (count(*) FILTER (WHERE {user} OR {assistant} AND k <> 1))::INT AS message_count,
+      CASE k WHEN 0 THEN {seen("'/f' || (turn % 3)", assistant)} WHEN 1 THEN {seen("'n' || (turn % 2) || '.py'", system)} ELSE '' END AS files_touched, CASE k WHEN 0 THEN {seen("'/r' || turn", assistant)} ELSE '' END AS files_read,
+      CASE k WHEN 0 THEN '' WHEN 1 THEN {seen("'run ' || (turn % 2)", assistant)} ELSE {seen(f"CASE WHEN {assistant} THEN 'make ' || (turn % 2) ELSE 'ls' END", f"NOT {user}")} END AS commands,
+      CASE k WHEN 0 THEN 0 WHEN 1 THEN (count(*) FILTER (WHERE {assistant} AND turn % 3 <> 0))::INT ELSE (count(*) FILTER (WHERE {assistant} AND turn % 5 = 1 OR {system} AND turn % 2 = 1))::INT END AS error_count,
+      substr(trim(coalesce(arg_max(t, turn) FILTER (WHERE genuine), '')), 1, 500) AS closing_user, CASE k WHEN 0 THEN substr({told("'t' || turn", assistant, 100000)}, 1, 20000) ELSE '' END AS thinking,
+      CASE k WHEN 0 THEN '' WHEN 1 THEN {told("'bad ' || turn", f"{assistant} AND turn % 3 <> 0", 20)} ELSE {told(f"CASE WHEN {assistant} THEN 'failed ' || turn ELSE 'out' END", f"({assistant} AND turn % 5 = 1 OR {system} AND turn % 2 = 1)", 20)} END AS context_text,
+      md5({words} || CASE WHEN conv_id % 6 = 0 AND {helped} <> '' THEN CASE WHEN {words} = '' THEN '' ELSE chr(10) END || {helped} ELSE '' END) AS said, k = 0 AND (conv_id % 7 = 0 OR NOT bool_or({user})) AS out FROM t GROUP BY conv_id, k)
+      SELECT * EXCLUDE (out), error_count > 0 AS errored FROM s WHERE NOT out"""
+
+
+SQL["logs_sessions"] = _log_sessions()
+SQL["logs_lines"] = """WITH every AS (SELECT conv_id, turn * 4 AS spot, CASE conv_id % 3 WHEN 0 THEN CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'custom-title' END WHEN 1 THEN CASE role WHEN 'user' THEN 'message' WHEN 'assistant' THEN 'event_msg' ELSE 'response_item' END ELSE 'message' END AS kind FROM conversations
+    UNION ALL SELECT conv_id, turn * 4 + 1, NULL FROM conversations WHERE turn % 5 = 4 UNION ALL SELECT DISTINCT conv_id, -1, CASE conv_id % 3 WHEN 1 THEN 'session_meta' ELSE 'session' END FROM conversations WHERE conv_id % 3 > 0)
+  SELECT * FROM (SELECT CASE conv_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'pi' END AS tool, conv_id::VARCHAR AS session_id, (row_number() OVER w - 1)::INT AS line_no, (count(*) OVER (PARTITION BY conv_id))::INT AS n_lines, kind FROM every WINDOW w AS (PARTITION BY conv_id ORDER BY spot)) WHERE kind IS NOT NULL"""
+SQL["logs_usage"] = """WITH e AS (SELECT event_id AS n, user_id, event_type, (props->>'$.k')::BIGINT AS k, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS s, last_value(CASE WHEN event_type = 'view' THEN event_id % 3 END IGNORE NULLS) OVER w AS g
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  u AS (SELECT 'codex' AS tool, 'openai' AS provider, 'g' || g AS model, s, 10 AS input, k AS output, k AS cache_read, NULL::DOUBLE AS cost FROM e WHERE user_id % 2 = 0 AND event_type NOT IN ('signup', 'view') AND g IS NOT NULL
+    UNION ALL SELECT 'pi', 'v' || (user_id % 3), 'm' || (n % 4), s, k, 2 * k, CASE WHEN n % 3 = 0 THEN k ELSE 0 END, CASE WHEN n % 5 = 0 THEN n % 100 END FROM e WHERE user_id % 2 = 1 AND event_type NOT IN ('signup', 'view'))
+  SELECT tool, provider, model, 's' || s AS session_id, CASE WHEN s % 2 = 0 THEN 'even' ELSE 'unknown' END AS project, count(*) AS events, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cost) AS cost_usd FROM u WHERE s IS NOT NULL GROUP BY 1, 2, 3, s"""
+SQL["asof_blocks"] = "SELECT event_id, event_type, last_value(CASE WHEN value > 90 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest FROM events"
 SQL["usage_period_filter"] = SQL["usage_period_filter"].replace("$$", "'")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import adapters as a
 from .functions import text, values
 from .operators import pricing, rollups, search, session_index, usage_cube, usage_events
+from .sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,7 +381,7 @@ def lines_to_usage(spark, sf_dir):
 @query
 def lines_asof_model(spark, sf_dir):
     """Events as token counts that take the latest session and model before them in their file."""
-    found = usage_events.codex_events(a.token_lines(spark, sf_dir))
+    found = usage_events.codex_events(a.token_lines(spark, sf_dir), block=16)
     return found.groupBy("session_id", "model", "project").agg(F.count(F.lit(1)).alias("events"), F.sum("input").cast("long").alias("input"), F.sum("cache_read").cast("long").alias("cache_read"))
 
 
@@ -389,3 +390,36 @@ def lines_scan(spark, sf_dir):
     """Runs without an index in which a user says a word, newest first."""
     found = rollups.scan(a.conversation_lines(spark, sf_dir), "the")
     return found.select("session_id", "date", "message_count")
+
+
+@query
+def logs_sessions(spark, sf_dir):
+    """Conversations as log files of three tools, read through the log source into the session index."""
+    roots = a.conversation_files(spark, sf_dir)
+    found = session_index.session_rows(logs.raw_lines(spark, roots), logs.subagent_lines(spark, roots["claude"]))
+    lists = [F.array_join(c, "|").alias(c) for c in ("files_touched", "files_read", "commands")]
+    return found.select("tool", "session_id", "cwd", "branch", "first_prompt", "custom_title", "created_at", "date", "message_count", *lists, "errored", "error_count", "closing_user", "text.thinking", "text.context_text", F.md5(F.col("text.user_content")).alias("said"))
+
+
+@query
+def logs_lines(spark, sf_dir):
+    """The number of every line of those files that is JSON, and its kind; files are read in small ranges."""
+    found = logs.raw_lines(spark, a.conversation_files(spark, sf_dir), split_bytes=1 << 14)
+    return found.select("tool", F.regexp_extract("file_path", r"([^/]+)\.jsonl$", 1).alias("session_id"), "line_no", "n_lines", F.try_variant_get("v", "$.type", "string").alias("kind"))
+
+
+@query
+def logs_usage(spark, sf_dir):
+    """Events as usage in log files of two tools, read through the log source; sessions and models are carried over blocks of 16 lines."""
+    lines = logs.raw_lines(spark, a.event_files(spark, sf_dir), recursive=True)
+    found = usage_events.codex_events(lines, block=16).unionByName(usage_events.pi_events(lines, block=16))
+    sums = [F.sum(c).cast("long").alias(c) for c in ("input", "output", "cache_read")]
+    return found.groupBy("tool", "provider", "model", "session_id", "project").agg(F.count(F.lit(1)).alias("events"), *sums, F.sum("cost_usd").alias("cost_usd"))
+
+
+@query
+def asof_blocks(spark, sf_dir):
+    """The latest error of a kind of event before each of its events, filled in blocks: few keys, each with a large share of the rows."""
+    e = a.table(spark, sf_dir, "events").withColumns({"place": F.col("event_id"), "known": F.when(F.col("value") > 90, F.col("event_id"))})
+    filled = usage_events.forward_fill(e.select("event_type", "event_id", "place", "known"), {"latest": F.col("known")}, "event_type", "place", block=256)
+    return filled.select("event_id", "event_type", "latest")

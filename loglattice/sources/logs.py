@@ -1,52 +1,67 @@
 """Log files as lines: one row a line, its JSON as a VARIANT that is parsed once.
 
-Runs are one file each. A line's number orders everything that is folded
-over a session; lines that are no JSON are dropped.
+A line's number orders everything that is folded over a session; lines that are
+no JSON are dropped. Files are read in ranges by ``log_source``; the numbers of
+a file of several ranges are those in the range plus the lines of all ranges
+before it.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import log_source
+
 LINES = "tool string, file_path string, file_size bigint, mtime timestamp, n_lines int, line_no int, v variant"
 #: Where each tool keeps runs below its root: one folder deep, or at any depth.
-LAYOUTS = {"claude": "*/*.jsonl", "pi": None, "codex": None}
+LAYOUTS = {"claude": "*/*.jsonl", "pi": "**", "codex": "**"}
+SUBAGENTS = "*/*/subagents/*.jsonl"
 
 
-def files(spark: SparkSession, root: str, pattern: str | None) -> DataFrame | None:
-    """(file_path, file_size, mtime, value) of the files below ``root``; None if the folder is missing or has none."""
-    try:
-        if pattern:
-            df = spark.read.text(f"{root}/{pattern}", wholetext=True)
-        else:
-            df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return _described(df)
+def _source(spark: SparkSession, kind: str, tool: str, root: str, **options: str) -> DataFrame:
+    log_source.register(spark)
+    return spark.read.format(kind).options(tool=tool, **options).load(*[root] if root else [])
 
 
-def _described(df: DataFrame) -> DataFrame:
-    return df.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+def numbered(spark: SparkSession, tool: str, root: str = "", split_bytes: int = log_source.SPLIT_BYTES, **options: str) -> DataFrame:
+    """(tool, file_path, file_size, mtime, n_lines, line_no, line) of every line below ``root``.
 
-
-def of_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The same for files that are named."""
-    return _described(spark.read.text(paths, wholetext=True))
+    Lines are numbered from 0; ``n_lines`` counts up to the last line with
+    anything to see. A file of one range needs nothing else. For larger ones
+    the lines of each range are counted where they are, and a sum over a file's
+    ranges tells where each begins, so no file is read by one task.
+    """
+    options |= {"split_bytes": str(split_bytes)}
+    columns = ("tool", "file_path", "file_size", "mtime")
+    whole = _source(spark, "agent_logs", tool, root, sizes="one", **options)
+    whole = whole.select(*columns, F.greatest(F.col("shown") + 1, F.lit(1)).alias("n_lines"), F.col("k").alias("line_no"), "line")
+    counts = _source(spark, "agent_log_blocks", tool, root, sizes="many", **options)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.max(F.when(F.col("shown") >= 0, F.col("first") + F.col("shown") + 1)).over(Window.partitionBy("file_path"))
+    starts = counts.select("file_path", "block", "shown", before.alias("first")).select("file_path", "block", "first", F.coalesce(last, F.lit(1)).cast("int").alias("n_lines"))
+    parts = _source(spark, "agent_logs", tool, root, sizes="many", **options).join(starts, ["file_path", "block"])
+    return whole.unionByName(parts.select(*columns, "n_lines", (F.col("first") + F.col("k")).cast("int").alias("line_no"), "line"))
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """Numbered lines as VARIANT. Blank lines and lines that don't parse are left out, but keep their number.
+
+    Of equal keys the last counts, as in other readers: the session allows
+    them from here on (``spark.sql.variant.allowDuplicateKeys``).
+    """
+    rows.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v is not null").drop("line")
 
 
-def lines_of(found: DataFrame, tool: str) -> DataFrame:
-    """Lines of whole files. Blank lines and lines that don't parse are left out, but keep their number."""
-    found.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts, as in other readers
-    trimmed = F.split(F.regexp_replace("value", r"\s+$", ""), "\n")
-    rows = found.select(F.lit(tool).alias("tool"), "file_path", "file_size", "mtime", F.size(trimmed).alias("n_lines"), F.posexplode(trimmed).alias("line_no", "line"))
-    return rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v is not null").drop("line")
+def of_paths(spark: SparkSession, paths: list[str], tool: str) -> DataFrame:
+    """Lines of files that are named."""
+    return parsed(numbered(spark, tool, files=json.dumps(paths)))
 
 
-def raw_lines(spark: SparkSession, roots: dict[str, str], recursive: bool = False, slugs: dict[str, str] | None = None) -> DataFrame:
+def raw_lines(spark: SparkSession, roots: dict[str, str], recursive: bool = False, slugs: dict[str, str] | None = None, split_bytes: int = log_source.SPLIT_BYTES) -> DataFrame:
     """Lines of all tools in ``roots``; only the branches that are asked for are read.
 
     ``recursive`` finds files at any depth, so those of subagents too.
@@ -55,19 +70,14 @@ def raw_lines(spark: SparkSession, roots: dict[str, str], recursive: bool = Fals
     """
     out = spark.createDataFrame([], LINES)
     for tool, root in roots.items():
-        pattern = None if recursive else LAYOUTS[tool]
-        if pattern and slugs and tool in slugs:
+        pattern = "**" if recursive else LAYOUTS[tool]
+        if pattern != "**" and slugs and tool in slugs:
             pattern = slugs[tool] + pattern
-        found = files(spark, root, pattern)
-        if found is not None:
-            out = out.unionByName(lines_of(found, tool))
+        out = out.unionByName(parsed(numbered(spark, tool, root, split_bytes, pattern=pattern)))
     return out
 
 
 def subagent_lines(spark: SparkSession, root: str) -> DataFrame:
     """Lines of subagents' files with their parent session's path as ``file_path``."""
-    found = files(spark, root, "*/*/subagents/*.jsonl")
-    if found is None:
-        return spark.createDataFrame([], LINES)
-    lines = lines_of(found, "claude").withColumn("sidecar", F.col("file_path"))
+    lines = parsed(numbered(spark, "claude", root, pattern=SUBAGENTS)).withColumn("sidecar", F.col("file_path"))
     return lines.withColumn("file_path", F.regexp_replace("file_path", r"/subagents/[^/]+\.jsonl$", ".jsonl"))

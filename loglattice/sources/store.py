@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollups, search, session_index
-from . import logs
+from . import log_source, logs
 
 #: Changes whenever the tables do; other layouts are ignored.
 LAYOUT = "layout-1"
@@ -83,19 +83,12 @@ class Store:
 
     def manifest(self, roots: dict[str, str]) -> DataFrame:
         """(tool, file_path, mtime, size) of all session files, without reading them."""
-        out = self.spark.createDataFrame([], "tool string, file_path string, mtime timestamp, size bigint")
+        log_source.register(self.spark)
+        out = None
         for tool, root in roots.items():
-            at, fs = self._fs(root)
-            if not fs.exists(at):
-                continue
-            pattern = logs.LAYOUTS[tool]
-            reader = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl")
-            try:
-                found = reader.load(f"{root}/{pattern}") if pattern else reader.option("recursiveFileLookup", "true").load(root)
-            except PySparkException:
-                continue
-            out = out.unionByName(found.select(F.lit(tool).alias("tool"), F.col("path").alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")))
-        return out
+            found = self.spark.read.format("agent_log_files").options(tool=tool, pattern=logs.LAYOUTS[tool]).load(root)
+            out = found if out is None else out.unionByName(found)
+        return self.spark.createDataFrame([], log_source.FILES) if out is None else out
 
     def _tables(self, lines: DataFrame, helpers: DataFrame | None) -> dict[str, DataFrame]:
         found = session_index.session_rows(lines, helpers)
@@ -120,7 +113,7 @@ class Store:
             return now
         lines = self.spark.createDataFrame([], logs.LINES)
         for tool in sorted({r.tool for r in stale}):
-            lines = lines.unionByName(logs.lines_of(logs.of_paths(self.spark, [r.file_path for r in stale if r.tool == tool]), tool))
+            lines = lines.unionByName(logs.of_paths(self.spark, [r.file_path for r in stale if r.tool == tool], tool))
         fresh = self._tables(lines, helpers)
         if not gone and not fresh["runs"].limit(1).count():
             return now

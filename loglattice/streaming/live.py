@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import MONEY, local_date, total_tokens
+from ..sources import log_source, logs
 
-FILES = "value string"
 
+def followed(spark: SparkSession, root: str, tool: str, pattern: str = "**") -> DataFrame:
+    """A stream of lines of log files that appear below ``root`` or grow: (tool, file_path, file_size, mtime, n_lines, line_no, v).
 
-def new_files(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
-    """A stream of whole log files that appear below ``root``: (file_path, file_size, mtime, value).
-
-    A file that grows later is not read again by a stream; ``sources.store``
-    follows those.
+    Each line comes once, when its line feed is there; a batch's lines of a
+    file are numbered from where the batch begins to read it, by the byte at
+    which their range begins, so they are in order but not dense.
+    ``file_size`` is what had been read of the file by the end of the batch.
     """
-    found = spark.readStream.schema(FILES).option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", per_trigger).format("text").load(root)
-    return found.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+    log_source.register(spark)
+    found = spark.readStream.format("agent_logs").options(tool=tool, pattern=pattern).load(root)
+    numbered = found.select("tool", "file_path", "file_size", "mtime", F.lit(0).alias("n_lines"), (F.col("block") + F.col("k")).alias("line_no"), "line")
+    return logs.parsed(numbered)
 
 
 def live_daily(events: DataFrame, tz: str, lateness: str = "2 days") -> DataFrame:

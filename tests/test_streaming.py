@@ -3,18 +3,39 @@ from __future__ import annotations
 import json
 
 from loglattice.operators import session_index
-from loglattice.sources import logs
 from loglattice.streaming import live
+from pyspark.sql import functions as F
 
 from .test_usage import EVENT, event
 
 
-def test_new_files_reach_the_handler(spark, tmp_path):
+def batches(spark, root, checkpoint):
+    """What one run of the stream hands over, and where it ends."""
+    seen = []
+    live.into(live.followed(spark, str(root), "claude"), lambda batch: seen.extend(batch.select("file_path", "line_no", F.to_json("v").alias("v")).collect()), str(checkpoint)).awaitTermination()
+    return sorted((r.file_path.rsplit("/", 1)[1], r.line_no, json.loads(r.v)["n"]) for r in seen)
+
+
+def test_files_that_appear_and_grow_are_followed(spark, tmp_path):
+    (tmp_path / "in/a").mkdir(parents=True)
+    first, second = tmp_path / "in/a/s.jsonl", tmp_path / "in/a/t.jsonl"
+    first.write_text('{"n": 1}\nnot json\n{"n": 2}\n{"n": 3')
+    assert batches(spark, tmp_path / "in", tmp_path / "c") == [("s.jsonl", 0, 1), ("s.jsonl", 2, 2)]
+    first.write_text(first.read_text() + '3}\n{"n": 4}\n')
+    second.write_text('{"n": 9}\n')
+    got = batches(spark, tmp_path / "in", tmp_path / "c")
+    assert [(f, n) for f, _, n in got] == [("s.jsonl", 33), ("s.jsonl", 4), ("t.jsonl", 9)]
+    assert got[1][1] > got[0][1] > 2
+    assert batches(spark, tmp_path / "in", tmp_path / "c") == []
+    second.write_text('{"n": 5}')  # shorter than before and without an end
+    assert batches(spark, tmp_path / "in", tmp_path / "c") == []
+
+
+def test_followed_lines_make_sessions(spark, tmp_path):
     (tmp_path / "in/a").mkdir(parents=True)
-    (tmp_path / "in/a/s.jsonl").write_text(json.dumps({"type": "user", "cwd": "/x", "message": {"content": "hi"}}))
+    (tmp_path / "in/a/s.jsonl").write_text(json.dumps({"type": "user", "cwd": "/x", "message": {"content": "hi"}}) + "\n")
     seen = []
-    stream = live.new_files(spark, str(tmp_path / "in"))
-    live.into(stream, lambda batch: seen.extend(session_index.session_rows(logs.lines_of(batch, "claude")).collect()), str(tmp_path / "c1")).awaitTermination()
+    live.into(live.followed(spark, str(tmp_path / "in"), "claude"), lambda batch: seen.extend(session_index.session_rows(batch).collect()), str(tmp_path / "c1")).awaitTermination()
     assert [(s.session_id, s.cwd) for s in seen] == [("s", "/x")]
 
 
