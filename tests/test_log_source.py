@@ -61,6 +61,14 @@ def test_numbers_are_the_same_at_any_split(spark, folder, split):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_small_files_share_partitions_and_large_ones_are_cut():
+    files = [log_source.File(f"/f{i}", size, None) for i, size in enumerate([10, 1 << 20, 5, 0, 3 << 20, 7])]
+    parts = [[(r.file.path, r.begin, r.end) for r in p.value] for p in log_source.dealt(log_source.ranges_of(files, 1 << 20), 1 << 20)]
+    assert parts == [[("/f0", 0, 10)], [("/f1", 0, 1 << 20)], [("/f2", 0, 5)], *[[("/f4", i << 20, i + 1 << 20)] for i in range(3)], [("/f5", 0, 7)]]
+    many = log_source.dealt([log_source.Range(log_source.File(str(i), 100, None), 0, 100) for i in range(1000)], 1 << 20)
+    assert sum(len(p.value) for p in many) == 1000 and 55 <= len(many) <= 65
+
+
 def test_patterns_enter_only_their_folders(tmp_path):
     for name in ("p/s.jsonl", "p/s/subagents/h.jsonl", "q/deep/er/x.jsonl", "top.jsonl", "p/other.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
@@ -88,7 +96,7 @@ def test_options_choose_files_before_any_is_opened(spark, tmp_path):
 
     some = of(pattern="d1/*.jsonl", larger="6")
     assert some.count() == 4 + 6
-    assert some.rdd.getNumPartitions() == 2
+    assert some.rdd.getNumPartitions() == 1  # small files share a partition
     assert of(newer="2023-11-14T22:13:23+00:00").count() == 5 + 6
     both = of().where("tool = 'codex'").unionByName(of().where("tool = 'pi'"))
     assert both.count() == 21
