@@ -8,7 +8,7 @@ so files that grow are read on from where they were left.
 
 Options: ``tool`` (a name for the rows), ``pattern`` (how paths below the root
 look, folder by folder; ``**`` is any depth), ``newer`` and ``larger`` (only
-files changed after a time, of more bytes), ``split_bytes``, ``sizes`` (only
+files changed after a time, of more bytes), ``split_bytes`` (``all``: no file is cut), ``sizes`` (only
 files of ``one`` range or of ``many``), ``files`` (a JSON list of files in place
 of a listing). They choose files before any is opened. Files are opened by
 ``pyarrow.fs``, so any store that it knows will do.
@@ -94,6 +94,27 @@ class Range:
     end: int
 
 
+def chosen(options: dict[str, str]) -> list[File]:
+    """The files that a reader's options name."""
+    if "files" in options:
+        found = []
+        for path in json.loads(options["files"]):
+            store, at = opened(path)
+            info = store.get_file_info(at)
+            if info.type == fs.FileType.File:
+                found.append(File(path, info.size, info.mtime))
+    else:
+        found = listed(options["path"], options.get("pattern", "**"))
+    newer, larger = options.get("newer"), options.get("larger")
+    after = None if newer is None else datetime.fromisoformat(newer).astimezone(timezone.utc)
+    return [f for f in found if (after is None or f.mtime > after) and (larger is None or f.size > int(larger))]
+
+
+def largest(options: dict[str, str]) -> int:
+    """Bytes of the largest of these files."""
+    return max((f.size for f in chosen(options)), default=0)
+
+
 def ranges_of(files: list[File], split: int, sizes: str | None = None, begin: dict[str, int] | None = None, end: dict[str, int] | None = None) -> list[Range]:
     out = []
     for f in files:
@@ -173,25 +194,11 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
-    def _wanted(self, f: File) -> bool:
-        newer, larger = self.options.get("newer"), self.options.get("larger")
-        return (newer is None or f.mtime > datetime.fromisoformat(newer).astimezone(timezone.utc)) and (larger is None or f.size > int(larger))
-
-    def files(self) -> list[File]:
-        if "files" in self.options:
-            found = []
-            for path in json.loads(self.options["files"]):
-                store, at = opened(path)
-                info = store.get_file_info(at)
-                if info.type == fs.FileType.File:
-                    found.append(File(path, info.size, info.mtime))
-        else:
-            found = listed(self.options["path"], self.options.get("pattern", "**"))
-        return [f for f in found if self._wanted(f)]
-
     def partitions(self):
-        split = int(self.options.get("split_bytes", SPLIT_BYTES))
-        return dealt(ranges_of(self.files(), split, self.options.get("sizes")), split)
+        files, split = chosen(self.options), self.options.get("split_bytes", SPLIT_BYTES)
+        if split == "all":
+            return dealt([Range(f, 0, f.size) for f in files if f.size], SPLIT_BYTES)
+        return dealt(ranges_of(files, int(split), self.options.get("sizes")), int(split))
 
 
 def _batches(part: Range, tool: str) -> Iterator[pa.RecordBatch]:
@@ -241,7 +248,7 @@ class FileReader(_Reader):
     """The listing alone: no file is opened."""
 
     def partitions(self):
-        found = self.files()
+        found = chosen(self.options)
         return [InputPartition(found[i : i + 10_000]) for i in range(0, len(found), 10_000)]
 
     def read(self, partition: InputPartition):

@@ -30,20 +30,26 @@ def numbered(spark: SparkSession, tool: str, root: str = "", split_bytes: int =
     """(tool, file_path, file_size, mtime, n_lines, line_no, line) of every line below ``root``.
 
     Lines are numbered from 0; ``n_lines`` counts up to the last line with
-    anything to see. A file of one range needs nothing else. For larger ones
-    the lines of each range are counted where they are, and a sum over a file's
-    ranges tells where each begins, so no file is read by one task.
+    anything to see. Where no file is larger than a range, as nearly always,
+    one scan of whole files is all. Larger files are cut: the lines of each of
+    their ranges are counted where they are, and a sum over a file's ranges
+    tells where each begins, so no file is read by one task.
     """
-    options |= {"split_bytes": str(split_bytes)}
     columns = ("tool", "file_path", "file_size", "mtime")
-    whole = _source(spark, "agent_logs", tool, root, sizes="one", **options)
-    whole = whole.select(*columns, F.greatest(F.col("shown") + 1, F.lit(1)).alias("n_lines"), F.col("k").alias("line_no"), "line")
-    counts = _source(spark, "agent_log_blocks", tool, root, sizes="many", **options)
+
+    def whole(**more: str) -> DataFrame:
+        rows = _source(spark, "agent_logs", tool, root, **options, **more)
+        return rows.select(*columns, F.greatest(F.col("shown") + 1, F.lit(1)).alias("n_lines"), F.col("k").alias("line_no"), "line")
+
+    if log_source.largest({"path": root, **options}) <= split_bytes:
+        return whole(split_bytes="all")
+    split = {"split_bytes": str(split_bytes)}
+    counts = _source(spark, "agent_log_blocks", tool, root, sizes="many", **options, **split)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.max(F.when(F.col("shown") >= 0, F.col("first") + F.col("shown") + 1)).over(Window.partitionBy("file_path"))
     starts = counts.select("file_path", "block", "shown", before.alias("first")).select("file_path", "block", "first", F.coalesce(last, F.lit(1)).cast("int").alias("n_lines"))
-    parts = _source(spark, "agent_logs", tool, root, sizes="many", **options).join(starts, ["file_path", "block"])
-    return whole.unionByName(parts.select(*columns, "n_lines", (F.col("first") + F.col("k")).cast("int").alias("line_no"), "line"))
+    parts = _source(spark, "agent_logs", tool, root, sizes="many", **options, **split).join(starts, ["file_path", "block"])
+    return whole(sizes="one", **split).unionByName(parts.select(*columns, "n_lines", (F.col("first") + F.col("k")).cast("int").alias("line_no"), "line"))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
