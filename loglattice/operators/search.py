@@ -1,22 +1,24 @@
 """Relevance-ranked search: tokens, postings, phrases, weighted BM25, snippets.
 
 Documents have a key and seven text columns. The index is a postings table,
-one row for each token's place. A query joins only the postings of its terms;
-corpus figures (documents, document frequency, mean length) cover the whole
-index, whatever filters a search has.
+one row for each term of each column with the list of its places. A query
+reads the rows of its terms; corpus figures (documents, document frequency,
+mean length) cover the whole index, whatever filters a search has.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache, reduce
-from operator import and_
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Text columns and their weights, in declared order.
 WEIGHTS = {"headline": 10.0, "user_content": 3.0, "assistant_content": 2.0, "commands": 6.0, "paths": 5.0, "context_text": 2.0, "thinking": 0.5}
@@ -116,9 +118,14 @@ def porter(w: str) -> str:
     return w
 
 
-@F.pandas_udf(StringType())
-def _term(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: porter(fold(t)))
+def stemmed(term: str) -> Column:
+    """Stems of folded terms; a column of distinct ones."""
+
+    @F.pandas_udf("string")
+    def of(terms: pd.Series) -> pd.Series:
+        return terms.map(porter)
+
+    return of(F.col(term))
 
 
 def tokens_of(text: str) -> list[str]:
@@ -137,90 +144,203 @@ def query_phrases(query: str, stem: bool = True) -> list[list[str]]:
     return out
 
 
-def places(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, col, pos, token): every token of every text column, in order."""
-    each = F.array(*[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c), F.lit("")).alias("text")) for c in columns])
-    split = docs.select(F.col(key).alias("key"), F.explode(each).alias("x")).select("key", "x.col", F.filter(F.split("x.text", APART), lambda t: t != "").alias("tokens"))
-    return split.select("key", "col", F.posexplode("tokens").alias("pos", "token"))
-
-
-def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem: bool = True) -> DataFrame:
-    """(key, col, pos, term). Tokens are folded and stemmed where they stand, so nothing is shuffled by token; workers remember common ones."""
-    rows = places(docs, key, columns or list(WEIGHTS))
-    return rows.withColumn("term", _term("token") if stem else F.lower("token")).drop("token")
+def term_of(token: str, stem: bool) -> str:
+    return porter(fold(token)) if stem else token.lower()
 
 
-def text_lengths(docs: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
-    """(key, length): tokens of each document with any, counted without postings."""
-    counts = [F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), APART), lambda t: t != "")) for c in columns or list(WEIGHTS)]
-    return docs.select(F.col(key).alias("key"), sum(counts, F.lit(0)).cast("long").alias("length")).groupBy("key").agg(F.sum("length").alias("length")).where("length > 0")
+#: Postings that one batch of rows holds.
+BATCH_ROWS = 1 << 15
+#: Tokens whose terms a worker remembers.
+REMEMBERED = 1 << 18
 
 
-def lengths(index: DataFrame) -> DataFrame:
-    return index.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem: bool = True) -> DataFrame:
+    """(key, term, col, n, gaps, length): one row for each term of each text column.
+
+    ``gaps`` are the term's places in the column, the first as it is and each
+    other as its distance from the one before; ``length`` counts the tokens of
+    all the document's columns, so a score needs no other table. Tokens are
+    folded and stemmed where they stand: nothing is shuffled, and a worker
+    stems a token once. Null texts are empty; rows of one key are documents of
+    their own only if their keys differ.
+    """
+    names = columns or list(WEIGHTS)
+    narrow = docs.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
+    kind = narrow.schema["key"].dataType
+    places = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        held: list[tuple] = []
+
+        def rows(of: pa.Array) -> pa.RecordBatch:
+            owner, term, col, n, gaps, length = zip(*held, strict=True)
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            flat = np.concatenate(gaps) if gaps else np.zeros(0, np.int32)
+            gap = np.diff(flat, prepend=0).astype(np.int32)
+            gap[ends[:-1]] = flat[ends[:-1]]
+            return pa.RecordBatch.from_arrays(
+                [of.take(pa.array(owner, pa.int64())), pa.array(term, pa.string()), pa.array(col, pa.string()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(gap)), pa.array(length, pa.int64())],
+                schema=pa.schema([("key", of.type), ("term", pa.string()), ("col", pa.string()), ("n", pa.int32()), ("gaps", places), ("length", pa.int64())]),
+            )
+
+        for batch in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            texts = [c.to_pylist() for c in batch.columns[1:]]
+            for i in range(batch.num_rows):
+                tokens = [tokens_of(t[i]) for t in texts]
+                length = sum(map(len, tokens))
+                for name, own in zip(names, tokens, strict=True):
+                    at: dict[str, list[int]] = {}
+                    for place, token in enumerate(own):
+                        term = known.get(token)
+                        if term is None:
+                            term = known[token] = term_of(token, stem)
+                        at.setdefault(term, []).append(place)
+                    held.extend((i, term, name, len(p), np.array(p, np.int32), length) for term, p in at.items())
+                if len(held) > BATCH_ROWS:
+                    yield rows(batch.column(0))
+                    held = []
+            if held:
+                yield rows(batch.column(0))
+                held = []
+
+    schema = StructType([StructField("key", kind), StructField("term", StringType()), StructField("col", StringType()), StructField("n", IntegerType()), StructField("gaps", ArrayType(IntegerType())), StructField("length", LongType())])
+    return narrow.mapInArrow(run, schema)
+
+
+def clustered(index: DataFrame, *first: str) -> DataFrame:
+    """Postings in order of terms within each partition, so that the statistics of written files tell which pages hold a term."""
+    return index.sortWithinPartitions(*first, "term", "key")
+
+
+def _starts(gaps: list[np.ndarray | None]) -> int:
+    """How often terms with these places follow one another."""
+    at = None
+    for j, own in enumerate(gaps):
+        if own is None:
+            return 0
+        here = np.cumsum(own) - j
+        at = here if at is None else np.intersect1d(at, here, assume_unique=True)
+    return len(at)
 
 
 def phrase_hits(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """(key, phrase, col, n, first): how often each phrase stands in each column. One pass over the postings, of which only the phrases' terms go on."""
+    """(key, phrase, col, n, length): how often each phrase stands in each column. Only rows of the phrases' terms are read; a phrase of one term is its row."""
     wanted = sorted({t for p in phrases for t in p})
     if not wanted:
-        return index.select("key", F.lit(0).alias("phrase"), "col", F.lit(0).cast("long").alias("n"), F.col("pos").alias("first")).limit(0)
-    places = [F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"at{i}") for i, t in enumerate(wanted)]
-    found = index.where(F.col("term").isin(*wanted)).groupBy("key", "col").agg(*places)
-
-    def starts(phrase: list[str]) -> Column:
-        at = [F.col(f"at{wanted.index(t)}") for t in phrase]
-        return F.filter(at[0], lambda p: reduce(and_, (F.array_contains(x, p + j) for j, x in enumerate(at[1:], 1)), F.lit(True)))
-
-    each = F.array(*[F.struct(F.lit(i).alias("phrase"), starts(p).alias("at")) for i, p in enumerate(phrases)])
-    hits = found.select("key", "col", F.explode(each).alias("x")).where(F.size("x.at") > 0)
-    return hits.select("key", "x.phrase", "col", F.size("x.at").cast("long").alias("n"), F.array_min("x.at").alias("first"))
+        return index.select("key", F.lit(0).alias("phrase"), "col", F.col("n").cast("long").alias("n"), "length").limit(0)
+    single = {p[0]: i for i, p in enumerate(phrases) if len(p) == 1}
+    longer = [(i, p) for i, p in enumerate(phrases) if len(p) > 1]
+    out = None
+    if single:
+        number = F.create_map(*[F.lit(x) for pair in single.items() for x in pair])
+        out = index.where(F.col("term").isin(*sorted(single))).select("key", F.element_at(number, F.col("term")).alias("phrase"), "col", F.col("n").cast("long").alias("n"), "length")
+    if longer:
+        terms = sorted({t for _, p in longer for t in p})
+        parts = index.where(F.col("term").isin(*terms)).groupBy("key", "col").agg(F.first("length").alias("length"), *[F.first(F.when(F.col("term") == t, F.col("gaps")), ignorenulls=True).alias(f"at{i}") for i, t in enumerate(terms)])
+
+        @F.pandas_udf("array<long>")
+        def counts(*at: pd.Series) -> pd.Series:
+            return pd.Series([[_starts([row[terms.index(t)] for t in p]) for _, p in longer] for row in zip(*at, strict=True)])
+
+        each = parts.select("key", "col", "length", F.posexplode(counts(*[f"at{i}" for i in range(len(terms))])).alias("which", "n"))
+        which = F.create_map(*[F.lit(x) for pair in enumerate(i for i, _ in longer) for x in pair])
+        found = each.where("n > 0").select("key", F.element_at(which, F.col("which")).alias("phrase"), "col", "n", "length")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def bm25(index: DataFrame, phrases: list[list[str]], weights: dict[str, float] | None = None, documents: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def bm25(index: DataFrame, phrases: list[list[str]], weights: dict[str, float] | None = None, documents: DataFrame | None = None) -> DataFrame:
     """(key, score) of documents with any of the phrases; lower is better.
 
-    Weights multiply how often a phrase stands in a column. ``documents``
-    (key) is what the index covers, where texts may be empty; ``sizes`` the
-    documents' lengths, if they are known without the postings.
+    Weights multiply how often a phrase stands in a column. ``documents`` is
+    what the index covers, where texts may be empty.
     """
     weights = weights or WEIGHTS
-    sizes = lengths(index) if sizes is None else sizes
-    total = (documents if documents is not None else sizes).agg(F.count(F.lit(1)).alias("docs"))
-    mean = sizes.agg(F.sum("length").alias("tokens"))
+    total = index.agg(F.count_distinct("key").alias("docs")) if documents is None else documents.agg(F.count(F.lit(1)).alias("docs"))
+    mean = index.agg(F.sum("n").alias("tokens"))
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-    tf = phrase_hits(index, phrases).groupBy("key", "phrase").agg(F.sum(F.col("n") * F.element_at(weight, F.col("col"))).alias("tf"))
+    tf = phrase_hits(index, phrases).groupBy("key", "phrase").agg(F.sum(F.col("n") * F.element_at(weight, F.col("col"))).alias("tf"), F.first("length").alias("length"))
     frequency = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     # corpus figures are one row, frequencies one for each word of the query
-    joined = tf.join(F.broadcast(frequency), "phrase").join(sizes, "key").crossJoin(F.broadcast(total.crossJoin(mean)))
+    joined = tf.join(F.broadcast(frequency), "phrase").crossJoin(F.broadcast(total.crossJoin(mean)))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf <= 0, F.lit(FLOOR)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (F.col("tokens") / F.col("docs"))))
     return joined.groupBy("key").agg((-F.sum(part)).alias("score"))
 
 
-def snippet(columns: dict[str, str], phrases: list[list[str]], size: int = SNIPPET_TOKENS) -> str | None:
-    """The piece of ``size`` tokens around the first hit in the column with most phrases; for the few rows that are shown."""
+def _sentences(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    """Tokens that begin a sentence: the first, and those behind a full stop or colon and white space."""
+    out = [0]
+    for i, (begin, _) in enumerate(spans[1:], 1):
+        before = text[max(0, spans[i - 1][1]) : begin]
+        bare = before.rstrip(" \t\n\r")
+        if len(bare) < len(before) and bare[-1:] in (".", ":"):
+            out.append(i)
+    return out
+
+
+def snippet(columns: dict[str, str], phrases: list[list[str]], size: int = SNIPPET_TOKENS, stem: bool = True) -> str | None:
+    """The best piece of ``size`` tokens of any column, as SQLite's full-text index picks it; null without a hit.
+
+    Every hit opens a window, and so does the start of the sentence it stands
+    in. A phrase's first hit in a window counts 1000, others 1; a window that
+    begins a sentence counts 100 more, 120 the text's first. A window that a
+    hit opens is then moved so that its hits are in the middle. Of equal
+    windows the earliest stays.
+    """
     import regex
 
     best = None
-    for order, text in enumerate(columns.values()):
-        spans = [m.span() for m in regex.finditer(r"[\p{L}\p{N}\p{M}\p{Co}]+", text or "")]
-        terms = [porter(fold(text[a:b])) for a, b in spans]
-        hits = [(i, len(p)) for p in phrases for i in range(len(terms) - len(p) + 1) if terms[i : i + len(p)] == p]
+    for text in columns.values():
+        text = text or ""
+        spans = [m.span() for m in regex.finditer(r"[\p{L}\p{N}\p{M}\p{Co}]+", text)]
+        terms = [term_of(text[a:b], stem) for a, b in spans]
+        hits = sorted((i, k) for k, p in enumerate(phrases) for i in range(len(terms) - len(p) + 1) if terms[i : i + len(p)] == p)
         if not hits:
             continue
-        kinds = len({tuple(terms[i : i + n]) for i, n in hits})
-        if best is None or kinds > best[0]:
-            best = (kinds, order, text, spans, min(hits))
+        starts = _sentences(text, spans)
+
+        def scored(begin: int, hits=hits, n=len(spans)) -> tuple[int, int]:
+            """The window's worth, and where it begins once its hits are in the middle."""
+            seen, worth, first, last = set(), 0, -1, 0
+            for at, k in hits:
+                if begin <= at < begin + size:
+                    worth += 1 if k in seen else 1000
+                    seen.add(k)
+                    first, last = at if first < 0 else first, at + len(phrases[k])
+            return worth, max(0, min(first - int((size - (last - first)) / 2), n - size))
+
+        for at, _ in hits:
+            worth, begin = scored(at)
+            if best is None or worth > best[0]:
+                best = (worth, text, spans, begin)
+            if len(spans) > size:
+                start = max((s for s in starts if s <= at), default=0)
+                if start < at:
+                    worth = scored(start)[0] + (100 if start else 120)
+                    if worth > best[0]:
+                        best = (worth, text, spans, start)
     if best is None:
         return None
-    _, _, text, spans, (first, span) = best
-    start = max(0, min(first - (size - span) // 2, len(spans) - size))
+    _, text, spans, start = best
     end = min(len(spans), start + size)
     body = text[spans[start][0] if start else 0 : spans[end - 1][1] if end < len(spans) else len(text)]
     return ("…" if start else "") + body + ("…" if end < len(spans) else "")
 
 
+def snippets(columns: list[str], phrases: list[list[str]], size: int = SNIPPET_TOKENS, stem: bool = True) -> Column:
+    """The snippet of each row, made by executors; for rows that are shown, after the limit."""
+
+    @F.pandas_udf("string")
+    def of(*texts: pd.Series) -> pd.Series:
+        return pd.Series([snippet(dict(zip(columns, row, strict=True)), phrases, size, stem) for row in zip(*texts, strict=True)], dtype=object)
+
+    return of(*[F.col(c) for c in columns])
+
+
 def ranked(scores: DataFrame, runs: DataFrame, limit: int, *filters: Column) -> DataFrame:
     """Best runs first; filters narrow what is shown, not the figures of the index."""
     rows = runs

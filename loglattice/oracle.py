@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .operators.search import STEP2, STEP3, STEP4
+
 ZONE = "America/Chicago"
 
 
@@ -213,4 +215,61 @@ SQL["logs_usage"] = """WITH e AS (SELECT event_id AS n, user_id, event_type, (pr
     UNION ALL SELECT 'pi', 'v' || (user_id % 3), 'm' || (n % 4), s, k, 2 * k, CASE WHEN n % 3 = 0 THEN k ELSE 0 END, CASE WHEN n % 5 = 0 THEN n % 100 END FROM e WHERE user_id % 2 = 1 AND event_type NOT IN ('signup', 'view'))
   SELECT tool, provider, model, 's' || s AS session_id, CASE WHEN s % 2 = 0 THEN 'even' ELSE 'unknown' END AS project, count(*) AS events, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, sum(cache_read)::BIGINT AS cache_read, sum(cost) AS cost_usd FROM u WHERE s IS NOT NULL GROUP BY 1, 2, 3, s"""
 SQL["asof_blocks"] = "SELECT event_id, event_type, last_value(CASE WHEN value > 90 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latest FROM events"
+
+
+def _stems() -> str:
+    """Porter's algorithm step by step over every word, by patterns of vowels (V) and consonants (C)."""
+
+    def form(x: str) -> str:
+        out = f"regexp_replace(regexp_replace({x}, '[aeiou]', 'V', 'g'), '^y', 'C')"
+        for _ in range(3):  # of several y in a row, each depends on the one before
+            out = f"regexp_replace(regexp_replace({out}, 'Vy', 'VC', 'g'), '([^Vy])y', '\\1V', 'g')"
+        return f"regexp_replace({out}, '[^V]', 'C', 'g')"
+
+    def cut(x: str, n: int) -> str:
+        return f"substr({x}, 1, length({x}) - {n})"
+
+    def measure(n: int) -> str:
+        return f"len(regexp_extract_all({cut('f', n)}, 'V+C+'))"
+
+    def short(n: int) -> str:
+        return f"(regexp_matches({cut('f', n)}, 'CVC$') AND NOT regexp_matches({cut('w', n)}, '[wxy]$'))"
+
+    def mended(n: int) -> str:
+        base, double = cut("w", n), f"(regexp_matches({cut('f', n)}, 'CC$') AND right({cut('w', n)}, 1) = substr({cut('w', n)}, -2, 1))"
+        return f"CASE WHEN regexp_matches({base}, '(at|bl|iz)$') THEN {base} || 'e' WHEN {double} AND NOT regexp_matches({base}, '[lsz]$') THEN {cut('w', n + 1)} WHEN {measure(n)} = 1 AND {short(n)} THEN {base} || 'e' ELSE {base} END"
+
+    def longest(pairs, least: int, more=lambda s: "true") -> str:
+        whens = (f"WHEN w LIKE '%{x}' THEN CASE WHEN {measure(len(x))} > {least} AND {more(x)} THEN {cut('w', len(x))} || '{y}' ELSE w END" for x, y in sorted(pairs, key=lambda p: -len(p[0])))
+        return f"CASE {' '.join(whens)} ELSE w END"
+
+    steps = [
+        f"CASE WHEN w LIKE '%sses' OR w LIKE '%ies' AND length(w) > 3 THEN {cut('w', 2)} WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN {cut('w', 1)} ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {measure(3)} > 0 THEN {cut('w', 1)} ELSE w END WHEN w LIKE '%ed' AND contains({cut('f', 2)}, 'V') THEN {mended(2)} WHEN w LIKE '%ing' AND contains({cut('f', 3)}, 'V') THEN {mended(3)} ELSE w END",
+        f"CASE WHEN w LIKE '%y' AND contains({cut('f', 1)}, 'V') THEN {cut('w', 1)} || 'i' ELSE w END",
+        longest(STEP2, 0), longest(STEP3, 0),
+        longest([(x, "") for x in STEP4], 1, lambda x: f"regexp_matches({cut('w', 3)}, '[st]$')" if x == "ion" else "true"),
+        f"CASE WHEN w LIKE '%e' AND ({measure(1)} > 1 OR {measure(1)} = 1 AND NOT {short(1)}) THEN {cut('w', 1)} ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {measure(1)} > 1 THEN {cut('w', 1)} ELSE w END",
+    ]
+    chain = [f"s0 AS (SELECT term, documents, term AS w, {form('term')} AS f FROM word)"]
+    for i, step in enumerate(steps):
+        chain.append(f"t{i} AS (SELECT term, documents, CASE WHEN length(term) BETWEEN 3 AND 64 THEN {step} ELSE w END AS w FROM s{i}), s{i + 1} AS (SELECT *, {form('w')} AS f FROM t{i})")
+    words = f"list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '{NOT_WORD}'), lambda x: x <> ''), lambda x: lower(x)))"
+    return f"WITH word AS (SELECT term, count(*) AS documents FROM (SELECT unnest({words}) AS term FROM documents) WHERE regexp_full_match(term, '[a-z]+') GROUP BY 1), {', '.join(chain)} SELECT term, w AS stem, documents FROM s{len(steps)}"
+
+
+SQL["search_terms"] = _stems()
+_WORD = NOT_WORD.replace("[^", "[")
+SQL["search_snippets"] = rf"""WITH best AS (SELECT doc_id FROM ({SQL['search_bm25'].replace("('licensed'), ('apache'), ('src3')", "('licensed')")}) ORDER BY score, doc_id LIMIT 20),
+  d AS (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS w, regexp_split_to_array(text, '{_WORD}') AS gap FROM documents SEMI JOIN best USING (doc_id)),
+  n AS (SELECT *, len(w) AS n, list_filter(range(0, len(w)), lambda i: lower(w[i + 1]) = 'licensed') AS hits, list_filter(range(0, len(w)), lambda i: i = 0 OR regexp_matches(gap[i + 1], '[.:][ 	
+
+]+$')) AS starts FROM d),
+  h AS (SELECT *, unnest(hits) AS spot FROM n), s AS (SELECT *, list_max(list_filter(starts, lambda i: i <= spot)) AS sentence FROM h),
+  c AS (SELECT doc_id, w, gap, n, hits, spot AS begin, spot, 0 AS kind, 0 AS bonus FROM s UNION ALL SELECT doc_id, w, gap, n, hits, sentence, spot, 1, CASE WHEN sentence = 0 THEN 120 ELSE 100 END FROM s WHERE n > 32 AND sentence < spot),
+  v AS (SELECT *, list_filter(hits, lambda i: i >= begin AND i < begin + 32) AS inside FROM c),
+  x AS (SELECT *, CASE WHEN len(inside) > 0 THEN 999 + len(inside) ELSE 0 END + bonus AS worth, CASE WHEN kind = 1 THEN begin ELSE greatest(0, least(inside[1] - trunc((32 - (inside[len(inside)] + 1 - inside[1])) / 2)::BIGINT, n - 32)) END AS start FROM v),
+  b AS (SELECT *, least(n, start + 32) AS stop FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, spot, kind) = 1)
+  SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE gap[1] END || array_to_string(list_transform(range(start + 1, stop + 1), lambda i: CASE WHEN i = start + 1 THEN '' ELSE gap[i] END || w[i]), '') || CASE WHEN stop < n THEN '…' ELSE gap[n + 1] END AS snippet FROM b"""
 SQL["usage_period_filter"] = SQL["usage_period_filter"].replace("$$", "'")

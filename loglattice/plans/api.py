@@ -51,7 +51,7 @@ def resolve_repo(cwd: str) -> Repo | None:
 
 
 def search_runs(index: Index, query: str = "", tool: str | None = None, project: str | None = None, errored: bool = False, limit: int = 20) -> DataFrame:
-    """Runs by relevance, or the newest ones for an empty query, with score and resume command."""
+    """Runs by relevance, or the newest ones for an empty query, with score, resume command and, of those that are shown, the snippet."""
     shown = rollups.scoped(index.runs, tool, project, errored)
     phrases = search.query_phrases(query)
     if not query.strip():
@@ -62,15 +62,14 @@ def search_runs(index: Index, query: str = "", tool: str | None = None, project:
         postings = index.postings.withColumnRenamed("file_path", "key")
         scores = search.bm25(postings, phrases, documents=index.runs.select("file_path"))
         found = search.ranked(scores, shown, limit)
-    return found.withColumn("resume_command", resume_command(F.col("tool"), F.col("cwd"), F.col("session_id")))
+    shown = search.snippets([f"text.{c}" for c in TEXTS], phrases) if phrases else F.lit(None).cast("string")
+    return found.withColumn("resume_command", resume_command(F.col("tool"), F.col("cwd"), F.col("session_id"))).withColumn("snippet", shown)
 
 
 def search_results(index: Index, query: str = "", **options) -> list[dict]:
     """The same as rows for display, with a snippet of what was found; at most ``limit`` rows reach the driver."""
-    phrases = search.query_phrases(query)
     out = []
-    for r in search_runs(index, query, **options).collect():
-        found = search.snippet(r.text.asDict(), phrases) if phrases else None
+    for r in search_runs(index, query, **options).drop("text").collect():
         title = r.custom_title or None
         out.append(
             {
@@ -84,7 +83,7 @@ def search_results(index: Index, query: str = "", **options) -> list[dict]:
                 "files": list(dict.fromkeys([*r.files_touched, *r.files_read])),
                 "errored": r.errored,
                 "filePath": r.file_path,
-                "displayText": found or title or r.first_prompt,
+                "displayText": r.snippet or title or r.first_prompt,
                 "score": r.score,
                 "resumeCommand": r.resume_command,
             }

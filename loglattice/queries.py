@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import adapters as a
 from .functions import text, values
 from .operators import pricing, rollups, search, session_index, usage_cube, usage_events
-from .sources import logs
+from .sources import logs, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -313,11 +313,14 @@ def _documents(spark, sf_dir):
     return d.select("doc_id", F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("user_content"), F.col("source").alias("paths"))
 
 
+TEXTS = ["headline", "user_content", "paths"]
+
+
 def _hits(spark, sf_dir, words, stem):
-    docs = _documents(spark, sf_dir)
-    index = search.postings(docs, "doc_id", ["headline", "user_content", "paths"], stem)
-    columns = ["headline", "user_content", "paths"]
-    return search.bm25(index, search.query_phrases(words, stem), documents=docs.select("doc_id"), sizes=search.text_lengths(docs, "doc_id", columns))
+    """Scores of documents by stored postings."""
+    docs, at = _documents(spark, sf_dir), shared.folder(spark, "postings")
+    search.clustered(search.postings(docs, "doc_id", TEXTS, stem)).write.parquet(at)
+    return search.bm25(spark.read.parquet(at), search.query_phrases(words, stem), documents=docs.select("doc_id"))
 
 
 @query
@@ -334,6 +337,24 @@ def search_stemmed_top(spark, sf_dir):
     return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(20)
 
 
+@query
+def search_snippets(spark, sf_dir):
+    """The best twenty for a word with the piece of their text that shows it, made by executors."""
+    words = search.query_phrases("licensed", False)
+    best = _hits(spark, sf_dir, "licensed", False).select("key", F.round("score", 6).alias("score")).orderBy("score", "key").limit(20)
+    docs = _documents(spark, sf_dir)
+    shown = docs.join(F.broadcast(best), docs["doc_id"] == best["key"])
+    return shown.select("doc_id", search.snippets(["user_content"], words, stem=False).alias("snippet"))
+
+
+@query
+def search_terms(spark, sf_dir):
+    """Every word of plain letters in the documents, folded, with its stem and the documents that hold it."""
+    docs = _documents(spark, sf_dir)
+    words = search.postings(docs, "doc_id", ["user_content"], False).where("term rlike '^[a-z]+$'").groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+    return words.select("term", search.stemmed("term").alias("stem"), "documents")
+
+
 @query
 def files_union(spark, sf_dir):
     """Words of a document's even lines, then of its odd ones, in order of first sight, as files touched and read are joined."""

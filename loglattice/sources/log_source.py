@@ -9,14 +9,13 @@ so files that grow are read on from where they were left.
 Options: ``tool`` (a name for the rows), ``pattern`` (how paths below the root
 look, folder by folder; ``**`` is any depth), ``newer`` and ``larger`` (only
 files changed after a time, of more bytes), ``split_bytes`` (``all``: no file is cut), ``sizes`` (only
-files of ``one`` range or of ``many``), ``files`` (a JSON list of files in place
-of a listing). They choose files before any is opened. Files are opened by
+files of ``one`` range or of ``many``), ``listed_in`` (a folder of text files
+that name the files, in place of a listing). They choose files before any is opened. Files are opened by
 ``pyarrow.fs``, so any store that it knows will do.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -96,9 +95,11 @@ class Range:
 
 def chosen(options: dict[str, str]) -> list[File]:
     """The files that a reader's options name."""
-    if "files" in options:
+    if "listed_in" in options:
         found = []
-        for path in json.loads(options["files"]):
+        store, top = opened(options["listed_in"])
+        lists = [i.path for i in store.get_file_info(fs.FileSelector(top)) if i.base_name.startswith("part-")]
+        for path in (line for x in sorted(lists) for line in store.open_input_file(x).read().decode().splitlines()):
             store, at = opened(path)
             info = store.get_file_info(at)
             if info.type == fs.FileType.File:

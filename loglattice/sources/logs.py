@@ -8,8 +8,6 @@ before it.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +60,10 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v is not null").drop("line")
 
 
-def of_paths(spark: SparkSession, paths: list[str], tool: str) -> DataFrame:
-    """Lines of files that are named."""
-    return parsed(numbered(spark, tool, files=json.dumps(paths)))
+def of_list(spark: SparkSession, at: str, paths: DataFrame, tool: str) -> DataFrame:
+    """Lines of the files that a table names. The list is written to ``at``, where the source finds it."""
+    paths.select("file_path").write.text(at)
+    return parsed(numbered(spark, tool, listed_in=at))
 
 
 def raw_lines(spark: SparkSession, roots: dict[str, str], recursive: bool = False, slugs: dict[str, str] | None = None, split_bytes: int = log_source.SPLIT_BYTES) -> DataFrame:

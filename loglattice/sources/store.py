@@ -1,26 +1,32 @@
 """The index on disk: session, message and postings tables that follow the log files.
 
-Every refresh writes a new version beside the old one and then moves a
-pointer, so readers never see half of one. A version that can't be read, or of
-another layout, is built again.
+All tables are partitioned by a hash of the file's path, so a refresh writes
+only the buckets whose files changed, by Spark's dynamic partition overwrite;
+a bucket is replaced as a whole or not at all. The session table, which holds
+the times and sizes that tell what changed, is written last: after a failure
+before that, the next refresh finds the same files changed and writes their
+buckets again.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rollups, search, session_index
-from . import log_source, logs
+from . import log_source, logs, shared
 
 #: Changes whenever the tables do; other layouts are ignored.
-LAYOUT = "layout-1"
-TABLES = ("runs", "messages", "postings")
+LAYOUT = "layout-2"
+#: In the order in which they are written.
+TABLES = ("postings", "messages", "runs")
+#: Buckets of the tables. A refresh rewrites a bucket for each changed file at most.
+BUCKETS = 64
 
 
 @dataclass
@@ -31,55 +37,37 @@ class Index:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark = spark
-        self.folder = f"{folder.rstrip('/')}/{LAYOUT}"
-        self.pointer = f"{self.folder}/CURRENT"
-
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.folder = f"{folder.rstrip('/')}/{LAYOUT}-{buckets}"
+        self.buckets = buckets
 
     def clear(self) -> None:
-        at, fs = self._fs(self.folder)
-        fs.delete(at, True)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    def _version(self) -> str | None:
-        at, fs = self._fs(self.pointer)
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(self.pointer).first()[0]
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def current(self) -> Index | None:
-        """The tables of the current version; None if there is none or it is damaged."""
+        """The tables as they are; None if there are none or they are damaged."""
         try:
-            version = self._version()
-            if not version:
-                return None
-            tables = [self.spark.read.parquet(f"{self.folder}/{version}/{t}") for t in TABLES]
-            tables[0].select("file_path").limit(1).count()
-            return Index(*tables)
+            tables = {name: self._table(name) for name in TABLES}
+            tables["runs"].select("file_path").limit(1).count()
         except (PySparkException, Py4JJavaError):
             return None
+        return Index(**{name: df.where("file_path is not null").drop("bucket") for name, df in tables.items()})
 
-    def _publish(self, tables: dict[str, DataFrame]) -> Index:
-        version, old = uuid.uuid4().hex, self._version()
-        for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/{version}/{name}")
-        part, fs = self._fs(f"{self.pointer}.{version}")
-        stream = fs.create(part, True)
-        stream.write(bytearray(version.encode()))
-        stream.close()
-        at, _ = self._fs(self.pointer)
-        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
-        how = gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
-        how[0] = getattr(hadoop, "Options$Rename").OVERWRITE
-        hadoop.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, at, how)
-        # the version before stays until the next one comes, for readers that hold it
-        for status in fs.listStatus(self._fs(self.folder)[0]):
-            if status.isDirectory() and status.getPath().getName() not in (version, old):
-                fs.delete(status.getPath(), True)
-        return self.current()
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
+
+    def _write(self, name: str, rows: DataFrame, buckets: list[int]) -> None:
+        """Replaces these buckets. Each gets a row without a path too, so that one whose rows are all gone is replaced as well."""
+        blank = self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        marks = blank.withColumn("bucket", F.explode(F.array(*map(F.lit, buckets))))
+        every = rows.withColumn("bucket", self._bucket()).unionByName(marks).repartition("bucket")
+        order = ["bucket", "term"] if name == "postings" else ["bucket", "file_path"]
+        every.sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     def manifest(self, roots: dict[str, str]) -> DataFrame:
         """(tool, file_path, mtime, size) of all session files, without reading them."""
@@ -96,31 +84,34 @@ class Store:
         return {"runs": found, "messages": session_index.messages(lines).join(found.select("file_path"), "file_path", "left_semi"), "postings": search.postings(texts, "file_path").withColumnRenamed("key", "file_path")}
 
     def refresh(self, roots: dict[str, str]) -> Index:
-        """Brings the index up to date: only files that are new or whose time or size changed are read.
+        """Brings the index up to date: only files that are new or whose time or size changed are read, only their buckets are written.
 
-        The paths of changed files pass through the driver, as every listing
-        of files does. A changed file that no longer names a folder keeps its
-        earlier row; rows of files that are gone are dropped.
+        What the driver holds is the listing, as with any files, and the
+        numbers of changed buckets. A changed file that no longer names a
+        folder keeps its earlier row, with its new time and size; rows of files that are gone are dropped.
         """
         now = self.current()
         helpers = logs.subagent_lines(self.spark, roots["claude"]) if "claude" in roots else None
         if now is None:
-            return self._publish(self._tables(logs.raw_lines(self.spark, roots), helpers))
+            self.clear()
+            for name, df in self._tables(logs.raw_lines(self.spark, roots), helpers).items():
+                self._write(name, df, list(range(self.buckets)))
+            return self.current()
         found = self.manifest(roots)
-        stale = rollups.changed(found, now.runs).select("tool", "file_path").collect()
-        gone = rollups.removed(now.runs.select("file_path"), found).count()
-        if not stale and not gone:
-            return now
-        lines = self.spark.createDataFrame([], logs.LINES)
-        for tool in sorted({r.tool for r in stale}):
-            lines = lines.unionByName(logs.of_paths(self.spark, [r.file_path for r in stale if r.tool == tool], tool))
-        fresh = self._tables(lines, helpers)
-        if not gone and not fresh["runs"].limit(1).count():
+        at = shared.folder(self.spark, "changed")
+        rollups.changed(found, now.runs).select("tool", "file_path").write.parquet(at)
+        stale = self.spark.read.schema("tool string, file_path string").parquet(at)
+        if not stale.limit(1).count() and not rollups.removed(now.runs.select("file_path"), found).limit(1).count():
             return now
-        here = found.select("file_path")
-        renewed = fresh["runs"].select("file_path")
-        out = {}
-        for name in TABLES:
-            old = getattr(now, name).join(here, "file_path", "left_semi").join(renewed, "file_path", "left_anti")
-            out[name] = old.unionByName(fresh[name])
-        return self._publish(out)
+        lines = [logs.of_list(self.spark, f"{at}/{tool}", stale.where(F.col("tool") == tool), tool) for tool in sorted(roots)]
+        fresh = self._tables(reduce(DataFrame.unionByName, lines), helpers)
+        renewed, gone = fresh["runs"].select("file_path"), rollups.removed(now.runs.select("file_path"), found).select("file_path")
+        seen = stale.select("file_path").join(now.runs.select("file_path"), "file_path", "left_semi")
+        touched = sorted(r[0] for r in renewed.unionByName(gone).unionByName(seen).select(self._bucket()).distinct().toLocalIterator())
+        for name in TABLES if touched else ():
+            old = self._table(name).where(F.col("bucket").isin(*touched) & F.col("file_path").isNotNull()).drop("bucket")
+            kept = old.join(renewed, "file_path", "left_anti").join(found.select("file_path", F.col("mtime").alias("mtime_now"), F.col("size").alias("size_now")), "file_path")
+            if name == "runs":  # as it is seen now, so that a file without a folder isn't read again until it changes
+                kept = kept.withColumns({"mtime": F.col("mtime_now"), "size": F.col("size_now")})
+            self._write(name, kept.drop("mtime_now", "size_now").unionByName(fresh[name]), touched)
+        return self.current()

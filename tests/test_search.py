@@ -6,6 +6,7 @@ import json
 import os
 import random
 import sqlite3
+from pathlib import Path
 
 import pytest
 from loglattice.operators import search
@@ -50,6 +51,39 @@ def test_snippet():
     assert search.snippet({"a": "x"}, [["y"]]) is None
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_snippets_match_sqlite(spark, seed):
+    """Sentences, several columns, phrases of several words, ties."""
+    r = random.Random(seed)
+
+    def text():
+        return "".join(r.choice(WORDS) + r.choice([" ", " ", " ", ". ", ": ", ".\n", ".", ", ", "  "]) for _ in range(r.choice([0, 5, 40, 120])))
+
+    docs = [(f"d{i}", *(text() for _ in COLUMNS)) for i in range(40)]
+    con = sqlite3.connect(":memory:")
+    con.execute(f"create virtual table t using fts5(file_path unindexed, {', '.join(COLUMNS)}, tokenize='porter unicode61')")
+    con.executemany(f"insert into t values ({', '.join('?' * (len(COLUMNS) + 1))})", docs)
+    frame = spark.createDataFrame(docs, "file_path string, " + ", ".join(f"{c} string" for c in COLUMNS))
+    for query in ("refactor", "running cache.ts", "errors tests", "path/to/file café the"):
+        match = " OR ".join(f'"{w}"' for w in query.split())
+        want = dict(con.execute("select file_path, snippet(t, -1, '', '', '…', 32) from t where t match ?", (match,)).fetchall())
+        got = {x.file_path: x.s for x in frame.select("file_path", search.snippets(COLUMNS, search.query_phrases(query)).alias("s")).where("s is not null").collect()}
+        assert got == want
+
+
+def test_postings_hold_lists_of_places(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a a", None), (2, "", "b"), (3, None, None), (None, "a", "A b")], "id long, x string, y string")
+    index = search.postings(docs, "id", ["x", "y"], stem=False)
+    assert sorted((r.key or 0, r.term, r.col, r.n, r.gaps, r.length) for r in index.collect()) == [(0, "a", "x", 1, [0], 3), (0, "a", "y", 1, [0], 3), (0, "b", "y", 1, [1], 3), (1, "a", "x", 3, [0, 2, 1], 4), (1, "b", "x", 1, [1], 4), (2, "b", "y", 1, [0], 1)]
+    assert search.postings(docs.limit(0), "id", ["x"]).count() == 0
+    many = spark.createDataFrame([(i, " ".join(f"t{(i * j) % 900}" for j in range(300))) for i in range(300)], "id long, x string")
+    search.clustered(search.postings(many, "id", ["x"], stem=False).coalesce(1)).write.option("parquet.page.row.count.limit", 200).parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    hits = search.phrase_hits(stored, [["t7"], ["t7", "t14"]])
+    assert "[In(term, [t14,t7])]" in hits._jdf.queryExecution().toString()
+    assert {(r.key, r.phrase, r.n) for r in hits.collect()} == {(i, k, n) for i in range(300) for k in (0, 1) if (n := sum((i * j) % 900 == 7 and (k == 0 or j < 299 and (i * j + i) % 900 == 14) for j in range(300)))}
+
+
 def session(name, text, cwd="/x/app", day="2026-06-01", extra=()):
     lines = [{"type": "user", "cwd": cwd, "timestamp": f"{day}T10:00:00Z", "message": {"content": text}}, {"type": "assistant", "message": {"content": [{"type": "text", "text": "ok"}]}}, *extra]
     return name, "\n".join(map(json.dumps, lines))
@@ -61,6 +95,31 @@ def put(root, items):
         (root / "slug" / f"{name}.jsonl").write_text(body)
 
 
+def written(store):
+    """bucket -> names of its files, of all tables."""
+    return {str(d.relative_to(store.folder)): sorted(f.name for f in d.glob("*.parquet")) for d in Path(store.folder).glob("*/bucket=*")}
+
+
+def test_a_refresh_writes_only_the_buckets_of_changed_files(spark, tmp_path):
+    put(tmp_path / "logs", [session(f"s{i:02}", f"topic{i} parser") for i in range(30)])
+    store, roots = Store(spark, str(tmp_path / "index"), buckets=16), {"claude": str(tmp_path / "logs")}
+    assert store.refresh(roots).runs.count() == 30
+    before = written(store)
+    assert len(before) == 3 * 16
+    put(tmp_path / "logs", [session("s07", "topic7 lexer and more"), session("s30", "topic30 parser")])
+    os.remove(tmp_path / "logs/slug/s11.jsonl")
+    index, after = store.refresh(roots), written(store)
+    changed = {k.split("=")[1] for k in before if after[k] != before[k]}
+    assert before.keys() == after.keys() and 1 <= len(changed) <= 3
+    assert all((after[k] != before[k]) == (k.split("=")[1] in changed) for k in before)
+    assert {r.session_id for r in index.runs.collect()} == {f"s{i:02}" for i in range(31)} - {"s11"}
+    assert [r["sessionId"] for r in api.search_results(index, "lexer")] == ["s07"]
+    assert api.search_results(index, "topic11") == [] and len(api.search_results(index, "parser", limit=99)) == 29
+    for i in range(31):
+        (tmp_path / f"logs/slug/s{i:02}.jsonl").unlink(missing_ok=True)
+    assert store.refresh(roots).runs.count() == 0 and store.current().postings.count() == 0
+
+
 def test_store_follows_files(spark, tmp_path):
     logs = tmp_path / "logs"
     thinking = {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "migrate the schema"}]}}
@@ -91,8 +150,8 @@ def test_store_follows_files(spark, tmp_path):
     index = store.refresh(roots)
     assert {r.session_id for r in index.runs.collect()} == {"one", "two", "four"}
     assert [r["sessionId"] for r in api.search_results(index, "zebra")] == ["one"]
-    version = store._version()
-    assert store.refresh(roots).runs.count() == 3 and store._version() == version  # nothing changed
+    before = written(store)
+    assert store.refresh(roots).runs.count() == 3 and written(store) == before  # nothing changed
 
     for f in (tmp_path / "index").rglob("*.parquet"):
         f.write_bytes(b"damaged")
