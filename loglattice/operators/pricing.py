@@ -24,8 +24,6 @@ FIELDS = (
     "cache_creation_input_token_cost_above_200k_tokens",
     "cache_read_input_token_cost_above_200k_tokens",
 )
-#: Names that a price list may have; public ones have a few thousand.
-MOST_PRICES = 100_000
 #: Providers whose prices are kept when a price list is compacted.
 PROVIDERS = ("anthropic", "openai", "moonshotai", "baseten", "zai", "openrouter")
 
@@ -95,22 +93,61 @@ def best_key(model: str, keys: dict[str, str] | list[str]) -> str | None:
     return min(found, key=lambda k: (-len(k), k)) if found else None
 
 
+def _pieces(name: Column) -> Column:
+    """Runs of ASCII letters and digits of a name, in lower case, as written and as normalised; one empty piece if there are none.
+
+    Where a name contains another between boundaries, it has all of that
+    one's pieces: those as written, or those of the normalised form.
+    """
+    ascii_lower = F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    forms = F.array_distinct(F.array(ascii_lower, F.lower(name)))
+    return F.transform(forms, lambda x: F.array_distinct(F.filter(F.split(x, "[^a-z0-9]+"), lambda t: t != "")))
+
+
+def _rarest(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, piece): of each form of a name the piece that fewest price names have; none if a piece is in no price name."""
+    forms = names.select("name", F.posexplode(_pieces(F.col("name"))).alias("form", "pieces"))
+    bare = forms.where(F.size("pieces") == 0).select("name", F.lit("").alias("piece"))
+    each = forms.select("name", "form", F.explode("pieces").alias("piece")).join(counts, "piece", "left")
+    best = each.groupBy("name", "form").agg(F.min(F.struct("n", "piece")).alias("best"), F.count_if(F.col("n").isNull()).alias("unknown"))
+    return best.where("unknown = 0").select("name", "best.piece").unionByName(bare).distinct()
+
+
+def candidates(models: DataFrame, keys: DataFrame) -> DataFrame:
+    """(model, key): pairs of names (column ``name``) of which either may contain the other.
+
+    An inverted index of pieces: the contained name is looked up by its rarest
+    piece among all pieces of the other. Both directions are joins on a piece,
+    so no name is tried against all others, and the pairs grow with how often
+    the rarest pieces occur.
+    """
+    every = F.array_union(F.flatten(_pieces(F.col("name"))), F.array(F.lit("")))
+    of_keys, of_models = keys.select(F.col("name").alias("key"), F.explode(every).alias("piece")), models.select(F.col("name").alias("model"), F.explode(every).alias("piece"))
+    counts = of_keys.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    held = _rarest(keys, counts).withColumnRenamed("name", "key").join(of_models, "piece")
+    holding = _rarest(models, counts).withColumnRenamed("name", "model").join(of_keys, "piece")
+    return held.select("model", "key").unionByName(holding.select("model", "key")).distinct()
+
+
 def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
     """(model, key): each distinct model with the key of its price, null if there is none.
 
-    Names of prices travel inside the function, so a price list may have
-    ``MOST_PRICES`` of them. Models are matched once each, in Arrow batches.
+    The name itself is taken by a join, else the longest that matches, of
+    equals the smallest. Only names that share their pieces are compared, in
+    Arrow batches; nothing is collected, however long the price list.
     """
-    names = [r.key for r in prices.select("key").distinct().limit(MOST_PRICES + 1).collect()]
-    if len(names) > MOST_PRICES:
-        raise ValueError(f"a price list of more than {MOST_PRICES} names")
-    keys = {k: normalized(k) for k in sorted(names)}
+    wanted = models.select("model").distinct()
+    keys = prices.select(F.col("key").alias("name")).where("name <> ''").distinct()
+    exact = wanted.join(keys, wanted["model"] == keys["name"], "left")
+    rest = exact.where("name is null and model <> ''").select(F.col("model").alias("name"))
 
-    @F.pandas_udf("string")
-    def key_of(found: pd.Series) -> pd.Series:
-        return found.map(lambda model: best_key(model, keys) if model else None)
+    @F.pandas_udf("boolean")
+    def agree(found: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([matches(m, k) for m, k in zip(found, key, strict=True)], dtype=bool)
 
-    return models.select("model").distinct().withColumn("key", key_of("model"))
+    pairs = candidates(rest, keys).where(agree("model", "key"))
+    best = pairs.groupBy("model").agg(F.min(F.struct((-F.length("key")).alias("size"), "key")).alias("best")).select("model", F.col("best.key").alias("near"))
+    return exact.join(best, "model", "left").select("model", F.coalesce("name", "near").alias("key"))
 
 
 def tiered(tokens: Column, base: Column, above: Column) -> Column:
@@ -138,8 +175,7 @@ def computed_cost() -> Column:
 
 def with_cost(events: DataFrame, prices: DataFrame) -> DataFrame:
     """Events with ``cost_usd`` (a recorded cost wins, also 0) and ``priced`` (false where a price was needed and missing)."""
-    # prices are bounded by ``resolve_models``; how many models there are is up to the data, so that join is left to the planner
-    keyed = resolve_models(events.where("cost_usd is null"), prices).join(F.broadcast(prices), "key")
+    keyed = resolve_models(events.where("cost_usd is null"), prices).join(prices, "key")
     joined = events.join(keyed.drop("key"), "model", "left")
     priced = F.col("cost_usd").isNotNull() | F.col("input_rate").isNotNull()
     return joined.withColumn("priced", priced).withColumn("cost_usd", F.coalesce("cost_usd", computed_cost())).drop(*RATES)

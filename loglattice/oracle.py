@@ -272,4 +272,20 @@ SQL["search_snippets"] = rf"""WITH best AS (SELECT doc_id FROM ({SQL['search_bm2
   x AS (SELECT *, CASE WHEN len(inside) > 0 THEN 999 + len(inside) ELSE 0 END + bonus AS worth, CASE WHEN kind = 1 THEN begin ELSE greatest(0, least(inside[1] - trunc((32 - (inside[len(inside)] + 1 - inside[1])) / 2)::BIGINT, n - 32)) END AS start FROM v),
   b AS (SELECT *, least(n, start + 32) AS stop FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, spot, kind) = 1)
   SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE gap[1] END || array_to_string(list_transform(range(start + 1, stop + 1), lambda i: CASE WHEN i = start + 1 THEN '' ELSE gap[i] END || w[i]), '') || CASE WHEN stop < n THEN '…' ELSE gap[n + 1] END AS snippet FROM b"""
+
+
+def _name_index() -> str:
+    def holds(a: str, b: str) -> str:
+        digit = f"CASE WHEN regexp_matches({b}, '[0-9]$') THEN '($|[-.][0-9]{{8}}($|[^A-Za-z0-9])|[^A-Za-z0-9.-]|[-.]($|[^0-9]))' ELSE '($|[^A-Za-z0-9])' END"
+        return f"regexp_matches({a}, '(^|[^A-Za-z0-9])' || regexp_escape({b}) || {digit})"
+
+    plain = "lower(translate({}, '.@', '--'))"
+    either = " OR ".join((holds("model", "key"), holds("key", "model"), holds("pm", "pk"), holds("pk", "pm")))
+    return f"""WITH m AS (SELECT *, {plain.format('model')} AS pm FROM (SELECT DISTINCT unnest([p_brand || '.' || (p_size % 9), 'EU/' || translate(p_name, ' ', '.') || '@2024010' || (p_size % 9), lower(p_type) || '/' || lower(p_brand) || '/' || p_size, split_part(p_name, ' ', 1)]) AS model FROM part)),
+      k AS (SELECT *, {plain.format('key')} AS pk FROM (SELECT DISTINCT unnest([translate(p_name, ' ', '-'), 'x/' || lower(p_brand) || '@' || (p_size % 9), lower(p_type) || '-' || split_part(lower(p_brand), '#', 2), p_brand || '/' || p_size]) AS key FROM part)),
+      hit AS (SELECT model, arg_min(key, (-length(key), key)) AS key FROM m JOIN k ON contains(pm, pk) OR contains(pk, pm) WHERE {either} GROUP BY 1)
+      SELECT model, CASE WHEN model IN (SELECT key FROM k) THEN model ELSE hit.key END AS key FROM m LEFT JOIN hit USING (model)"""
+
+
+SQL["pricing_name_index"] = _name_index()
 SQL["usage_period_filter"] = SQL["usage_period_filter"].replace("$$", "'")

@@ -131,6 +131,21 @@ def pricing_fuzzy_match(spark, sf_dir):
     return pricing.resolve_models(models, prices)
 
 
+@query
+def pricing_name_index(spark, sf_dir):
+    """Names of parts as logged models against longer, shorter and differently written price names: either may contain the other."""
+    parts = a.table(spark, sf_dir, "part")
+    brand, kind, name = F.lower("p_brand"), F.lower("p_type"), F.col("p_name")
+    size, step = F.col("p_size").cast("string"), (F.col("p_size") % 9).cast("string")
+    models = (F.concat("p_brand", F.lit("."), step), F.concat(F.lit("EU/"), F.translate(name, " ", "."), F.lit("@2024010"), step), F.concat_ws("/", kind, brand, size), F.split(name, " ")[0])
+    keys = (F.translate(name, " ", "-"), F.concat(F.lit("x/"), brand, F.lit("@"), step), F.concat_ws("-", kind, F.split(brand, "#")[1]), F.concat("p_brand", F.lit("/"), size))
+
+    def every(names: tuple, column: str) -> DataFrame:
+        return parts.select(F.explode(F.array(*names)).alias(column)).distinct()
+
+    return pricing.resolve_models(every(models, "model"), every(keys, "key"))
+
+
 @query
 def pricing_warnings(spark, sf_dir):
     """Unpriced events, where the largest parts have no price."""

@@ -221,3 +221,22 @@ def test_price_layers(spark):
     assert (got["gpt-5"], got["gpt-5.5"], got["new-model"], got["o3"]) == (9.0, 5e-6, 1.0, 2e-6)
     r = built(spark, [event(model="claude-opus-4-8")])
     assert r["warnings"] == [] and r["summary"]["totalCostUSD"] > 0
+
+
+def test_models_are_resolved_as_by_trying_every_name(spark):
+    """Names of awkward pieces, in both directions, against a loop over all names."""
+    r = random.Random(12)
+    bits = ["gpt", "GPT", "5", "4.1", "mini", "-", "-", ".", "@", "/", "openai", "x", "20240101", "2024", "é", "İ", "K", "--", " "]
+    names = sorted({"".join(r.choice(bits) for _ in range(r.randrange(1, 7))) for _ in range(500)})
+    models, keys = names[::2] + [None, ""], names[1::2] + names[:40]
+    got = {x.model: x.key for x in pricing.resolve_models(spark.createDataFrame([(m,) for m in models], "model string"), spark.createDataFrame([(k,) for k in keys], "key string")).collect()}
+    every = {k: pricing.normalized(k) for k in keys}
+    assert got == {m: pricing.best_key(m, every) if m else None for m in models}
+    assert sum(k is not None for k in got.values()) > 100
+
+
+def test_a_long_price_list_is_not_tried_name_by_name(spark):
+    keys = spark.range(60_000).selectExpr("concat('vendor', id % 50, '/model-', id, '-v', id % 7) AS key")
+    models = spark.range(200_000).selectExpr("CASE WHEN id % 3 = 0 THEN concat('eu.vendor', id % 50, '/model-', id, '-v', id % 7, '-20240101') ELSE concat('other-', id) END AS model")
+    found = pricing.resolve_models(models, keys).where("key is not null")
+    assert found.count() == 20_000 and found.where("model <> concat('eu.', key, '-20240101')").count() == 0
