@@ -148,10 +148,38 @@ def term_of(token: str, stem: bool) -> str:
     return porter(fold(token)) if stem else token.lower()
 
 
-#: Postings that one batch of rows holds.
-BATCH_ROWS = 1 << 15
+#: Bytes of text that a worker indexes at once, and postings in one batch of rows.
+STEP_BYTES, BATCH_ROWS = 4 << 20, 1 << 15
 #: Tokens whose terms a worker remembers.
 REMEMBERED = 1 << 18
+#: ASCII letters and digits as they are, all else of ASCII as blanks.
+PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 0x20 for c in range(256))
+
+
+class _Terms:
+    """Numbers of terms; each distinct token is folded and stemmed once."""
+
+    def __init__(self, stem: bool):
+        self.stem = stem
+        self.clear()
+
+    def clear(self) -> None:
+        self.of_token: dict[str | bytes, int] = {}
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+
+    def _learn(self, token: str | bytes) -> int:
+        term = term_of(token if isinstance(token, str) else token.decode(), self.stem)
+        number = self.of_token[token] = self.number.setdefault(term, len(self.number))
+        if number == len(self.names):
+            self.names.append(term)
+        return number
+
+    def of(self, text: str) -> np.ndarray:
+        """Numbers of the text's terms, in order."""
+        tokens = text.encode().translate(PLAIN).split() if text.isascii() else tokens_of(text)
+        known, learn = self.of_token.get, self._learn
+        return np.fromiter((n if (n := known(t)) is not None else learn(t) for t in tokens), np.int64, len(tokens))
 
 
 def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem: bool = True) -> DataFrame:
@@ -160,61 +188,61 @@ def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem:
     ``gaps`` are the term's places in the column, the first as it is and each
     other as its distance from the one before; ``length`` counts the tokens of
     all the document's columns, so a score needs no other table. Tokens are
-    folded and stemmed where they stand: nothing is shuffled, and a worker
-    stems a token once. Null texts are empty; rows of one key are documents of
-    their own only if their keys differ.
+    folded and stemmed where they stand: nothing is shuffled. Rows come in
+    order of terms for every few MB of text, so that the statistics of a
+    written file's pages tell which may hold a term. Null texts are empty;
+    rows of one key are documents of their own only if their keys differ.
     """
     names = columns or list(WEIGHTS)
     narrow = docs.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
     kind = narrow.schema["key"].dataType
-    places = pa.list_(pa.int32())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
-        held: list[tuple] = []
-
-        def rows(of: pa.Array) -> pa.RecordBatch:
-            owner, term, col, n, gaps, length = zip(*held, strict=True)
-            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            flat = np.concatenate(gaps) if gaps else np.zeros(0, np.int32)
-            gap = np.diff(flat, prepend=0).astype(np.int32)
-            gap[ends[:-1]] = flat[ends[:-1]]
-            return pa.RecordBatch.from_arrays(
-                [of.take(pa.array(owner, pa.int64())), pa.array(term, pa.string()), pa.array(col, pa.string()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(gap)), pa.array(length, pa.int64())],
-                schema=pa.schema([("key", of.type), ("term", pa.string()), ("col", pa.string()), ("n", pa.int32()), ("gaps", places), ("length", pa.int64())]),
-            )
+    def rows(keys: pa.Array, ids: list[np.ndarray], terms: _Terms) -> Iterator[pa.RecordBatch]:
+        """``ids``: of every text of the first document, then of the next."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        if not total:
+            return
+        texts = np.repeat(np.arange(len(ids)), sizes)
+        place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        every = np.concatenate(ids)
+        used, at = np.unique(every, return_inverse=True)
+        shown = [terms.names[i] for i in used.tolist()]
+        rank = np.empty(len(used), np.int64)
+        rank[sorted(range(len(used)), key=shown.__getitem__)] = np.arange(len(used))
+        cell = rank[at] * len(ids) + texts
+        order = np.argsort(cell, kind="stable")
+        cell, place = cell[order], place[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        gap = np.diff(place, prepend=0).astype(np.int32)
+        gap[first] = place[first]
+        lengths = sizes.reshape(-1, len(names)).sum(axis=1)
+        text, names_of = cell[first] % len(ids), pa.array([shown[i] for i in np.argsort(rank).tolist()])
+        owner, ends = text // len(names), np.append(first, total)
+        for a in range(0, len(first), BATCH_ROWS):
+            b = min(a + BATCH_ROWS, len(first))
+            cuts = ends[a : b + 1]
+            places = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(gap[cuts[0] : cuts[-1]]))
+            columns = [keys.take(pa.array(owner[a:b])), names_of.take(pa.array(cell[first[a:b]] // len(ids))), pa.array(names).take(pa.array(text[a:b] % len(names))), pa.array(np.diff(cuts).astype(np.int32)), places, pa.array(lengths[owner[a:b]])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "term", "col", "n", "gaps", "length"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(stem)
         for batch in batches:
-            if len(known) > REMEMBERED:
-                known.clear()
-            texts = [c.to_pylist() for c in batch.columns[1:]]
-            for i in range(batch.num_rows):
-                tokens = [tokens_of(t[i]) for t in texts]
-                length = sum(map(len, tokens))
-                for name, own in zip(names, tokens, strict=True):
-                    at: dict[str, list[int]] = {}
-                    for place, token in enumerate(own):
-                        term = known.get(token)
-                        if term is None:
-                            term = known[token] = term_of(token, stem)
-                        at.setdefault(term, []).append(place)
-                    held.extend((i, term, name, len(p), np.array(p, np.int32), length) for term, p in at.items())
-                if len(held) > BATCH_ROWS:
-                    yield rows(batch.column(0))
-                    held = []
-            if held:
-                yield rows(batch.column(0))
-                held = []
+            begin, size, ids = 0, 0, []
+            for i, own in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                ids += [terms.of(t) for t in own]
+                size += sum(map(len, own))
+                if size > STEP_BYTES or i == batch.num_rows - 1:
+                    yield from rows(batch.column(0).slice(begin, i + 1 - begin), ids, terms)
+                    begin, size, ids = i + 1, 0, []
+                    if len(terms.of_token) > REMEMBERED:
+                        terms.clear()
 
     schema = StructType([StructField("key", kind), StructField("term", StringType()), StructField("col", StringType()), StructField("n", IntegerType()), StructField("gaps", ArrayType(IntegerType())), StructField("length", LongType())])
     return narrow.mapInArrow(run, schema)
 
 
-def clustered(index: DataFrame, *first: str) -> DataFrame:
-    """Postings in order of terms within each partition, so that the statistics of written files tell which pages hold a term."""
-    return index.sortWithinPartitions(*first, "term", "key")
-
-
 def _starts(gaps: list[np.ndarray | None]) -> int:
     """How often terms with these places follow one another."""
     at = None

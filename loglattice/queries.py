@@ -334,7 +334,7 @@ TEXTS = ["headline", "user_content", "paths"]
 def _hits(spark, sf_dir, words, stem):
     """Scores of documents by stored postings."""
     docs, at = _documents(spark, sf_dir), shared.folder(spark, "postings")
-    search.clustered(search.postings(docs, "doc_id", TEXTS, stem)).write.parquet(at)
+    search.postings(docs, "doc_id", TEXTS, stem).write.parquet(at)
     return search.bm25(spark.read.parquet(at), search.query_phrases(words, stem), documents=docs.select("doc_id"))
 
 

@@ -77,7 +77,7 @@ def test_postings_hold_lists_of_places(spark, tmp_path):
     assert sorted((r.key or 0, r.term, r.col, r.n, r.gaps, r.length) for r in index.collect()) == [(0, "a", "x", 1, [0], 3), (0, "a", "y", 1, [0], 3), (0, "b", "y", 1, [1], 3), (1, "a", "x", 3, [0, 2, 1], 4), (1, "b", "x", 1, [1], 4), (2, "b", "y", 1, [0], 1)]
     assert search.postings(docs.limit(0), "id", ["x"]).count() == 0
     many = spark.createDataFrame([(i, " ".join(f"t{(i * j) % 900}" for j in range(300))) for i in range(300)], "id long, x string")
-    search.clustered(search.postings(many, "id", ["x"], stem=False).coalesce(1)).write.option("parquet.page.row.count.limit", 200).parquet(str(tmp_path / "p"))
+    search.postings(many.coalesce(1), "id", ["x"], stem=False).write.option("parquet.page.row.count.limit", 200).parquet(str(tmp_path / "p"))
     stored = spark.read.parquet(str(tmp_path / "p"))
     hits = search.phrase_hits(stored, [["t7"], ["t7", "t14"]])
     assert "[In(term, [t14,t7])]" in hits._jdf.queryExecution().toString()
