@@ -199,7 +199,7 @@ class _Reader(DataSourceReader):
         files, split = chosen(self.options), self.options.get("split_bytes", SPLIT_BYTES)
         if split == "all":
             return dealt([Range(f, 0, f.size) for f in files if f.size], SPLIT_BYTES)
-        return dealt(ranges_of(files, int(split), self.options.get("sizes")), int(split))
+        return dealt(ranges_of(files, int(split), self.options.get("sizes")), max(int(split), SPLIT_BYTES))
 
 
 def _batches(part: Range, tool: str) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,7 @@ class Follower(DataSourceStreamReader):
             store, at = opened(path)
             grown.append(File(path, end[path], store.get_file_info(at).mtime or datetime.fromtimestamp(0, timezone.utc)))
         split = int(self.options.get("split_bytes", SPLIT_BYTES))
-        return dealt(ranges_of(grown, split, None, begin, end), split)
+        return dealt(ranges_of(grown, split, None, begin, end), max(split, SPLIT_BYTES))
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         for part in ranges_in(partition):
