@@ -205,15 +205,16 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, text: str = "text", key:
     for done in (level1, wide, several, halves, surrounded):
         work.drop(done)
 
+    # rows that repeat key and text tell the same places and spans: sets keep each once, before the shuffle too
     settled = told.where("doc_id > first").select("doc_id", "tag", "end", F.explode("places").alias("pos"))
     settled = settled.select("doc_id", "tag", F.greatest(F.lit(0), F.col("pos") - (size - size // 4)).alias("begin"), F.least(F.col("pos") + size, "end").alias("end"))
-    marked = work.put(told.where("doc_id = first").groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("places")).alias("places")))
+    marked = work.put(told.where("doc_id = first").groupBy("doc_id", "tag").agg(F.flatten(F.collect_set("places")).alias("places")))
     near = texts.where(Bloom(marked.select(_spread().alias("x"))).column(_spread()))
     windows = work.put(full_windows(near.join(marked, ["doc_id", "tag"]), size))
     earliest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     repeated = lookup(windows, work.put(earliest.select("a", "b", "lo", "n")), ["a", "b"]).where("doc_id > lo")
     repeated = repeated.select("doc_id", "tag", F.col("start").alias("begin"), (F.col("start") + size).alias("end"))
-    spans = work.put(settled.unionByName(repeated).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    spans = work.put(settled.unionByName(repeated).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
     work.drop(windows)
     # texts that keep all their words are told apart beside the row and not shuffled
     hit = Bloom(spans.select(_spread().alias("x"))).column(_spread())

@@ -167,6 +167,18 @@ def test_substrings(docs, rows, odd, empty):
     assert len(found) == 7 and all(r.n_removed == 0 for r in found) and substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_substrings_of_many_repeated_rows(spark):
+    """Rows that repeat key and text are one document: they take from none of themselves, and all lose what another holds before."""
+    r = random.Random(17)
+    shared = " ".join(f"w{r.randrange(500)}" for _ in range(120))
+    first, again = (1, shared + " one"), (2, "own " + shared)
+    rows = spark.createDataFrame([first], "doc_id long, text string").unionByName(spark.range(20_000).select(F.lit(2).cast("long").alias("doc_id"), F.lit(again[1]).alias("text")))
+    want = brute.repeats([first, again])
+    found = substring_dedup.substring_dedup(rows.repartition(8)).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()
+    assert {f.doc_id: (f.n_words, f.n_removed, f.kept_sha256) for f in found} == want and {f.doc_id: f["count"] for f in found} == {1: 1, 2: 20_000}
+    assert want[2][1] == 120
+
+
 @pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
 def test_near(docs, rows, size, percent):
     want = brute.near(pairs(rows), size, percent)
