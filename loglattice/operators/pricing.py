@@ -181,7 +181,16 @@ def with_cost(events: DataFrame, prices: DataFrame) -> DataFrame:
     return joined.withColumn("priced", priced).withColumn("cost_usd", F.coalesce("cost_usd", computed_cost())).drop(*RATES)
 
 
+def _reported_tokens() -> Column:
+    """Reads from the cache count here."""
+    return F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
+
+
+def unpriced() -> Column:
+    """Whether an event of ``with_cost`` has tokens but no price."""
+    return ~F.col("priced") & (_reported_tokens() > 0)
+
+
 def warnings(costed: DataFrame) -> DataFrame:
-    """(model, tokens) of every event without a price that has tokens; reads from the cache count here."""
-    tokens = F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write")
-    return costed.where(~F.col("priced") & (tokens > 0)).select("model", tokens.alias("tokens"))
+    """(model, tokens) of every event without a price that has tokens."""
+    return costed.where(unpriced()).select("model", _reported_tokens().alias("tokens"))

@@ -21,11 +21,11 @@ PROVIDER_LABELS = {"anthropic": "Anthropic", "openai": "OpenAI", "baseten": "Bas
 MODEL_KEY = ("tool", "provider", "model")
 
 
-def facts(events: DataFrame, tz: str) -> DataFrame:
-    """(date, hour, tool, provider, model, project, session_id, tokens, cost, messages); events without a time are left out."""
+def facts(events: DataFrame, tz: str, *more: Column) -> DataFrame:
+    """(date, hour, tool, provider, model, project, session_id, tokens, cost, messages) and ``more`` aggregates; events without a time are left out."""
     local = events.where(F.col("ts").isNotNull()).withColumns({"date": local_date(F.col("ts"), tz), "hour": local_hour(F.col("ts"), tz), "tokens": total_tokens()})
     return local.groupBy("date", "hour", "tool", "provider", "model", "project", "session_id").agg(
-        F.sum("tokens").alias("tokens"), F.sum(F.coalesce("cost_usd", F.lit(0)).cast(MONEY)).alias("cost"), F.count(F.lit(1)).alias("messages")
+        F.sum("tokens").alias("tokens"), F.sum(F.coalesce("cost_usd", F.lit(0)).cast(MONEY)).alias("cost"), F.count(F.lit(1)).alias("messages"), *more
     )
 
 
@@ -65,16 +65,21 @@ def daily_hours(base: DataFrame) -> DataFrame:
     return counts.select("date", F.array(*[f"h{h}" for h in range(24)]).alias("hour_counts"))
 
 
-def grouping_sets(base: DataFrame) -> DataFrame:
-    """All daily groupings in one pass over the facts: (slot, date, tool, provider, model, project, measures)."""
+def grouped_by_sets(rows: DataFrame, measures: list[Column], more: tuple[str, ...] = ()) -> DataFrame:
+    """(slot, date, tool, provider, model, project, more, measures): ``rows`` by day and by day and each slot's keys; ``more`` columns are in every set."""
     sets = [["date"], ["date", "tool"], ["date", "provider"], ["date", "tool", "provider", "model"], ["date", "project"]]
     keys = ["date", "tool", "provider", "model", "project"]
-    grouped = base.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, keys)).agg(F.grouping_id().alias("gid"), *_measures(*ALL))
+    grouped = rows.groupingSets([[F.col(c) for c in (*more, *s)] for s in sets], *map(F.col, (*more, *keys))).agg(F.grouping_id().alias("gid"), *measures)
     ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s): name for s, name in zip(sets, ("day", "tool", "provider", "model", "project"), strict=True)}
     slot = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     return grouped.withColumn("slot", F.element_at(slot, F.col("gid").cast("int"))).drop("gid")
 
 
+def grouping_sets(base: DataFrame) -> DataFrame:
+    """All daily groupings in one pass over the facts: (slot, date, tool, provider, model, project, measures)."""
+    return grouped_by_sets(base, _measures(*ALL))
+
+
 def breakdown(days: DataFrame, slot: str) -> DataFrame:
     """Totals over ``daily_by`` rows: costs add up as rounded a day and are rounded again, runs count once a day."""
     keys, measures = SLOTS[slot]
@@ -88,7 +93,7 @@ def breakdown(days: DataFrame, slot: str) -> DataFrame:
 
 
 def hour_histogram(base: DataFrame) -> DataFrame:
-    """24 rows (hour, messages)."""
+    """24 rows (hour, messages) of facts or other rows with both."""
     bins = base.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     return bins.join(F.broadcast(base.groupBy("hour").agg(F.sum("messages").alias("n"))), "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("long").alias("messages"))
 
@@ -148,15 +153,18 @@ def favourite_model(models: DataFrame) -> DataFrame:
 
 def summary(base: DataFrame, today: str) -> DataFrame:
     """One row: total_tokens, total_cost_usd, session_count, messages, active_days, streaks, peak hour, favourite model."""
-    days = daily(base)
+    return summary_of(daily(base), daily_by(base, "model"), base, today)
+
+
+def summary_of(days: DataFrame, models: DataFrame, hours: DataFrame, today: str) -> DataFrame:
+    """The summary of days, of their models and of (hour, messages) rows."""
     zero = F.lit(0)
     totals = days.agg(
         F.coalesce(F.sum("tokens"), zero).cast("long").alias("total_tokens"), round2(F.coalesce(F.sum(F.col("cost_usd").cast(MONEY)), zero.cast(MONEY))).alias("total_cost_usd"),
         F.coalesce(F.sum("session_count"), zero).cast("long").alias("session_count"), F.coalesce(F.sum("messages"), zero).cast("long").alias("messages"), F.count_distinct("date").alias("active_days"),
     )
-    models = breakdown(daily_by(base, "model"), "model")
     # each side is one row
-    return totals.crossJoin(streaks(days, today)).crossJoin(peak_hour(hour_histogram(base))).crossJoin(favourite_model(models))
+    return totals.crossJoin(streaks(days, today)).crossJoin(peak_hour(hour_histogram(hours))).crossJoin(favourite_model(breakdown(models, "model")))
 
 
 def within(events: DataFrame, tz: str, start: str | None, end: str | None) -> DataFrame:
@@ -172,17 +180,6 @@ def merge_daily(prior: DataFrame, fresh: DataFrame) -> DataFrame:
     return prior.join(fresh.select("date"), "date", "left_anti").unionByName(fresh)
 
 
-def without_projects(prior_days: DataFrame, prior_projects: DataFrame, kept: Column) -> DataFrame:
-    """Prior days less what dropped projects contributed: tokens, cost and runs; messages stay as they were."""
-    gone = prior_projects.where(~kept).groupBy("date").agg(F.sum("tokens").alias("t"), F.sum(F.col("cost_usd").cast(MONEY)).alias("c"), F.sum("session_count").alias("s"))
-    joined = prior_days.join(gone, "date", "left")
-    zero = F.lit(0)
-    return joined.select(
-        "date", (F.col("tokens") - F.coalesce("t", zero)).cast("long").alias("tokens"), round2(F.col("cost_usd").cast(MONEY) - F.coalesce("c", zero.cast(MONEY))).alias("cost_usd"),
-        (F.col("session_count") - F.coalesce("s", zero)).cast("long").alias("session_count"), "messages",
-    )
-
-
 def weekly_pull_requests(weeks: DataFrame, prs: DataFrame, tz: str) -> DataFrame:
     """Adds prs_merged, additions and deletions to weeks that are there; ``prs``: state, merged_at, additions, deletions."""
     merged = prs.where("state = 'merged' and merged_at is not null")

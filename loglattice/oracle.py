@@ -108,6 +108,11 @@ SQL: dict[str, str] = {
     "usage_prior_merge": f"""WITH {_events()}, days AS ({DAILY}), gone AS (SELECT date, sum(tokens) AS t, sum(cost_usd::DECIMAL(38,12)) AS c, sum(session_count) AS s FROM ({_by_day('project')}) WHERE project = 'proj0' GROUP BY 1)
       SELECT date, (tokens - coalesce(t, 0))::BIGINT AS tokens, {_r2("cost_usd::DECIMAL(38,12) - coalesce(c, 0)")} AS cost_usd, (session_count - coalesce(s, 0))::BIGINT AS session_count, messages, 'prior' AS src FROM days LEFT JOIN gone USING (date) WHERE date < '2024-01-15'
       UNION ALL SELECT date, tokens, cost_usd, session_count, messages, 'fresh' FROM days WHERE date >= '2024-01-15'""",
+    "usage_prior_slots": " UNION ALL ".join(
+        f"""SELECT '{slot}' AS slot, {" || '|' || ".join(keys.split(", "))} AS key, {TOKENS}, {SUMS[COST]} FROM (WITH {_events()} {_by_day(slot)}) WHERE {"project <> 'proj0'" if slot == "project" else "true"} GROUP BY {keys}"""
+        for slot, (keys, _) in SLOTS.items()
+    ),
+    "usage_weekly_runs": f"WITH {_events()}, w AS (SELECT *, date::DATE AS d FROM ev) SELECT strftime({WEEK}, '%Y-%m-%d') AS week_ending, tool, {TOKENS}, {COST}, {SESSION_COUNT}, {MESSAGES} FROM w GROUP BY 1, 2",
     "pricing_tiered_cost": f"WITH {LINE_USAGE} SELECT l_orderkey AS orderkey, l_linenumber AS linenumber, round(coalesce(recorded, CASE WHEN rate IS NULL THEN 0.0 ELSE {PRICED} END), 9) AS cost FROM u LEFT JOIN p ON l_partkey = p_partkey",
     "pricing_warnings": f"WITH {LINE_USAGE} SELECT l_partkey::VARCHAR AS model, count(*) AS events, sum(input + output + cache_read + cache_write)::BIGINT AS tokens FROM u WHERE recorded IS NULL AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) AND input > 0 GROUP BY 1",
     "asof_forward_fill": """SELECT event_id, signup_id, signup_value FROM (SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS signup_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS signup_value FROM events
@@ -289,3 +294,4 @@ def _name_index() -> str:
 
 SQL["pricing_name_index"] = _name_index()
 SQL["usage_period_filter"] = SQL["usage_period_filter"].replace("$$", "'")
+SQL["usage_bitmap_sets"] = SQL["usage_grouping_sets"]

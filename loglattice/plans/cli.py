@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import resolve_project
-from ..operators import pricing, usage_events
+from ..operators import pricing, prior_days, usage_events
 from ..sources import logs, price_cache, snapshot
 from ..sources.store import Store
 from . import api, page, report
@@ -58,6 +58,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--prices", help="a price list in JSON, in place of the fetched one")
     r.add_argument("--offline", action="store_true", help="fetch no prices")
     r.add_argument("--refresh-pricing", action="store_true", help="fetch prices even if those of today are at hand")
+    r.add_argument("--prior", help="an earlier report in JSON, or a folder of such: its days and summaries are kept")
+    r.add_argument("--pull-requests", help="pull requests, a JSON object a line: url, title, state, created_at, merged_at, additions, deletions")
+    r.add_argument("--unpriced", help="a folder for the table of events without a price, in place of their list in the report")
     r.add_argument("--tool", choices=ROOTS)
     for p in PERIODS:
         r.add_argument(f"--{p}", dest="preset", action="store_const", const=p)
@@ -117,7 +120,9 @@ def _report(spark: SparkSession, args: argparse.Namespace, now: datetime) -> int
     if args.here:
         here = spark.createDataFrame([(os.getcwd(),)], "cwd string").select(resolve_project(F.col("cwd")).alias("p")).first().p
     settings = report.Settings(format=args.format, out=args.out, start=args.start, end=args.end, days=args.days, preset=args.preset, tz=args.tz, tool=args.tool, here=here, stdout=args.stdout)
-    built = report.build_report(events, prices, settings, now)
+    prior, told = prior_days.read_reports(spark, args.prior) if args.prior else (None, None)
+    prs = spark.read.schema(report.PULL_REQUESTS).json(args.pull_requests) if args.pull_requests else None
+    built = report.build_report(events, prices, settings, now, prs, told, prior, args.unpriced)
     for path in report.write_report(built, settings):
         print(Path(path).resolve())
     if built["warnings"]:

@@ -13,11 +13,12 @@ from pathlib import Path
 from tempfile import gettempdir
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import allowed, chosen_period
-from ..operators import pricing, usage_cube
+from ..operators import pricing, prior_days, usage_cube
+from ..sources import shared
 from .page import usage_page
 
 TOOLS = {"claude": "claude-code", "codex": "codex", "pi": "pi"}
@@ -57,53 +58,85 @@ PULL_REQUESTS = "url string, title string, state string, created_at timestamp, m
 TOLD = "week_ending string, summary string"
 
 
-def build_report(events: DataFrame, prices: DataFrame, settings: Settings, now: datetime, prs: DataFrame | None = None, told: DataFrame | None = None) -> dict:
+def build_report(
+    events: DataFrame, prices: DataFrame, settings: Settings, now: datetime, prs: DataFrame | None = None, told: DataFrame | None = None, prior: DataFrame | None = None, unpriced_at: str | None = None
+) -> dict:
     """The report of ``events``; ``now`` is a time in UTC.
 
     Events outside of the period, of other tools or of projects that aren't
     wanted are left out first. The document is empty but whole without events.
     If ``prs`` (``PULL_REQUESTS``) are given, they are counted in the weeks of
     the report and listed week by week, with the summaries of ``told`` (``TOLD``).
+
+    ``prior`` has days of earlier reports (``prior_days.read_reports``): those
+    of the period are added, without projects that aren't wanted; where events
+    tell of a day too, they count. A day of a report can't be split by tool or
+    folder, so ``prior`` with ``tool`` or ``here`` is a ValueError.
+
+    Events without a price are listed one by one in the document. With
+    ``unpriced_at`` they are written there as a table instead, and the document
+    has a row a model: its events and tokens.
     """
+    if prior is not None and (settings.tool or settings.here):
+        raise ValueError("days of earlier reports can't be split by tool or folder")
     today = now.astimezone(ZoneInfo(settings.tz)).date()
     start, end = chosen_period(today, settings.preset, settings.days, settings.start, settings.end)
     if settings.tool:
         events = events.where(F.col("tool") == TOOLS[settings.tool])
     if settings.here:
         events = events.where(F.col("project") == settings.here)
-    events = events.where(allowed(F.col("project"), settings.include, settings.include_prefixes, settings.exclude, settings.exclude_prefixes))
-    costed = pricing.with_cost(usage_cube.within(events, settings.tz, start, end), prices)
-    base = usage_cube.facts(costed, settings.tz).cache()
+
+    def kept(project: Column) -> Column:
+        return allowed(project, settings.include, settings.include_prefixes, settings.exclude, settings.exclude_prefixes)
+
+    costed = pricing.with_cost(usage_cube.within(events.where(kept(F.col("project"))), settings.tz, start, end), prices)
+    # facts count events without a price, so these are looked for again only if there are any
+    base = usage_cube.facts(costed, settings.tz, F.count_if(pricing.unpriced()).alias("unpriced")).cache()
+    days = prior_days.fresh_days(base)
+    if prior is not None:
+        days = usage_cube.merge_daily(prior_days.without_projects(_of_period(prior, start, end), kept), days)
     try:
-        document = _document(base, costed, start, end, today, now)
-        return document if prs is None else _with_requests(document, base, prs, told, settings.tz, today)
+        # written, so that what is made of the days starts from a table and not from the events' plan
+        at = shared.folder(events.sparkSession, "days")
+        days.write.parquet(at)
+        days = events.sparkSession.read.schema(days.schema).parquet(at)
+        warned = _unpriced(costed, unpriced_at) if base.agg(F.sum("unpriced")).first()[0] else []
     finally:
         base.unpersist()
+    document = _document(days, warned, start, end, today, now)
+    return document if prs is None else _with_requests(document, days, prs, told, settings.tz, today)
+
+
+def _of_period(days: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    days = days.where(F.col("date") >= start) if start else days
+    return days.where(F.col("date") <= end) if end else days
+
+
+def _unpriced(costed: DataFrame, at: str | None) -> list[dict]:
+    found = pricing.warnings(costed)
+    if at is None:
+        return _rows(found)
+    found.write.mode("overwrite").parquet(at)
+    by_model = costed.sparkSession.read.parquet(at).groupBy("model").agg(F.count(F.lit(1)).alias("events"), F.sum("tokens").cast("long").alias("tokens"))
+    return _rows(by_model.orderBy(F.desc("tokens"), "model"))
 
 
-def _document(base: DataFrame, costed: DataFrame, start: str | None, end: str | None, today: date, now: datetime) -> dict:
-    slots = {s: usage_cube.daily_by(base, s) for s in usage_cube.SLOTS}
-    days = usage_cube.daily(base)
+def _document(days: DataFrame, warned: list[dict], start: str | None, end: str | None, today: date, now: datetime) -> dict:
+    flat = prior_days.totals(days)
+    slots = {s: prior_days.unfolded(days, s) for s in usage_cube.SLOTS}
     totals = {s: usage_cube.breakdown(df, s).orderBy(F.desc("cost_usd"), *usage_cube.SLOTS[s][0]) for s, df in slots.items()}
-    daily = {r["date"]: _measures(r, "tokens", "cost_usd", "session_count", "messages") | {"byTool": {}, "byProvider": {}, "byModel": [], "byProject": {}} for r in _rows(days)}
-    for r in _rows(usage_cube.daily_hours(base)):
-        daily[r["date"]]["hourCounts"] = r["hour_counts"]
-    for slot, name in (("tool", "byTool"), ("provider", "byProvider"), ("project", "byProject")):
-        for r in _rows(slots[slot].orderBy("date", slot)):
-            daily[r["date"]][name][r[slot]] = _measures(r, *usage_cube.SLOTS[slot][1])
-    for r in _rows(slots["model"].orderBy("date", F.desc("cost_usd"), *usage_cube.MODEL_KEY)):
-        daily[r["date"]]["byModel"].append({"tool": r["tool"], "provider": r["provider"], "id": r["model"]} | _measures(r, *usage_cube.ALL))
-    weeks = [{"weekEnding": r["week_ending"]} | _measures(r, *usage_cube.ALL) | {"byTool": {}} for r in _rows(usage_cube.weekly(days).orderBy("week_ending"))]
+    daily = [r.asDict(recursive=True) for r in days.orderBy("date").collect()]
+    weeks = [{"weekEnding": r["week_ending"]} | _measures(r, *usage_cube.ALL) | {"byTool": {}} for r in _rows(usage_cube.weekly(flat).orderBy("week_ending"))]
     by_week = {w["weekEnding"]: w for w in weeks}
     for r in _rows(usage_cube.weekly_by_tool(slots["tool"]).orderBy("tool")):
         by_week[r["week_ending"]]["byTool"][r["tool"]] = _measures(r, "tokens", "cost_usd")
-    s = usage_cube.summary(base, today.isoformat()).first()
-    active = sorted(daily)
+    hours = prior_days.hours(days)
+    s = usage_cube.summary_of(flat, slots["model"], hours, today.isoformat()).first()
     return {
         "generator": "loglattice",
         "version": 1,
         "generatedAt": now.astimezone(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"),
-        "period": {"from": start or (active[0] if active else today.isoformat()), "to": end or today.isoformat()},
+        "period": {"from": start or (daily[0]["date"] if daily else today.isoformat()), "to": end or today.isoformat()},
         "summary": {
             "totalCostUSD": s.total_cost_usd,
             "totalTokens": s.total_tokens,
@@ -113,26 +146,26 @@ def _document(base: DataFrame, costed: DataFrame, start: str | None, end: str |
             "currentStreakDays": s.current_streak,
             "longestStreakDays": s.longest_streak,
             "peakHourLocal": s.peak_hour,
-            "favoriteModel": {"tool": s.favourite_tool, "provider": s.favourite_provider, "id": s.favourite_model, "label": s.favourite_model if active else "Unknown"},
+            "favoriteModel": {"tool": s.favourite_tool, "provider": s.favourite_provider, "id": s.favourite_model, "label": s.favourite_model if daily else "Unknown"},
         },
         "byTool": [{"id": r["tool"], "label": r["label"]} | _measures(r, *usage_cube.ALL) for r in _rows(totals["tool"])],
         "byProvider": [{"id": r["provider"], "label": r["label"]} | _measures(r, "tokens", "cost_usd") for r in _rows(totals["provider"])],
         "byModel": [{"tool": r["tool"], "provider": r["provider"], "id": r["model"], "label": r["model"]} | _measures(r, *usage_cube.ALL) for r in _rows(totals["model"])],
         "byProject": [{"label": r["project"]} | _measures(r, "tokens", "cost_usd", "session_count") for r in _rows(totals["project"])],
-        "daily": [{"date": d} | daily[d] for d in active],
+        "daily": daily,
         "insights": {
             "weekly": weeks,
-            "hourCounts": [r["messages"] for r in _rows(usage_cube.hour_histogram(base).orderBy("hour"))],
-            "weekdayCounts": [r["messages"] for r in _rows(usage_cube.weekday_histogram(days).orderBy("weekday"))],
+            "hourCounts": [r["messages"] for r in _rows(usage_cube.hour_histogram(hours).orderBy("hour"))],
+            "weekdayCounts": [r["messages"] for r in _rows(usage_cube.weekday_histogram(flat).orderBy("weekday"))],
         },
-        "warnings": _rows(pricing.warnings(costed)),
+        "warnings": warned,
     }
 
 
-def _with_requests(document: dict, base: DataFrame, prs: DataFrame, told: DataFrame | None, tz: str, today: date) -> dict:
+def _with_requests(document: dict, days: DataFrame, prs: DataFrame, told: DataFrame | None, tz: str, today: date) -> dict:
     """Adds pull requests: counts to the weeks that are there, and the list of every week from the first active day."""
-    told = base.sparkSession.createDataFrame([], TOLD) if told is None else told
-    counts = {r["week_ending"]: _measures(r, "prs_merged", "additions", "deletions") for r in _rows(usage_cube.weekly_pull_requests(usage_cube.weekly(usage_cube.daily(base)), prs, tz))}
+    told = days.sparkSession.createDataFrame([], TOLD) if told is None else told
+    counts = {r["week_ending"]: _measures(r, "prs_merged", "additions", "deletions") for r in _rows(usage_cube.weekly_pull_requests(usage_cube.weekly(prior_days.totals(days)), prs, tz))}
     for week in document["insights"]["weekly"]:
         week |= counts[week["weekEnding"]]
     first = document["daily"][0]["date"] if document["daily"] else today.isoformat()

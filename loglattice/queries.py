@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as a
 from .functions import text, values
-from .operators import pricing, rollups, search, session_index, usage_cube, usage_events
+from .operators import pricing, prior_days, rollups, run_bitmaps, search, session_index, usage_cube, usage_events
 from .sources import logs, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,13 +106,58 @@ def usage_allow_deny(spark, sf_dir):
 
 @query
 def usage_prior_merge(spark, sf_dir):
-    """Days up to the 20th come from an earlier run without project proj0, days from the 15th on are fresh."""
+    """Days up to the 20th come from the JSON of an earlier report, without project proj0; days from the 15th on are fresh."""
+    base, at = _facts(spark, sf_dir), shared.folder(spark, "reports")
+    days = prior_days.fresh_days(base.where(F.col("date") <= "2024-01-20"))
+    days.agg(F.collect_list(F.struct(*days.columns)).alias("daily")).write.json(at)
+    prior = prior_days.without_projects(prior_days.read_reports(spark, at)[0], lambda p: ~p.isin("proj0"))
+    fresh = prior_days.fresh_days(base.where(F.col("date") >= "2024-01-15"))
+    merged = usage_cube.merge_daily(prior.withColumn("src", F.lit("prior")), fresh.withColumn("src", F.lit("fresh")))
+    return prior_days.totals(merged).join(merged.select("date", "src"), "date")
+
+
+@query
+def usage_prior_slots(spark, sf_dir):
+    """Totals of every breakdown over days that went through a report's JSON and lost project proj0, whose tokens stay in the breakdowns by tool, provider and model."""
+    base, at = _facts(spark, sf_dir), shared.folder(spark, "reports")
+    days = prior_days.fresh_days(base)
+    days.agg(F.collect_list(F.struct(*days.columns)).alias("daily")).write.json(at)
+    kept = prior_days.without_projects(prior_days.read_reports(spark, at)[0], lambda p: ~p.isin("proj0"))
+    out = None
+    for slot, (keys, _) in usage_cube.SLOTS.items():
+        rows = usage_cube.breakdown(prior_days.unfolded(kept, slot), slot).select(F.lit(slot).alias("slot"), F.concat_ws("|", *keys).alias("key"), "tokens", "cost_usd")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _stored_runs(spark, sf_dir):
+    """Bitmaps of runs by two ingests: days up to the 20th, then days from the 15th on with the runs that are new; of days of both the later ingest counts."""
     base = _facts(spark, sf_dir)
-    old = base.where(F.col("date") <= "2024-01-20")
-    kept = ~F.col("project").isin("proj0")
-    prior = usage_cube.without_projects(usage_cube.daily(old), usage_cube.daily_by(old, "project"), kept)
-    fresh = usage_cube.daily(base.where(F.col("date") >= "2024-01-15"))
-    return usage_cube.merge_daily(prior.withColumn("src", F.lit("prior")), fresh.withColumn("src", F.lit("fresh")))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        at = shared.folder(spark, name)
+        df.write.parquet(at)
+        return spark.read.parquet(at)
+
+    old, new = base.where(F.col("date") <= "2024-01-20"), base.where(F.col("date") >= "2024-01-15")
+    known = stored(run_bitmaps.numbered(old), "runs")
+    more = stored(run_bitmaps.numbered(new, known), "runs")
+    prior = stored(run_bitmaps.day_bitmaps(old, known), "days")
+    fresh = stored(run_bitmaps.day_bitmaps(new, known.unionByName(more)), "days")
+    return usage_cube.merge_daily(prior, fresh)
+
+
+@query
+def usage_bitmap_sets(spark, sf_dir):
+    """All daily groupings from stored bitmaps of two ingests."""
+    return run_bitmaps.grouping_sets(_stored_runs(spark, sf_dir))
+
+
+@query
+def usage_weekly_runs(spark, sf_dir):
+    """Weeks by tool with the runs that are distinct in the whole week, from stored bitmaps of two ingests."""
+    week = F.date_format(values.week_ending(F.col("date")), "yyyy-MM-dd").alias("week_ending")
+    return run_bitmaps.grouped(_stored_runs(spark, sf_dir), week, "tool")
 
 
 @query
