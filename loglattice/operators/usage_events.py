@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.values import resolve_project
 from .session_index import _string
 
 EVENT = ("tool", "provider", "model", "ts", "session_id", "project", "input", "output", "cache_read", "cache_write", "cache_write_1h", "cost_usd", "file_path", "line_no")
+COUNTS = ("input", "output", "cache_read", "cache_write")
 
 
 def _count(v: Column, path: str) -> Column:
@@ -34,22 +37,43 @@ def _nonempty(*columns: Column) -> Column:
     return keep
 
 
+def _read(lines: DataFrame, fields: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """(file_path, line_no, fields) of lines: what ``fields`` takes from each line's JSON.
+
+    The fields come out of a generator, so the JSON of a line is parsed once,
+    however many fields and filters refer to it, and doesn't move on: what
+    follows sorts and shuffles narrow rows.
+    """
+    taken = F.array(F.struct(*[c.alias(name) for name, c in fields(F.col("v")).items()]))
+    return lines.select("file_path", "line_no", F.inline(taken))
+
+
+def _given(v: Column, path: str) -> Column:
+    """Whether there is anything but null at ``path``."""
+    x = F.try_variant_get(v, path, "variant")
+    return x.isNotNull() & ~F.is_variant_null(x)
+
+
 def claude_events(lines: DataFrame) -> DataFrame:
     """One event for each message and request, wherever it is logged first (by file and line); messages without an id are never merged."""
-    v = F.col("v")
     usage = "$.message.usage"
-    model, session, stamp = _string(v, "$.message.model"), _string(v, "$.sessionId"), _string(v, "$.timestamp")
-    rows = lines.where("tool = 'claude'").where(F.try_variant_get(v, usage, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, usage, "variant")) & _nonempty(model, session, stamp))
-    rows = rows.where(_string(v, "$.type") == "assistant").withColumns({"id": _string(v, "$.message.id"), "request": F.coalesce(_string(v, "$.requestId"), F.lit(""))})
+
+    def fields(v: Column) -> dict[str, Column]:
+        return {
+            "kind": _string(v, "$.type"), "used": _given(v, usage), "model": _string(v, "$.message.model"), "session_id": _string(v, "$.sessionId"), "stamp": _string(v, "$.timestamp"),
+            "cwd": F.coalesce(_string(v, "$.cwd"), F.lit("")), "id": _string(v, "$.message.id"), "request": F.coalesce(_string(v, "$.requestId"), F.lit("")),
+            "input": _count(v, f"{usage}.input_tokens"), "output": _count(v, f"{usage}.output_tokens"), "cache_read": _count(v, f"{usage}.cache_read_input_tokens"),
+            "cache_write": _count(v, f"{usage}.cache_creation_input_tokens"), "cache_write_1h": _count(v, f"{usage}.cache_creation.ephemeral_1h_input_tokens"),
+        }
+
+    rows = _read(lines.where("tool = 'claude'"), fields).where((F.col("kind") == "assistant") & F.col("used") & _nonempty(*map(F.col, ("model", "session_id", "stamp"))))
+    rows = rows.select("file_path", "line_no", "id", "request", "model", "session_id", F.try_to_timestamp("stamp").alias("ts"), resolve_project(F.col("cwd")).alias("project"), *COUNTS, "cache_write_1h")
     named = F.coalesce(F.col("id") != "", F.lit(False))
-    first = Window.partitionBy("id", "request").orderBy("file_path", "line_no")
-    once = rows.where(named).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").unionByName(rows.where(~named))
-    hour = _count(v, f"{usage}.cache_creation.ephemeral_1h_input_tokens")
-    return _shaped(
-        once, tool=F.lit("claude-code"), provider=F.lit("anthropic"), model=model, ts=F.try_to_timestamp(stamp), session_id=session, project=resolve_project(F.coalesce(_string(v, "$.cwd"), F.lit(""))),
-        input=_count(v, f"{usage}.input_tokens"), output=_count(v, f"{usage}.output_tokens"), cache_read=_count(v, f"{usage}.cache_read_input_tokens"),
-        cache_write=_count(v, f"{usage}.cache_creation_input_tokens"), cache_write_1h=hour,
-    )
+    # a message without an id is dealt by its own place
+    own = [F.when(~named, F.col(c)) for c in ("file_path", "line_no")]
+    first = Window.partitionBy(F.when(named, F.col("id")), F.when(named, F.col("request")), *own).orderBy("file_path", "line_no")
+    once = rows.withColumn("n", F.row_number().over(first)).where((F.col("n") == 1) | ~named)
+    return _shaped(once, tool=F.lit("claude-code"), provider=F.lit("anthropic"), **{c: F.col(c) for c in ("model", "ts", "session_id", "project", *COUNTS, "cache_write_1h")})
 
 
 #: Lines of a file that are filled in one task.
