@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,21 +87,21 @@ def forward_fill(rows: DataFrame, values: dict[str, Column], key: str = "file_pa
 
     Rows are filled within blocks of ``order``; what each block ends with is
     carried over the blocks behind it by a window that has one row a block. So
-    a file of any length is filled by many tasks, and rows move once: the
-    carried values come to where the blocks are. Null keys are one key; rows
-    of equal order are filled in any order among themselves.
+    a file of any length is filled by many tasks, and rows move and are sorted
+    once: a carried value is a row of its own before its block's first. Null
+    keys are one key; rows of equal order are filled in any order among
+    themselves.
     """
     taken = {c.lower() for c in rows.columns} | {c.lower() for c in values}
-    at, until = (next(n for n in (base + "_" * i for i in range(len(taken) + 1)) if n not in taken) for base in ("block", "until"))
-    blocks = rows.withColumns({**values, at: F.floor(F.col(order) / block)})
-    so_far = Window.partitionBy(key, at).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = blocks.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in values})
+    at, carried = (next(n for n in (base + "_" * i for i in range(len(taken) + 1)) if n not in taken) for base in ("block", "carried"))
+    blocks = rows.withColumns({**values, at: F.floor(F.col(order) / block), carried: F.lit(False)})
     ends = blocks.groupBy(key, at).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values])
     before = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col(key).alias("key"), F.col(at).alias(until), *[F.last(c, ignorenulls=True).over(before).alias(f"carried_{c}") for c in values])
-    carried = carried.where(F.coalesce(*[F.col(f"carried_{c}").cast("string") for c in values]).isNotNull())
-    joined = inside.join(carried, inside[key].eqNullSafe(carried["key"]) & inside[at].eqNullSafe(carried[until]), "left")
-    return joined.select(*rows.columns, *[F.coalesce(c, f"carried_{c}").alias(c) for c in values])
+    heads = ends.select(key, at, F.lit(True).alias(carried), *[F.last(c, ignorenulls=True).over(before).alias(c) for c in values])
+    heads = heads.where(reduce(or_, [F.col(c).isNotNull() for c in values]))
+    both = blocks.unionByName(heads, allowMissingColumns=True)
+    so_far = Window.partitionBy(key, at).orderBy(F.desc(carried), order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.select(*rows.columns, carried, *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in values]).where(~F.col(carried)).drop(carried)
 
 
 def codex_events(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
@@ -108,43 +110,49 @@ def codex_events(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
     The session is filled as a whole, so a later one without a folder doesn't
     take over an earlier one's. One whose id is no string is none.
     """
-    v = F.col("v")
-    kind = _string(v, "$.type")
-    named = (kind == "session_meta") & _string(v, "$.payload.id").isNotNull()
-    meta = F.when(named, F.struct(_string(v, "$.payload.id").alias("id"), F.coalesce(_string(v, "$.payload.cwd"), F.lit("")).alias("cwd")))
-    model = F.when(kind == "turn_context", _string(v, "$.payload.model"))
     usage = "$.payload.info.last_token_usage"
-    counted = (kind == "event_msg") & (_string(v, "$.payload.type") == "token_count")
-    rows = lines.where("tool = 'codex'").where(kind.isin("session_meta", "turn_context") | counted)
-    filled = forward_fill(rows, {"session": meta, "of_model": model}, block=block)
-    found = filled.where(counted & F.try_variant_get(v, usage, "variant").isNotNull() & ~F.is_variant_null(F.try_variant_get(v, usage, "variant"))).where(F.col("session").isNotNull() & _nonempty(F.col("of_model")))
-    cached = _count(v, f"{usage}.cached_input_tokens")
+
+    def fields(v: Column) -> dict[str, Column]:
+        return {
+            "kind": _string(v, "$.type"), "counted": _string(v, "$.payload.type") == "token_count", "used": _given(v, usage), "id": _string(v, "$.payload.id"), "cwd": F.coalesce(_string(v, "$.payload.cwd"), F.lit("")),
+            "named_model": _string(v, "$.payload.model"), "stamp": _string(v, "$.timestamp"), "cached": _count(v, f"{usage}.cached_input_tokens"), "all_input": _count(v, f"{usage}.input_tokens"), "output": _count(v, f"{usage}.output_tokens"),
+        }
+
+    kind = F.col("kind")
+    counted = (kind == "event_msg") & F.col("counted")
+    rows = _read(lines.where("tool = 'codex'"), fields).where(kind.isin("session_meta", "turn_context") | counted)
+    meta = F.when((kind == "session_meta") & F.col("id").isNotNull(), F.struct("id", "cwd"))
+    model = F.when(kind == "turn_context", F.col("named_model"))
+    told = rows.select("file_path", "line_no", (counted & F.col("used")).alias("event"), F.try_to_timestamp(F.when(counted, F.col("stamp"))).alias("ts"), "cached", "all_input", "output", meta.alias("meta"), model.alias("own_model"))
+    filled = forward_fill(told, {"session": F.col("meta"), "of_model": F.col("own_model")}, block=block)
+    found = filled.where(F.col("event") & F.col("session").isNotNull() & _nonempty(F.col("of_model")))
     zero = F.lit(0).cast("long")
     return _shaped(
-        found, tool=F.lit("codex"), provider=F.lit("openai"), model=F.col("of_model"), ts=F.try_to_timestamp(_string(v, "$.timestamp")), session_id=F.col("session.id"), project=resolve_project(F.col("session.cwd")),
-        input=F.greatest(zero, _count(v, f"{usage}.input_tokens") - cached), output=_count(v, f"{usage}.output_tokens"), cache_read=cached, cache_write=zero,
+        found, tool=F.lit("codex"), provider=F.lit("openai"), model=F.col("of_model"), ts=F.col("ts"), session_id=F.col("session.id"), project=resolve_project(F.col("session.cwd")),
+        input=F.greatest(zero, F.col("all_input") - F.col("cached")), output=F.col("output"), cache_read=F.col("cached"), cache_write=zero,
     )
 
 
 def pi_events(lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
     """Assistant messages with usage, in the message or, as older logs have it, beside it; the latest session before them."""
-    v = F.col("v")
-    kind = _string(v, "$.type")
-    session = F.when(kind == "session", F.struct(F.coalesce(_string(v, "$.id"), F.lit("")).alias("id"), F.coalesce(_string(v, "$.cwd"), F.lit("")).alias("cwd")))
-    rows = forward_fill(lines.where("tool = 'pi'").where(kind.isin("session", "message")), {"session": session}, block=block)
-
-    def either(path: str, kind_of: str) -> Column:
-        return F.coalesce(F.try_variant_get(v, f"$.message.{path}", kind_of), F.try_variant_get(v, f"$.{path}", kind_of))
-
-    usage = either("usage", "variant")
-    provider, model = either("provider", "string"), either("model", "string")
-    rows = rows.withColumns({"usage": usage, "provider": provider, "model": model}).where((kind == "message") & (_string(v, "$.message.role") == "assistant") & F.col("usage").isNotNull() & F.col("session").isNotNull()).where(_nonempty(F.col("provider"), F.col("model")))
-    u = F.col("usage")
-    stamp = F.coalesce(_string(v, "$.timestamp"), _string(v, "$.message.timestamp"))
-    return _shaped(
-        rows, tool=F.lit("pi"), provider=F.col("provider"), model=F.col("model"), ts=F.try_to_timestamp(stamp), session_id=F.col("session.id"), project=resolve_project(F.col("session.cwd")),
-        input=_count(u, "$.input"), output=_count(u, "$.output"), cache_read=_count(u, "$.cacheRead"), cache_write=_count(u, "$.cacheWrite"), cost_usd=F.try_variant_get(u, "$.cost.total", "double"),
-    )
+
+    def fields(v: Column) -> dict[str, Column]:
+        def either(path: str, kind_of: str) -> Column:
+            return F.coalesce(F.try_variant_get(v, f"$.message.{path}", kind_of), F.try_variant_get(v, f"$.{path}", kind_of))
+
+        u = either("usage", "variant")
+        return {
+            "kind": _string(v, "$.type"), "role": _string(v, "$.message.role"), "used": u.isNotNull(), "provider": either("provider", "string"), "model": either("model", "string"), "id": F.coalesce(_string(v, "$.id"), F.lit("")), "cwd": F.coalesce(_string(v, "$.cwd"), F.lit("")),
+            "stamp": F.coalesce(_string(v, "$.timestamp"), _string(v, "$.message.timestamp")), "input": _count(u, "$.input"), "output": _count(u, "$.output"), "cache_read": _count(u, "$.cacheRead"), "cache_write": _count(u, "$.cacheWrite"), "cost_usd": F.try_variant_get(u, "$.cost.total", "double"),
+        }
+
+    kind = F.col("kind")
+    rows = _read(lines.where("tool = 'pi'"), fields).where(kind.isin("session", "message"))
+    event = (kind == "message") & (F.col("role") == "assistant") & F.col("used") & _nonempty(F.col("provider"), F.col("model"))
+    told = rows.select("file_path", "line_no", event.alias("event"), F.try_to_timestamp(F.when(event, F.col("stamp"))).alias("ts"), "provider", "model", *COUNTS, "cost_usd", F.when(kind == "session", F.struct("id", "cwd")).alias("meta"))
+    found = forward_fill(told, {"session": F.col("meta")}, block=block).where(F.col("event") & F.col("session").isNotNull())
+    own = ("provider", "model", "ts", *COUNTS, "cost_usd")
+    return _shaped(found, tool=F.lit("pi"), session_id=F.col("session.id"), project=resolve_project(F.col("session.cwd")), **{c: F.col(c) for c in own})
 
 
 SOURCES = {"claude": claude_events, "codex": codex_events, "pi": pi_events}

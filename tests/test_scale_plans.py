@@ -24,3 +24,16 @@ def test_usage_lines_are_parsed_once(spark):
     found = usage_events.claude_events(lines(spark, "claude", said("a"), said("a"), said("a", requestId="r"), said(None), said(None), said(""), said(7), said("b", timestamp="never"), said("b"), said("c", type="user"), {"type": "assistant"}))
     assert sorted(r.line_no for r in found.collect()) == [0, 2, 3, 4, 5, 6]  # of b the first counts, whose time can't be read
     assert plan(found).count("parseJson") == 1
+
+
+def test_token_lines_are_parsed_once_a_branch_and_move_once(spark):
+    meta, context = {"type": "session_meta", "payload": {"id": "s", "cwd": "/w/p"}}, {"type": "turn_context", "payload": {"model": "g"}}
+    count = {"type": "event_msg", "timestamp": "2026-06-01T14:30:00Z", "payload": {"type": "token_count", "info": {"last_token_usage": {"input_tokens": 9, "cached_input_tokens": 4, "output_tokens": 2}}}}
+    objects = [x for x in (count, meta, context, count, count | {"payload": {"type": "token_count", "info": None}}, {"type": "other"}, count) for _ in range(3)]
+    found = usage_events.codex_events(lines(spark, "codex", *objects), block=2)
+    assert sorted((r.line_no, r.session_id, r.model, r.project, r.input, r.output, r.cache_read) for r in found.collect()) == [(i, "s", "g", "p", 5, 2, 4) for i in (9, 10, 11, 18, 19, 20)]
+    assert plan(found).count("parseJson") == 2 and "Join" not in plan(found)
+    pi = [{"type": "session", "id": "s", "cwd": "/w/q"}, {"type": "message", "timestamp": "2026-06-01T14:30:00Z", "message": {"role": "assistant", "provider": "v", "model": "m", "usage": {"input": 3, "cost": {"total": 0.5}}}}, {"type": "message", "message": {"role": "user"}}]
+    found = usage_events.pi_events(lines(spark, "pi", *[x for x in pi for _ in range(3)]), block=2)
+    assert sorted((r.line_no, r.session_id, r.project, r.input, r.cost_usd) for r in found.collect()) == [(i, "s", "q", 3, 0.5) for i in (3, 4, 5)]
+    assert plan(found).count("parseJson") == 2 and "Join" not in plan(found)
