@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
-from loglattice.operators import usage_events
+from loglattice.operators import run_bitmaps, usage_events
 
 
 def lines(spark, tool, *objects):
@@ -37,3 +38,18 @@ def test_token_lines_are_parsed_once_a_branch_and_move_once(spark):
     found = usage_events.pi_events(lines(spark, "pi", *[x for x in pi for _ in range(3)]), block=2)
     assert sorted((r.line_no, r.session_id, r.project, r.input, r.cost_usd) for r in found.collect()) == [(i, "s", "q", 3, 0.5) for i in (3, 4, 5)]
     assert plan(found).count("parseJson") == 2 and "Join" not in plan(found)
+
+
+def test_bitmaps_are_as_large_as_what_they_hold_and_add_up_without_a_sort(spark):
+    """Keys of one run each, as many neighbours of one key, and facts without a run."""
+    rows = [("2026-01-01", 1, "a", "p", "m", f"x{i}", f"s{i}", 1, Decimal(1), 1) for i in range(300)]
+    rows += [(day, 1, "b", "p", "m", "y", f"s{i}", 1, Decimal(1), 1) for i in range(640) for day in ("2026-01-01", "2026-01-02")] + [("2026-01-02", 1, "b", "p", "m", "z", None, 1, Decimal(1), 1)]
+    base = spark.createDataFrame(rows, "date string, hour int, tool string, provider string, model string, project string, session_id string, tokens long, cost decimal(38,12), messages long")
+    stored = run_bitmaps.day_bitmaps(base, run_bitmaps.numbered(base))
+    kept = stored.collect()
+    assert dict(stored.dtypes)["runs"] == "bigint" and len([r for r in kept if r.tool == "a"]) == 300
+    assert len([r for r in kept if r.project == "y"]) <= 2 * (640 // 64 + 2 * run_bitmaps.RUN_PARTS) and [r.runs for r in kept if r.project == "z"] == [None]
+    for found in (run_bitmaps.grouped(stored, "date", "tool"), run_bitmaps.grouping_sets(stored)):
+        assert "SortAggregate" not in found._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    assert sorted((r.date, r.tool, r.session_count, r.tokens) for r in run_bitmaps.grouped(stored, "date", "tool").collect()) == [("2026-01-01", "a", 300, 300), ("2026-01-01", "b", 640, 640), ("2026-01-02", "b", 640, 641)]
+    assert [(r.project, r.session_count) for r in run_bitmaps.grouped(stored, "project").where("project = 'z'").collect()] == [("z", 0)]
