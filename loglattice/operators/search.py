@@ -148,38 +148,48 @@ def term_of(token: str, stem: bool) -> str:
     return porter(fold(token)) if stem else token.lower()
 
 
-#: Bytes of text that a worker indexes at once, and postings in one batch of rows.
-STEP_BYTES, BATCH_ROWS = 4 << 20, 1 << 15
-#: Tokens whose terms a worker remembers.
-REMEMBERED = 1 << 18
+#: Bytes of text and tokens that a worker indexes at once, and postings in one batch of rows.
+STEP_BYTES, STEP_TOKENS, BATCH_ROWS = 4 << 20, 1 << 20, 1 << 15
+#: Tokens whose terms a worker remembers from step to step, and their length together.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 16, 4 << 20
 #: ASCII letters and digits as they are, all else of ASCII as blanks.
 PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 0x20 for c in range(256))
 
 
-class _Terms:
-    """Numbers of terms; each distinct token is folded and stemmed once."""
+class _Terms(dict[str | bytes, int]):
+    """Numbers of terms by token; each distinct token is folded and stemmed once."""
 
     def __init__(self, stem: bool):
+        super().__init__()
         self.stem = stem
-        self.clear()
-
-    def clear(self) -> None:
-        self.of_token: dict[str | bytes, int] = {}
         self.number: dict[str, int] = {}
         self.names: list[str] = []
+        self.held = 0
+
+    def forget(self, times: np.ndarray) -> None:
+        """If it holds much, keeps only tokens of terms that came twice or more; ``times`` counts the terms of the last step."""
+        if len(self) <= REMEMBERED and self.held <= REMEMBERED_LENGTH:
+            return
+        kept = [(token, self.names[n]) for token, n in self.items() if times[n] > 1]
+        self.clear()
+        self.number = {}
+        for token, term in kept:
+            self[token] = self.number.setdefault(term, len(self.number))
+        self.names = list(self.number)
+        self.held = sum(len(token) for token, _ in kept)
 
-    def _learn(self, token: str | bytes) -> int:
+    def __missing__(self, token: str | bytes) -> int:
         term = term_of(token if isinstance(token, str) else token.decode(), self.stem)
-        number = self.of_token[token] = self.number.setdefault(term, len(self.number))
+        number = self[token] = self.number.setdefault(term, len(self.number))
         if number == len(self.names):
             self.names.append(term)
+        self.held += len(token)
         return number
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, text: bytes) -> np.ndarray:
         """Numbers of the text's terms, in order."""
-        tokens = text.encode().translate(PLAIN).split() if text.isascii() else tokens_of(text)
-        known, learn = self.of_token.get, self._learn
-        return np.fromiter((n if (n := known(t)) is not None else learn(t) for t in tokens), np.int64, len(tokens))
+        tokens = text.translate(PLAIN).split() if text.isascii() else tokens_of(text.decode())
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
 
 def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem: bool = True) -> DataFrame:
@@ -198,46 +208,58 @@ def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem:
     kind = narrow.schema["key"].dataType
 
     def rows(keys: pa.Array, ids: list[np.ndarray], terms: _Terms) -> Iterator[pa.RecordBatch]:
-        """``ids``: of every text of the first document, then of the next."""
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        """``ids``: of every text of the first document, then of the next; emptied, as it is copied."""
+        texts, sizes = len(ids), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
         if not total:
             return
-        texts = np.repeat(np.arange(len(ids)), sizes)
-        place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         every = np.concatenate(ids)
-        used, at = np.unique(every, return_inverse=True)
-        shown = [terms.names[i] for i in used.tolist()]
-        rank = np.empty(len(used), np.int64)
-        rank[sorted(range(len(used)), key=shown.__getitem__)] = np.arange(len(used))
-        cell = rank[at] * len(ids) + texts
+        ids.clear()
+        times = np.bincount(every, minlength=len(terms.names))
+        shown = sorted(np.flatnonzero(times).tolist(), key=terms.names.__getitem__)
+        rank = np.zeros(len(times), np.int64)
+        rank[shown] = np.arange(len(shown))
+        cell = rank[every]
+        cell *= texts
+        cell += np.repeat(np.arange(texts, dtype=np.int32), sizes)
         order = np.argsort(cell, kind="stable")
+        place = np.arange(total, dtype=np.int32)
+        place -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         cell, place = cell[order], place[order]
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        gap = np.diff(place, prepend=0).astype(np.int32)
+        del every, order
+        first = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
+        gap = place.copy()
+        gap[1:] -= place[:-1]
         gap[first] = place[first]
+        cell = cell[first]
         lengths = sizes.reshape(-1, len(names)).sum(axis=1)
-        text, names_of = cell[first] % len(ids), pa.array([shown[i] for i in np.argsort(rank).tolist()])
-        owner, ends = text // len(names), np.append(first, total)
+        names_of = pa.array([terms.names[i] for i in shown])
+        terms.forget(times)
+        del place, shown, rank, times
+        ends = np.append(first, total)
         for a in range(0, len(first), BATCH_ROWS):
-            b = min(a + BATCH_ROWS, len(first))
-            cuts = ends[a : b + 1]
+            cuts = ends[a : a + BATCH_ROWS + 1]
+            term, text = np.divmod(cell[a : a + BATCH_ROWS], texts)
+            owner, column = np.divmod(text, len(names))
             places = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(gap[cuts[0] : cuts[-1]]))
-            columns = [keys.take(pa.array(owner[a:b])), names_of.take(pa.array(cell[first[a:b]] // len(ids))), pa.array(names).take(pa.array(text[a:b] % len(names))), pa.array(np.diff(cuts).astype(np.int32)), places, pa.array(lengths[owner[a:b]])]
+            columns = [keys.take(pa.array(owner)), names_of.take(pa.array(term)), pa.array(names).take(pa.array(column)), pa.array(np.diff(cuts).astype(np.int32)), places, pa.array(lengths[owner])]
             yield pa.RecordBatch.from_arrays(columns, ["key", "term", "col", "n", "gaps", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch may hold 10,000 long texts: they are taken out one by one, as the bytes they are."""
         terms = _Terms(stem)
         for batch in batches:
-            begin, size, ids = 0, 0, []
-            for i, own in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                ids += [terms.of(t) for t in own]
-                size += sum(map(len, own))
-                if size > STEP_BYTES or i == batch.num_rows - 1:
+            texts = [c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()) for c in batch.columns[1:]]
+            begin, size, tokens, ids = 0, 0, 0, []
+            for i in range(batch.num_rows):
+                for c in texts:
+                    text = c[i].as_py()
+                    ids.append(terms.of(text))
+                    size += len(text)
+                    tokens += len(ids[-1])
+                if size > STEP_BYTES or tokens > STEP_TOKENS or i == batch.num_rows - 1:
                     yield from rows(batch.column(0).slice(begin, i + 1 - begin), ids, terms)
-                    begin, size, ids = i + 1, 0, []
-                    if len(terms.of_token) > REMEMBERED:
-                        terms.clear()
+                    begin, size, tokens, ids = i + 1, 0, 0, []
 
     schema = StructType([StructField("key", kind), StructField("term", StringType()), StructField("col", StringType()), StructField("n", IntegerType()), StructField("gaps", ArrayType(IntegerType())), StructField("length", LongType())])
     return narrow.mapInArrow(run, schema)

@@ -6,8 +6,10 @@ import json
 import os
 import random
 import sqlite3
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from loglattice.operators import search
 from loglattice.plans import api, page
@@ -84,6 +86,32 @@ def test_postings_hold_lists_of_places(spark, tmp_path):
     assert {(r.key, r.phrase, r.n) for r in hits.collect()} == {(i, k, n) for i in range(300) for k in (0, 1) if (n := sum((i * j) % 900 == 7 and (k == 0 or j < 299 and (i * j + i) % 900 == 14) for j in range(300)))}
 
 
+def worker(spark, monkeypatch, columns, stem):
+    """What a Python worker runs to make postings, called here."""
+    docs, got = spark.createDataFrame([], "id long, " + ", ".join(f"{c} string" for c in columns)), []
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, f, schema: got.append(f) or self)
+        search.postings(docs, "id", columns, stem)
+    return got[0]
+
+
+def test_a_worker_holds_one_step_of_texts_and_the_tokens_that_repeat(spark, monkeypatch):
+    """A batch of long wide texts, and as many batches of new tokens as would fill any table of them."""
+    text = "\U0001f600 " + " ".join(f"é{i:05}{'x' * 34}" for i in range(2500))
+    wide = [pa.RecordBatch.from_pydict({"id": list(range(100)), "x": [text] * 100})]
+    new = (pa.RecordBatch.from_pydict({"id": [k], "x": [" ".join(f"t{k}n{i:06}" for i in range(40000)) + " the the"]}) for k in range(8))
+    for batches, rows, words, most in ((wide, 250000, 250000, 25), (new, 8 * 40001, 8 * 40002, 64)):
+        run = worker(spark, monkeypatch, ["x"], False)
+        tracemalloc.start()
+        try:
+            found = [(b.num_rows, sum(b.column("n").to_pylist())) for b in run(iter(batches))]
+            peak = tracemalloc.get_traced_memory()[1] / (1 << 20)
+        finally:
+            tracemalloc.stop()
+        assert (sum(n for n, _ in found), sum(n for _, n in found)) == (rows, words)
+        assert peak < most
+
+
 def session(name, text, cwd="/x/app", day="2026-06-01", extra=()):
     lines = [{"type": "user", "cwd": cwd, "timestamp": f"{day}T10:00:00Z", "message": {"content": text}}, {"type": "assistant", "message": {"content": [{"type": "text", "text": "ok"}]}}, *extra]
     return name, "\n".join(map(json.dumps, lines))
