@@ -112,6 +112,18 @@ def test_a_worker_holds_one_step_of_texts_and_the_tokens_that_repeat(spark, monk
         assert peak < most
 
 
+def test_postings_are_whole_when_tokens_are_forgotten(spark, monkeypatch):
+    """Steps of a few words and a table of three tokens, with stems in two columns."""
+    for name, value in (("STEP_BYTES", 40), ("REMEMBERED", 3), ("BATCH_ROWS", 2)):
+        monkeypatch.setattr(search, name, value)
+    r = random.Random(4)
+    x, y = ([" ".join(r.choice(WORDS) for _ in range(r.choice([0, 1, 9]))) for _ in range(60)] for _ in "xy")
+    run = worker(spark, monkeypatch, ["x", "y"], True)
+    rows = [q for b in run(iter([pa.RecordBatch.from_pydict({"id": list(range(60)), "x": x, "y": y})])) for q in b.to_pylist()]
+    found = {(q["key"], q["col"], place): q["term"] for q in rows for place in (sum(q["gaps"][: i + 1]) for i in range(q["n"]))}
+    assert found == {(i, c, k): search.term_of(t, True) for c, texts in (("x", x), ("y", y)) for i, text in enumerate(texts) for k, t in enumerate(search.tokens_of(text))}
+
+
 def session(name, text, cwd="/x/app", day="2026-06-01", extra=()):
     lines = [{"type": "user", "cwd": cwd, "timestamp": f"{day}T10:00:00Z", "message": {"content": text}}, {"type": "assistant", "message": {"content": [{"type": "text", "text": "ok"}]}}, *extra]
     return name, "\n".join(map(json.dumps, lines))
