@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -36,31 +38,21 @@ def fold(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c)) if not low.isascii() else low
 
 
-_VOWELS = "aeiou"
+#: Vowels, y, and all else of ASCII, which counts as consonants.
+KINDS = {i: "v" if chr(i) in "aeiou" else "y" if chr(i) == "y" else "c" for i in range(128)}
 
 
-def _consonant(w: str, i: int) -> bool:
-    if w[i] in _VOWELS:
-        return False
-    return w[i] != "y" or i == 0 or not _consonant(w, i - 1)
+def _kinds(w: str) -> str:
+    """c or v for each character; a y is a consonant at the start and behind a vowel. Of a prefix, they are the prefix."""
+    kinds = w.translate(KINDS)
+    while (i := kinds.find("y")) >= 0:
+        kinds = f"{kinds[:i]}{'v' if kinds[i - 1 : i] == 'c' else 'c'}{kinds[i + 1 :]}"
+    return kinds
 
 
-def _measure(stem: str) -> int:
-    kinds = "".join("c" if _consonant(stem, i) else "v" for i in range(len(stem)))
-    return len(re.findall("v+c+", kinds))
-
-
-def _vowel(stem: str) -> bool:
-    return any(not _consonant(stem, i) for i in range(len(stem)))
-
-
-def _double(w: str) -> bool:
-    return len(w) > 1 and w[-1] == w[-2] and _consonant(w, len(w) - 1)
-
-
-def _short(w: str) -> bool:
-    n = len(w)
-    return n > 2 and _consonant(w, n - 3) and not _consonant(w, n - 2) and _consonant(w, n - 1) and w[-1] not in "wxy"
+def _short(w: str, kinds: str, n: int) -> bool:
+    """Whether the first n characters end in consonant, vowel and another consonant than w, x and y."""
+    return n > 2 and kinds[n - 3 : n] == "cvc" and w[n - 1] not in "wxy"
 
 
 #: The suffixes of Porter's 1980 algorithm, steps 2 to 4, with the two later changes in step 2 (bli, logi).
@@ -72,48 +64,68 @@ STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()  # noqa: SIM905
 
 
-@lru_cache(maxsize=1 << 16)
+
+
+def _by_last(pairs: list[tuple[str, str]]) -> dict[str, list[tuple[str, str]]]:
+    """Suffixes by their last letter, the longest first."""
+    return {z: sorted((p for p in pairs if p[0][-1] == z), key=lambda p: -len(p[0])) for z in {p[0][-1] for p in pairs}}
+
+
+BY_LAST2, BY_LAST3, BY_LAST4 = _by_last(STEP2), _by_last(STEP3), _by_last([(x, "") for x in STEP4])
+#: Last letters that any rule asks for.
+ENDS = frozenset("sdgyel").union(BY_LAST2, BY_LAST3, BY_LAST4)
+
+
 def porter(w: str) -> str:
-    """Porter's stem of a folded token; tokens that are short, long or not plain letters and digits stay."""
-    if not 3 <= len(w) <= 64 or not w.isascii():
+    """Porter's stem of a folded token; tokens that are short, long or not plain letters and digits stay.
+
+    The measure of a prefix is how often its kinds go from vowel to consonant.
+    """
+    if w[-1:] not in ENDS or not 3 <= len(w) <= 64 or not w.isascii():
         return w
-    if w.endswith("sses") or w.endswith("ies") and len(w) > 3:
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    cut = None
+    if w[-1] == "s":
+        if w.endswith("sses") or w.endswith("ies") and len(w) > 3:
+            w = w[:-2]
+        elif w[-2] != "s":
+            w = w[:-1]
+    kinds, n = _kinds(w), 0
     if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
+        if kinds.count("vc", 0, len(w) - 3) > 0:
+            w = w[:-1]
+    elif w.endswith("ed"):
+        n = len(w) - 2
+    elif w.endswith("ing"):
+        n = len(w) - 3
+    if n > 0 and "v" in kinds[:n]:
+        w = w[:n]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif n > 1 and w[-1] == w[-2] and kinds[n - 1] == "c" and w[-1] not in "lsz":
             w = w[:-1]
-    elif w.endswith("ed") and _vowel(w[:-2]):
-        cut = w[:-2]
-    elif w.endswith("ing") and _vowel(w[:-3]):
-        cut = w[:-3]
-    if cut is not None:
-        if cut.endswith(("at", "bl", "iz")):
-            w = cut + "e"
-        elif _double(cut) and cut[-1] not in "lsz":
-            w = cut[:-1]
-        elif _measure(cut) == 1 and _short(cut):
-            w = cut + "e"
-        else:
-            w = cut
-    if w.endswith("y") and _vowel(w[:-1]):
+        elif kinds.count("vc", 0, n) == 1 and _short(w, kinds, n):
+            w += "e"
+        kinds = _kinds(w)
+    if w[-1] == "y" and "v" in kinds[: len(w) - 1]:
         w = w[:-1] + "i"
-    for pairs in (STEP2, STEP3):
-        hit = max((p for p in pairs if w.endswith(p[0])), key=lambda p: len(p[0]), default=None)
-        if hit and _measure(w[: -len(hit[0])]) > 0:
-            w = w[: -len(hit[0])] + hit[1]
-    hit = max((x for x in STEP4 if w.endswith(x)), key=len, default=None)
-    if hit:
-        stem = w[: -len(hit)]
-        if _measure(stem) > 1 and (hit != "ion" or stem[-1:] in ("s", "t")):
-            w = stem
-    if w.endswith("e"):
-        m = _measure(w[:-1])
-        if m > 1 or m == 1 and not _short(w[:-1]):
+        kinds = kinds[: len(w) - 1] + "v"
+    for by_last in (BY_LAST2, BY_LAST3):
+        for suffix, other in by_last.get(w[-1], ()):
+            if w.endswith(suffix):
+                if kinds.count("vc", 0, len(w) - len(suffix)) > 0:
+                    w = w[: -len(suffix)] + other
+                    kinds = _kinds(w)
+                break
+    for suffix, _ in BY_LAST4.get(w[-1], ()):
+        if w.endswith(suffix):
+            n = len(w) - len(suffix)
+            if kinds.count("vc", 0, n) > 1 and (suffix != "ion" or w[n - 1] in "st"):
+                w = w[:n]
+            break
+    if w[-1] == "e":
+        m = kinds.count("vc", 0, len(w) - 1)
+        if m > 1 or m == 1 and not _short(w, kinds, len(w) - 1):
             w = w[:-1]
-    if w.endswith("ll") and _measure(w[:-1]) > 1:
+    if w.endswith("ll") and kinds.count("vc", 0, len(w) - 1) > 1:
         w = w[:-1]
     return w
 
@@ -150,46 +162,26 @@ def term_of(token: str, stem: bool) -> str:
 
 #: Bytes of text and tokens that a worker indexes at once, and postings in one batch of rows.
 STEP_BYTES, STEP_TOKENS, BATCH_ROWS = 4 << 20, 1 << 20, 1 << 15
-#: Tokens whose terms a worker remembers from step to step, and their length together.
-REMEMBERED, REMEMBERED_LENGTH = 1 << 16, 4 << 20
+#: Distinct tokens at which a step ends: they are objects, and weigh more than the arrays.
+REMEMBERED = 1 << 17
 #: ASCII letters and digits as they are, all else of ASCII as blanks.
 PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 0x20 for c in range(256))
 
 
-class _Terms(dict[str | bytes, int]):
-    """Numbers of terms by token; each distinct token is folded and stemmed once."""
+def terms_of(tokens: list[str], stem: bool) -> pa.DictionaryArray:
+    """``term_of`` of many tokens at once; a blank parts them, as none holds one."""
+    text = " ".join(tokens).lower()
+    if not stem:
+        return pa.array(text.split(" ")).dictionary_encode()
+    text = unicodedata.normalize("NFD", text)
+    marks = "".join(c for c in set(text) if unicodedata.combining(c))
+    return pa.array(map(porter, (re.sub(f"[{marks}]+", "", text) if marks else text).split(" ")), pa.string()).dictionary_encode()
 
-    def __init__(self, stem: bool):
-        super().__init__()
-        self.stem = stem
-        self.number: dict[str, int] = {}
-        self.names: list[str] = []
-        self.held = 0
 
-    def forget(self, times: np.ndarray) -> None:
-        """If it holds much, keeps only tokens of terms that came twice or more; ``times`` counts the terms of the last step."""
-        if len(self) <= REMEMBERED and self.held <= REMEMBERED_LENGTH:
-            return
-        kept = [(token, self.names[n]) for token, n in self.items() if times[n] > 1]
-        self.clear()
-        self.number = {}
-        for token, term in kept:
-            self[token] = self.number.setdefault(term, len(self.number))
-        self.names = list(self.number)
-        self.held = sum(len(token) for token, _ in kept)
-
-    def __missing__(self, token: str | bytes) -> int:
-        term = term_of(token if isinstance(token, str) else token.decode(), self.stem)
-        number = self[token] = self.number.setdefault(term, len(self.number))
-        if number == len(self.names):
-            self.names.append(term)
-        self.held += len(token)
-        return number
-
-    def of(self, text: bytes) -> np.ndarray:
-        """Numbers of the text's terms, in order."""
-        tokens = text.translate(PLAIN).split() if text.isascii() else tokens_of(text.decode())
-        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+def _numbers(text: bytes, table: dict[str | bytes, int]) -> np.ndarray:
+    """Numbers of the text's tokens, in order; the table gives new ones."""
+    tokens = text.translate(PLAIN).split() if text.isascii() else tokens_of(text.decode())
+    return np.fromiter(map(table.__getitem__, tokens), np.int32, len(tokens))
 
 
 def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem: bool = True) -> DataFrame:
@@ -207,35 +199,40 @@ def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem:
     narrow = docs.select(F.col(key).alias("key"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
     kind = narrow.schema["key"].dataType
 
-    def rows(keys: pa.Array, ids: list[np.ndarray], terms: _Terms) -> Iterator[pa.RecordBatch]:
-        """``ids``: of every text of the first document, then of the next; emptied, as it is copied."""
+    def rows(keys: pa.Array, ids: list[np.ndarray], table: dict[str | bytes, int]) -> Iterator[pa.RecordBatch]:
+        """``ids``: of every text of the first document, then of the next; they and the table are emptied, as they are copied."""
         texts, sizes = len(ids), np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
-        if not total:
-            return
         every = np.concatenate(ids)
         ids.clear()
-        times = np.bincount(every, minlength=len(terms.names))
-        shown = sorted(np.flatnonzero(times).tolist(), key=terms.names.__getitem__)
-        rank = np.zeros(len(times), np.int64)
-        rank[shown] = np.arange(len(shown))
-        cell = rank[every]
+        if not total:
+            return
+        tokens = [t if isinstance(t, str) else t.decode() for t in table]
+        table.clear()
+        terms = terms_of(tokens, stem)
+        del tokens
+        shown = pc.sort_indices(terms.dictionary)
+        names_of = terms.dictionary.take(shown)
+        rank = np.empty(len(shown), np.int64)
+        rank[shown.to_numpy()] = np.arange(len(shown))
+        cell = rank[terms.indices.to_numpy()][every]
+        del terms, shown
         cell *= texts
         cell += np.repeat(np.arange(texts, dtype=np.int32), sizes)
+        del every, rank
         order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
+        cell = cell[first]
         place = np.arange(total, dtype=np.int32)
         place -= np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
-        cell, place = cell[order], place[order]
-        del every, order
-        first = np.append(0, np.flatnonzero(cell[1:] != cell[:-1]) + 1)
+        place = place[order]
+        del order
         gap = place.copy()
         gap[1:] -= place[:-1]
         gap[first] = place[first]
-        cell = cell[first]
+        del place
         lengths = sizes.reshape(-1, len(names)).sum(axis=1)
-        names_of = pa.array([terms.names[i] for i in shown])
-        terms.forget(times)
-        del place, shown, rank, times
         ends = np.append(first, total)
         for a in range(0, len(first), BATCH_ROWS):
             cuts = ends[a : a + BATCH_ROWS + 1]
@@ -245,21 +242,25 @@ def postings(docs: DataFrame, key: str, columns: list[str] | None = None, stem:
             columns = [keys.take(pa.array(owner)), names_of.take(pa.array(term)), pa.array(names).take(pa.array(column)), pa.array(np.diff(cuts).astype(np.int32)), places, pa.array(lengths[owner])]
             yield pa.RecordBatch.from_arrays(columns, ["key", "term", "col", "n", "gaps", "length"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """A batch may hold 10,000 long texts: they are taken out one by one, as the bytes they are."""
-        terms = _Terms(stem)
+        texts = [c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()) for c in batch.columns[1:]]
+        begin, size, tokens, ids, table = 0, 0, 0, [], defaultdict(count().__next__)
+        for i in range(batch.num_rows):
+            for c in texts:
+                text = c[i].as_py()
+                ids.append(_numbers(text, table))
+                size += len(text)
+                tokens += len(ids[-1])
+            if size > STEP_BYTES or tokens > STEP_TOKENS or len(table) > REMEMBERED or i == batch.num_rows - 1:
+                yield from rows(batch.column(0).slice(begin, i + 1 - begin), ids, table)
+                begin, size, tokens, ids, table = i + 1, 0, 0, [], defaultdict(count().__next__)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A worker keeps nothing from step to step, and no batch while the next is read."""
         for batch in batches:
-            texts = [c.cast(pa.large_binary() if pa.types.is_large_string(c.type) else pa.binary()) for c in batch.columns[1:]]
-            begin, size, tokens, ids = 0, 0, 0, []
-            for i in range(batch.num_rows):
-                for c in texts:
-                    text = c[i].as_py()
-                    ids.append(terms.of(text))
-                    size += len(text)
-                    tokens += len(ids[-1])
-                if size > STEP_BYTES or tokens > STEP_TOKENS or i == batch.num_rows - 1:
-                    yield from rows(batch.column(0).slice(begin, i + 1 - begin), ids, terms)
-                    begin, size, tokens, ids = i + 1, 0, 0, []
+            yield from steps(batch)
+            del batch
 
     schema = StructType([StructField("key", kind), StructField("term", StringType()), StructField("col", StringType()), StructField("n", IntegerType()), StructField("gaps", ArrayType(IntegerType())), StructField("length", LongType())])
     return narrow.mapInArrow(run, schema)

@@ -124,6 +124,34 @@ def test_postings_are_whole_when_tokens_are_forgotten(spark, monkeypatch):
     assert found == {(i, c, k): search.term_of(t, True) for c, texts in (("x", x), ("y", y)) for i, text in enumerate(texts) for k, t in enumerate(search.tokens_of(text))}
 
 
+def test_a_worker_keeps_nothing_between_batches_and_few_tokens_within(spark, monkeypatch):
+    """Documents of new tokens only: what a worker holds follows neither the batches it has seen nor all tokens of 4 MB of text."""
+    held = []
+
+    def batches():
+        for k in range(3):
+            held.append(tracemalloc.get_traced_memory()[0] / (1 << 20))
+            yield pa.RecordBatch.from_pydict({"id": list(range(10)), "x": [" ".join(f"{k}{d}n{i}s" for i in range(40000)) for d in range(10)]})
+        held.append(tracemalloc.get_traced_memory()[0] / (1 << 20))
+
+    run = worker(spark, monkeypatch, ["x"], True)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(batches())) == 3 * 10 * 40000
+        peak = tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+    assert max(held) < 4 and peak < 80
+
+
+def test_terms_of_many_tokens_are_those_of_each():
+    """Final sigma, marks alone and upper case whose lower case has a mark, beside one another."""
+    tokens = ["ΟΔΟΣ", "Σ", "ΣΑΣ", "\u0301", "\u0307\u0301", "İ", "CAFÉ", "naïve", "running", "SYZYGIES", "yyed", "가각", "x", "ﬁ", "1990s", "Å", "\ue000"]
+    for some in (tokens, tokens[::-1], tokens[3:4], tokens[8:10]):
+        for stem in (True, False):
+            assert search.terms_of(some, stem).to_pylist() == [search.term_of(t, stem) for t in some]
+
+
 def session(name, text, cwd="/x/app", day="2026-06-01", extra=()):
     lines = [{"type": "user", "cwd": cwd, "timestamp": f"{day}T10:00:00Z", "message": {"content": text}}, {"type": "assistant", "message": {"content": [{"type": "text", "text": "ok"}]}}, *extra]
     return name, "\n".join(map(json.dumps, lines))
